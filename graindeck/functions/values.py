@@ -11,7 +11,7 @@ YES_WORDS = ["y", "yes", "true", "t", "1", "1.0", "예", "여", "o", "on"]
 NO_WORDS = ["n", "no", "false", "f", "0", "0.0", "아니오", "아니요", "부", "x", "off"]
 PLACEHOLDER_DAYS = ["9999-12-31", "1900-01-01", "1000-12-31", "0001-01-01", "1000-01-01"]
 
-BLANK = r"[\s   -​  　﻿]"
+BLANK = r"[\s\u00a0\u1680\u2000-\u200b\u202f\u205f\u3000\ufeff]"
 
 
 def trimmed(c: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graindeck.functions import units as U
+from graindeck.functions import values as V
 from graindeck.operators import profile, skew, units, wide
 from graindeck.sources.tables import folded_key, table, with_own_spelling
 
@@ -92,4 +94,98 @@ def p6_load_shifts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_common_values, p2_found, p2_wide, p3_found, p3_portfolio_totals, p3_family_totals, p6_found, p6_profile, p6_load_shifts)}
-ORACLES: dict[str, str] = {}
+
+
+# ---- the same results in SQL
+
+_KEY = r"lower(regexp_replace({}, '\s', '', 'g'))"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _currency_sql(x: str) -> str:
+    rules = " ".join(f"WHEN regexp_matches(lower({x}), {_q(words)}) THEN '{code}'" for code, words in U.CURRENCY_WORDS)
+    return f"CASE WHEN contains({x}, 'GBp') THEN 'GBX' {rules} END"
+
+
+def _lookup_sql(x: str, words: dict[str, list[str]]) -> str:
+    return "CASE " + " ".join(f"WHEN {x} IN ({', '.join(_q(w) for w in ws)}) THEN '{unit}'" for unit, ws in words.items()) + " END"
+
+
+def _tidy_sql(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '[\s_()\[\]]+', ' ', 'g'))"
+
+
+def _share_sql(x: str) -> str:
+    more = {"percent_observed": ["percent observed"], "basis_point": ["basis point"]}
+    return _lookup_sql(_tidy_sql(x), {u: ws + more.get(u, []) for u, ws in U.SHARE_WORDS.items()})
+
+
+def _amount_sql(x: str) -> str:
+    cash = "|".join(words for _, words in U.CURRENCY_WORDS)
+    bare = rf"trim(regexp_replace(regexp_replace({_tidy_sql(x)}, {_q(cash)}, ' ', 'g'), '\s+', ' ', 'g'))"
+    scales = {u: ws + (["currency amount"] if u == "currency_amount" else []) for u, ws in U.SCALE_WORDS.items()}
+    return f"CASE WHEN {_currency_sql(x)} = 'GBX' THEN 'currency_amount' WHEN {bare} = '' AND {_currency_sql(x)} IS NULL THEN NULL ELSE {_lookup_sql(bare, scales)} END"
+
+
+def _text_sql(x: str) -> str:
+    around = rf"regexp_replace({x}, '^([^0-9]*?)[-+−]?\s*[0-9][0-9,]*(?:\.[0-9]+)?(.*)$', '\1 \2', 's')"
+    plain = rf"regexp_replace(regexp_replace({around}, {_q('(?i)' + U.TEXT_FILLERS)}, ' ', 'g'), '[()\[\]]', ' ', 'g')"
+    return rf"CASE WHEN regexp_matches({x}, '[0-9]') THEN nullif(trim(regexp_replace({plain}, '\s+', ' ', 'g')), '') END"
+
+
+def _note_sql(words: list[tuple[str, str]], x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {_q(w)}) THEN '{u}'" for u, w in words) + " END"
+
+
+_NOTES = f"""SELECT source_id, CASE WHEN b THEN {_note_sql(U.NOTE_SHARE_WORDS, 'low')} END AS note_share, CASE WHEN b AND c IS NOT NULL THEN CASE WHEN c = 'GBX' THEN 'currency_amount' ELSE coalesce({_note_sql(U.NOTE_SCALE_WORDS, "regexp_replace(low, '천분율|만분율|백분율', ' ', 'g')")}, 'currency_amount') END END AS note_amount, CASE WHEN b THEN c END AS note_currency
+ FROM (SELECT source_id, lower(note) AS low, regexp_matches(lower(note), {_q(U.NOTE_OF_BLANKS)}) AS b, {_currency_sql('note')} AS c FROM data_source WHERE note IS NOT NULL)"""
+_ROWS = """SELECT DISTINCT 'metric_observation' AS table_name, 'numeric_value' AS quantity, metric_id || '@' || source_row_id AS row_key, dimension = 'share' AS share, numeric_value AS value, unit_code AS unit, currency_code AS cur, raw_text_value AS txt, source_id FROM metric_observation JOIN metric_catalog USING (metric_id) WHERE dimension IN ('share', 'amount')
+ UNION ALL SELECT DISTINCT 'holding_observation', 'weight_value', holding_key, true, weight_value, weight_unit, currency, NULL, source_id FROM holding_observation UNION ALL SELECT DISTINCT 'holding_observation', 'value_amount', holding_key, false, value_amount, value_amount_unit, currency, NULL, source_id FROM holding_observation"""
+_P1 = f"""WITH notes AS ({_NOTES}), r AS (SELECT *, unit IS NOT NULL AND lower(trim(unit)) = 'number' AS plain, CASE WHEN unit IS NULL OR lower(trim(unit)) = 'number' THEN {_text_sql('txt')} END AS around FROM ({_ROWS}) LEFT JOIN notes USING (source_id)),
+ k AS (SELECT *, CASE WHEN unit IS NOT NULL AND NOT plain THEN CASE WHEN share THEN {_share_sql('unit')} ELSE {_amount_sql('unit')} END END AS in_column, CASE WHEN around IS NOT NULL THEN CASE WHEN share THEN {_share_sql('around')} ELSE {_amount_sql('around')} END END AS in_text FROM r),
+ n AS (SELECT *, coalesce(in_column, in_text, CASE WHEN unit IS NULL THEN CASE WHEN share THEN note_share ELSE note_amount END END) AS u, CASE WHEN share THEN 'none' ELSE coalesce(CASE WHEN in_column IS NOT NULL THEN {_currency_sql('unit')} WHEN in_text IS NOT NULL THEN {_currency_sql('around')} WHEN unit IS NULL THEN note_currency END, {_currency_sql('cur')}) END AS c FROM k)
+ SELECT table_name, quantity, row_key, CASE WHEN c = 'GBX' THEN 'currency_amount' ELSE u END AS recorded_unit, c AS recorded_currency FROM n WHERE value IS NOT NULL AND isfinite(value) AND u IS NOT NULL AND c IS NOT NULL AND NOT (share AND u = 'percent_observed') AND NOT (NOT share AND u = 'currency_amount' AND c = 'KRW')"""
+
+_BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_LABEL = f"regexp_replace(label_value, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+_FOLDED = f"lower(regexp_replace({_LABEL}, '{_BLANK}+', ' ', 'g'))"
+_NUM = r"TRY_CAST(regexp_replace(regexp_replace(label_value, '[\s,]', '', 'g'), '[%％]$', '') AS DOUBLE)"
+_DAY = rf"regexp_replace(regexp_replace(regexp_replace({_LABEL}, '\s*[년월./]\s*', '-', 'g'), '\s*일$', ''), '^(\d{{4}})(\d{{2}})(\d{{2}})$', '\1-\2-\3')"
+
+
+def _in(words: list[str]) -> str:
+    return "(" + ", ".join(_q(w) for w in words) + ")"
+
+
+_CELLS = f"""SELECT {_KEY.format('subject_key')} AS k, attribute_id AS field_id, CASE value_type WHEN 'string' THEN CASE WHEN {_FOLDED} NOT IN {_in(V.NO_VALUE_WORDS)} THEN {_FOLDED} END
+ WHEN 'boolean' THEN CASE WHEN lower({_LABEL}) IN {_in(V.YES_WORDS)} THEN 'true' WHEN lower({_LABEL}) IN {_in(V.NO_WORDS)} THEN 'false' END
+ WHEN 'date' THEN CASE WHEN try_strptime({_DAY}, '%Y-%m-%d') IS NOT NULL AND CAST(try_strptime({_DAY}, '%Y-%m-%d') AS DATE)::VARCHAR NOT IN {_in(V.PLACEHOLDER_DAYS)} THEN CAST(try_strptime({_DAY}, '%Y-%m-%d') AS DATE)::VARCHAR END
+ ELSE CASE WHEN isfinite({_NUM}) THEN ({_NUM} + 0.0)::VARCHAR END END AS v FROM attribute_observation JOIN attribute_catalog USING (attribute_id) WHERE subject_key IS NOT NULL
+ UNION ALL SELECT {_KEY.format('subject_key')}, metric_id, (numeric_value + 0.0)::VARCHAR FROM metric_observation JOIN metric_catalog USING (metric_id) WHERE subject_key IS NOT NULL AND dimension IN ('count', 'days', 'multiplier') AND value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value)"""
+_P2 = f"SELECT coalesce(s.subject_key, c.k) AS subject_key, c.field_id FROM (SELECT k, field_id FROM ({_CELLS}) GROUP BY ALL HAVING count(DISTINCT v) >= 2) c LEFT JOIN subject s ON {_KEY.format('s.subject_key')} = c.k"
+
+_P3 = f"SELECT p.portfolio_key FROM (SELECT {_KEY.format('portfolio_key')} AS k, count(*) AS n FROM holding_observation WHERE portfolio_key IS NOT NULL GROUP BY 1) h JOIN portfolio p ON {_KEY.format('p.portfolio_key')} = h.k WHERE h.n >= 0.04 * (SELECT count(*) FROM holding_observation)"
+_HELD = f"SELECT DISTINCT h.*, CASE WHEN weight_value IS NOT NULL AND isfinite(weight_value) THEN weight_value * f.factor_to_common END AS w FROM holding_observation h LEFT JOIN ({_NOTES}) n USING (source_id) LEFT JOIN unit_reference f ON f.dimension = 'share' AND f.unit_id = CASE WHEN h.weight_unit IS NULL THEN n.note_share ELSE {_lookup_sql('lower(trim(h.weight_unit))', U.SHARE_WORDS)} END"
+_P3T = f"SELECT coalesce(p.portfolio_key, h.k) AS portfolio_key, n_rows, round(w, 4) AS total_weight_percent, n_securities FROM (SELECT {_KEY.format('portfolio_key')} AS k, count(*) AS n_rows, sum(w) AS w, count(DISTINCT security_key) AS n_securities FROM ({_HELD}) WHERE portfolio_key IS NOT NULL GROUP BY 1) h LEFT JOIN portfolio p ON {_KEY.format('p.portfolio_key')} = h.k"
+_P3F = f"SELECT family_id, count(*) AS n_rows, round(sum(w), 2) AS total_weight_percent, count(DISTINCT security_key) AS n_securities FROM ({_HELD}) GROUP BY 1"
+
+_ISIN_OK = r"""(regexp_matches(x, '^[A-Z]{2}[A-Z0-9]{9}[0-9]$') AND list_sum(list_transform(range(1, length(r) + 1), lambda i: CASE WHEN i % 2 = 0 THEN (CAST(substr(r, i, 1) AS INT) * 2) // 10 + (CAST(substr(r, i, 1) AS INT) * 2) % 10 ELSE CAST(substr(r, i, 1) AS INT) END)) % 10 = 0)"""
+_MK = "metric_id || '@' || source_row_id"
+
+
+def _shift_sql(table_name: str, column: str, value: str) -> str:
+    return f"""SELECT 'shift' AS case_kind, '{table_name}' AS table_name, '{column}' AS column_name, load AS item_key FROM (WITH c AS (SELECT source_id, {value} AS v, count(*) AS n FROM {table_name} GROUP BY ALL), z AS (SELECT source_id, sum(n) AS total FROM c GROUP BY 1),
+ o AS (SELECT source_id AS load, lag(source_id) OVER (PARTITION BY source_name ORDER BY collected_at, source_id) AS before FROM data_source WHERE source_id IN (SELECT source_id FROM z)), g AS (SELECT load, before, v FROM o JOIN c ON c.source_id IN (load, before) WHERE before IS NOT NULL AND v IS NOT NULL GROUP BY ALL)
+ SELECT load, max(abs(coalesce(a.n, 0)::DOUBLE / za.total - coalesce(b.n, 0)::DOUBLE / zb.total)) AS d FROM g JOIN z za ON za.source_id = load JOIN z zb ON zb.source_id = before LEFT JOIN c a ON a.source_id = load AND a.v = g.v LEFT JOIN c b ON b.source_id = before AND b.v = g.v GROUP BY 1) WHERE round(d, 12) > 0.25"""
+
+
+_P6 = f"""SELECT DISTINCT 'violation' AS case_kind, 'metric_observation' AS table_name, 'value_status' AS column_name, {_MK} AS item_key FROM metric_observation WHERE value_status IS NULL OR value_status NOT IN ('valid', 'zero_excluded', 'parse_failed', 'date_parse_failed') OR (value_status = 'valid' AND (numeric_value IS NULL OR NOT isfinite(numeric_value) OR numeric_value = 0)) OR (value_status = 'zero_excluded' AND (numeric_value IS NULL OR numeric_value <> 0)) OR (value_status = 'parse_failed' AND numeric_value IS NOT NULL)
+ UNION ALL SELECT DISTINCT 'violation', 'metric_observation', 'raw_text_value', {_MK} FROM metric_observation WHERE numeric_value IS NOT NULL AND raw_text_value IS NOT NULL AND NOT regexp_matches(raw_text_value, '[0-9]')
+ UNION ALL SELECT DISTINCT 'violation', 'holding_observation', 'identifier_status', holding_key FROM (SELECT holding_key, identifier_status AS s, held_security_id_raw AS x, reverse(array_to_string(list_transform(string_split(held_security_id_raw, ''), lambda c: CASE WHEN ascii(c) BETWEEN 65 AND 90 THEN CAST(ascii(c) - 55 AS VARCHAR) WHEN ascii(c) BETWEEN 48 AND 57 THEN c ELSE '0' END), '')) AS r FROM holding_observation)
+ WHERE s IS NULL OR s NOT IN ('checksum_verified', 'format_matched', 'format_matched_checksum_failed', 'unverified_scheme', 'absent', 'declared_by_source', 'placeholder') OR (s = 'absent' AND x IS NOT NULL) OR (s <> 'absent' AND x IS NULL) OR (s = 'checksum_verified' AND NOT {_ISIN_OK})
+ UNION ALL {_shift_sql('metric_observation', 'value_status', 'value_status')} UNION ALL {_shift_sql('metric_observation', 'raw_text_value', "CASE WHEN raw_text_value IS NULL THEN 'null' END")} UNION ALL {_shift_sql('holding_observation', 'identifier_status', 'identifier_status')}"""
+
+ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p3_portfolio_totals": _P3T, "p3_family_totals": _P3F, "p6_found": _P6}

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def folded_key(key: str | Column) -> Column:
     """A key without white space and case, under which every spelling of one key is equal. Null stays null."""
     c = F.col(key) if isinstance(key, str) else key
-    return F.lower(F.regexp_replace(c, r"[\s ​﻿]", ""))
+    return F.lower(F.regexp_replace(c, r"[\s\u00a0\u200b\u3000\ufeff]", ""))
 
 
 def with_own_spelling(df: DataFrame, folded: str, entities: DataFrame, key: str, out: str) -> DataFrame:
