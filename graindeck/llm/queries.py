@@ -64,4 +64,22 @@ def p10_shared_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_top_observations, p5_found, p5_matches, p7_found, p7_golden_records, p8_assignments, p8_fill, p9_mixture, p9_shares, p10_found, p10_shared_parts)}
-ORACLES: dict[str, str] = {}
+
+_KEY = r"lower(regexp_replace({}, '\s', '', 'g'))"
+_TOP = """SELECT DISTINCT family_id, metric_id, source_row_id, numeric_value, rank FROM (SELECT *, dense_rank() OVER (PARTITION BY family_id, metric_id ORDER BY numeric_value DESC, source_row_id) AS rank FROM metric_observation JOIN metric_catalog USING (metric_id)
+ WHERE value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value) AND unit_code = common_unit AND (dimension <> 'amount' OR currency_code = 'KRW')) WHERE rank <= 10"""
+
+
+def _winner(field: str, has: str) -> str:
+    return f"""SELECT k, metric_id, '{field}' AS field_name, arg_min(source_row_id, (CASE WHEN value_status = 'valid' THEN 0 ELSE 1 END, CASE WHEN effective_as_of BETWEEN DATE '2000-01-01' AND DATE '2026-12-31' THEN -(effective_as_of - DATE '2000-01-01') ELSE 1 END, coalesce(source_precedence, 2147483647), source_row_id)) AS source_row_id FROM m WHERE {has} GROUP BY ALL"""
+
+
+_FOUND7 = f"""WITH m AS (SELECT *, {_KEY.format('subject_key')} AS k FROM metric_observation LEFT JOIN (SELECT source_id, source_precedence FROM data_source) USING (source_id) WHERE subject_key IS NOT NULL),
+ several AS (SELECT k, metric_id FROM m GROUP BY ALL HAVING count(DISTINCT source_row_id) >= 2), w AS ({' UNION ALL '.join([_winner('numeric_value', 'numeric_value IS NOT NULL AND isfinite(numeric_value)'), *[_winner(f, f'{f} IS NOT NULL') for f in ('raw_text_value', 'unit_code', 'currency_code')]])})
+ SELECT coalesce(s.subject_key, w.k) AS subject_key, w.metric_id, w.field_name, w.source_row_id FROM w JOIN several USING (k, metric_id) LEFT JOIN subject s ON {_KEY.format('s.subject_key')} = w.k"""
+
+ORACLES = {
+    "p4_found": f"SELECT family_id, metric_id, source_row_id FROM ({_TOP})",
+    "p4_top_observations": _TOP,
+    "p7_found": _FOUND7,
+}
