@@ -7,18 +7,19 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed value: signs that retrieval normalisation drops beside white space.
 DROPPED = "_·ㆍ・"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _retrieval(s: pd.Series) -> pd.Series:
     drop = re.compile(rf"[\s{DROPPED}]+")
     return s.map(lambda x: None if x is None else drop.sub("", unicodedata.normalize("NFKC", x).casefold()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _span(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).split()))
 

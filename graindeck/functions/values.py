@@ -29,7 +29,8 @@ def number(c: Column) -> Column:
     """A finite number, thousands separators and a percent sign aside."""
     t = F.regexp_replace(c, f"{BLANK}|,", "")
     t = F.regexp_replace(t, "%$|％$", "")
-    return F.when(t.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,3})?$"), t.try_cast("double")).cast("double")
+    x = F.when(t.rlike(r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]{1,3})?$"), t.try_cast("double"))
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def yes_no(c: Column) -> Column:

@@ -152,7 +152,8 @@ def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], par
         same = np.zeros(n, bool)
         if n > 1:
             text = key.to_numpy(zero_copy_only=False)
-            same[1:] = (device[1:] == device[:-1]) & (day[1:] == day[:-1]) & (text[1:] == text[:-1])
+            keyed = np.array([x is not None for x in text])  # a row without a key is no re-delivery of another
+            same[1:] = (device[1:] == device[:-1]) & (day[1:] == day[:-1]) & (text[1:] == text[:-1]) & keyed[1:]
         told = state >= 0
         common = np.where(told, value * factor[np.where(told, state, 0)], np.nan)
         null = ~told
@@ -185,7 +186,7 @@ def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], par
 
 
 def with_percent_weight(holdings: DataFrame, sources: DataFrame, unit_reference: DataFrame) -> DataFrame:
-    """Holdings with weight_percent: weight_value in percent, null where it or its unit is unknown or it isn't finite.
+    """Keys of holdings (holding_key, family_id, portfolio_key, security_key) with weight_percent: weight_value in percent, null where it or its unit is unknown or it isn't finite.
 
     Distinct spellings of a unit are read once; at most ``len(SHARE_WORDS)`` units have a factor, the rest join to nothing.
     """
@@ -194,10 +195,11 @@ def with_percent_weight(holdings: DataFrame, sources: DataFrame, unit_reference:
     notes = sources.where(F.col("note").isNotNull()).groupBy("source_id").agg(F.min("note").alias("note"))
     told = notes.mapInPandas(lambda it: (b.assign(note_unit=[U.note_units(n)[0] for n in b["note"]])[["source_id", "note_unit"]] for b in it), "source_id string, note_unit string")
     factors = unit_reference.where(F.col("dimension") == "share").select(F.col("unit_id").alias("weight_unit_id"), F.col("factor_to_common").alias("__f"))
-    h = holdings.join(F.broadcast(told), "source_id", "left")  # source loads, tens at any scale
+    h = holdings.select("holding_key", "family_id", "portfolio_key", "security_key", "weight_value", "weight_unit", "source_id")
+    h = h.join(F.broadcast(told), "source_id", "left")  # source loads, tens at any scale
     unit = F.when(F.col("weight_unit").isNull(), F.col("note_unit")).otherwise(spelt[F.lower(F.trim("weight_unit"))])
     h = h.withColumn("weight_unit_id", unit).join(F.broadcast(factors), "weight_unit_id", "left")
-    return h.withColumn("weight_percent", F.when(finite("weight_value"), F.col("weight_value") * F.col("__f"))).drop("__f", "note_unit", "weight_unit_id")
+    return h.withColumn("weight_percent", F.when(finite("weight_value"), F.col("weight_value") * F.col("__f"))).select("holding_key", "family_id", "portfolio_key", "security_key", "weight_percent")
 
 
 def normalise(metrics: DataFrame, holdings: DataFrame, catalog: DataFrame, sources: DataFrame, unit_reference: DataFrame, currency_rate: DataFrame) -> DataFrame:
