@@ -124,9 +124,13 @@ def isin_agrees(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == 9, a == F.substring(b, 3, 9)).otherwise(near_code(a, b))
 
 
-def _one_less(word: Column) -> Column:
-    """A word and what is left of it when any one letter goes: two words one edit or swap apart share an entry."""
-    return F.array_distinct(F.concat(F.array(word), F.transform(F.sequence(F.lit(1), F.length(word)), lambda p: F.concat(F.substring(word, F.lit(1), p - 1), F.substring(word, p + 1, F.length(word))))))
+def _half_keys(tag: Column, word: Column, rest: Column, around: bool) -> Column:
+    """Keys by the first and the last (n - 1) div 2 letters of a word: of two words one letter lost or two neighbours swapped apart, one
+    end is whole. ``around``: also for words one letter longer or shorter, so that both sides agree on the length of the end."""
+    n = F.length(word)
+    ends = F.array_distinct(F.array(*[F.floor((n - 1 + d) / 2).cast("int") for d in ((-1, 0, 1) if around else (0,))]))
+    key = lambda side, h, part: F.concat_ws("|", tag, F.lit(side), h.cast("string"), part, rest)
+    return F.flatten(F.transform(ends, lambda h: F.array(key("a", h, F.substring(word, F.lit(1), h)), key("z", h, F.right(word, h)))))
 
 
 def rules() -> list[tuple[str, Column, Column, Column | None]]:
@@ -156,8 +160,8 @@ def rules() -> list[tuple[str, Column, Column, Column | None]]:
         ("ticker_name", some(c("ticker").isNotNull() & c("squashed").isNotNull(), tagged("t", c("ticker")), tagged("9", F.coalesce(c("tail"), c("ticker")))),
          some(c("m_ticker").isNotNull(), tagged("t", c("m_ticker")), tagged("9", F.coalesce(c("m_tail"), c("m_ticker")))), name_fits),
         ("name", some(c("core").isNotNull(), tagged("n", c("squashed"), c("kind"))), some(c("m_core").isNotNull(), tagged("n", c("m_squashed"), c("m_kind"))), open_ids),
-        ("name_near", F.when(first_ok, F.transform(_one_less(c("first")), lambda w: tagged("d", w, c("rest")))).otherwise(none),
-         F.when(c("m_first").rlike("^[a-z]{4,}$"), F.transform(_one_less(c("m_first")), lambda w: tagged("d", w, c("m_rest")))).otherwise(none),
+        ("name_near", F.when(first_ok, _half_keys(F.lit("d"), c("first"), c("rest"), False)).otherwise(none),
+         F.when(c("m_first").rlike("^[a-z]{4,}$"), _half_keys(F.lit("d"), c("m_first"), c("m_rest"), True)).otherwise(none),
          slip & open_ids),
     ]
 

@@ -58,7 +58,7 @@ class Packer:
         rest = [x for stack in self.by_free.values() for _, items in stack for x in items]
         numbers = sorted(number for stack in self.by_free.values() for number, _ in stack)
         last = Packer(self.capacity, len(rest) + 1)
-        for item, piece, size in sorted(rest, key=lambda x: (-x[2], x[0], x[1])):
+        for item, piece, size in sorted(rest, key=lambda x: (-x[2], x[0] is None, 0 if x[0] is None else x[0], x[1])):
             last.add(item, piece, size)
         done = last.closed + [one for stack in last.by_free.values() for one in stack]
         numbers += range(self.made, self.made + len(done))  # best fit decreasing seldom needs more bins; if it does, new numbers

@@ -78,8 +78,15 @@ _FOUND7 = f"""WITH m AS (SELECT *, {_KEY.format('subject_key')} AS k FROM metric
  several AS (SELECT k, metric_id FROM m GROUP BY ALL HAVING count(DISTINCT source_row_id) >= 2), w AS ({' UNION ALL '.join([_winner('numeric_value', 'numeric_value IS NOT NULL AND isfinite(numeric_value)'), *[_winner(f, f'{f} IS NOT NULL') for f in ('raw_text_value', 'unit_code', 'currency_code')]])})
  SELECT coalesce(s.subject_key, w.k) AS subject_key, w.metric_id, w.field_name, w.source_row_id FROM w JOIN several USING (k, metric_id) LEFT JOIN subject s ON {_KEY.format('s.subject_key')} = w.k"""
 
+_WINDOWS = "SELECT doc_id, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)"
+_PARTS = f"""WITH w AS ({_WINDOWS}), g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), h AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN g USING (s)),
+ p AS (SELECT doc_id, sum(least(coalesce(gap, 200), 200)) AS shared, count(*) FILTER (WHERE gap IS NULL OR gap > 200) AS n FROM h GROUP BY 1)
+ SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared, 0)::DOUBLE / length(text) ELSE 0 END AS shared_part, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN p USING (doc_id)"""
+
 ORACLES = {
     "p4_found": f"SELECT family_id, metric_id, source_row_id FROM ({_TOP})",
     "p4_top_observations": _TOP,
     "p7_found": _FOUND7,
+    "p10_found": f"WITH w AS (SELECT DISTINCT doc_id, s FROM ({_WINDOWS})) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM w a JOIN w b USING (s) WHERE a.doc_id < b.doc_id",
+    "p10_shared_parts": _PARTS,
 }

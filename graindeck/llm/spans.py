@@ -101,7 +101,7 @@ def _sample(points: np.ndarray, bounds: np.ndarray, length: int, wanted: int) ->
 
 def classes(docs: DataFrame, doc: str, text: str, wanted: int) -> tuple[DataFrame, DataFrame]:
     """(class_id, text) once per different text of at least ``wanted`` code points, and (doc, class_id) of its copies."""
-    d = docs.where(F.length(text) >= wanted).select(F.col(doc).alias("doc"), F.sha2(text, 256).alias("print"), F.col(text).alias("text"))
+    d = docs.where((F.length(text) >= wanted) & F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.sha2(text, 256).alias("print"), F.col(text).alias("text"))
     members = cut(d.groupBy("print", "doc").agg(F.lit(1).alias("one")).drop("one"), "span-members")
     heads = members.groupBy("print").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("copies"))
     return heads, members
@@ -146,12 +146,12 @@ def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wan
     window inside a text included; and the members (doc, class_id, copies) of every class.
 
     ``first_length`` is the length of the first level, half of ``wanted`` by default; each level doubles it. Ids must be
-    integers. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
+    integers; rows without one take no part. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
     repeated windows of a level are broadcast to the scan of the texts; beyond it they are joined.
     """
     heads, members = classes(docs, doc, text, wanted)
     members = cut(members.join(heads, "print").select("doc", "class_id", "copies", "print"), "span-classes")
-    texts = docs.where(F.length(text) >= wanted).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    texts = docs.where((F.length(text) >= wanted) & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
     copies = members.where(F.col("doc") != F.col("class_id")).select("doc")
     n_copies = copies.count()
     texts = texts.join(F.broadcast(copies) if n_copies <= small_rows else copies, "doc", "left_anti").withColumnRenamed("doc", "class_id")

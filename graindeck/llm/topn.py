@@ -15,11 +15,11 @@ from graindeck.session import parallelism
 def top_n(rows: DataFrame, groups: list[str], score: str, tie: str, n: int, heavy_rows: int = 20_000, partitions: int | None = None) -> DataFrame:
     """The first ``n`` distinct rows of each group by ``score`` descending, then ``tie`` ascending, with their rank.
 
-    Null scores are no items. A group may be null in any of its columns. Groups of more than ``heavy_rows`` rows, of which there
+    Null scores are no items; a column named rank gives way to the result's. A group may be null in any of its columns. Groups of more than ``heavy_rows`` rows, of which there
     are at most rows / heavy_rows, take the salted way; both ways give the same result. Other columns must be functions of
     group, score and tie (re-delivered rows equal in all columns), or the least of each comes out.
     """
-    rows = rows.where(F.col(score).isNotNull())
+    rows = rows.where(F.col(score).isNotNull()).drop("rank")
     others = [c for c in rows.columns if c not in (*groups, score, tie)]
     counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
     heavy = counts.where(F.col("__n") > heavy_rows).select(*[F.col(g).alias(f"__{g}") for g in groups])
