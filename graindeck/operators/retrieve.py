@@ -92,46 +92,35 @@ def best_per_term(matches: DataFrame, question: str = "question_id", settings: S
     return ranked.where(F.col("rank") <= settings.max_candidates).drop("order")
 
 
-def search_blocks(entries: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float | None = None, top_k: int | None = None, block: int = 512) -> DataFrame:
-    """(key, query_id, score): a stated query set against all entries by inner product in double, exhaustively.
+def search_blocks(entries: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float | None = None, top_k: int | None = None, block: int = 512, chunk: int = 4096) -> DataFrame:
+    """(key, query_id, score[, rank]): a stated query set against all entries by inner product in double, exhaustively.
 
-    Entries stream past the queries; queries come in blocks of ``block`` vectors, a broadcast of fixed size each, so neither side has
-    to fit anywhere. With ``top_k`` each task keeps its k best per query (ties by key) and the final cut ranks those few.
+    Entries are packed into chunks and queries into blocks of about a fixed number of vectors, by hash; every chunk meets every block
+    once and a pair is one matrix product in a worker. Neither side is broadcast or collected, and a task holds one chunk and
+    one block. With ``top_k`` a pair passes on its k best per query (all ties) and the final cut, ties by key, ranks those few.
     """
-    ids = queries.select(F.col(key).alias("query_id"), F.col(vector).alias("q"))
-    n = max(1, -(-ids.count() // block))
-    blocks = ids.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    packed = blocks.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("block"))  # about ``block`` vectors each, by hash
-
-    out = None
-    key_type = entries.schema[key].dataType.simpleString()
-
-    def scorer(pairs: list) -> object:
-        names = [p["query_id"] for p in pairs]
-        m = np.array([p["q"] for p in pairs], float).reshape(len(names), -1)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = np.array(b.column(1).to_pylist(), float)
-                s = v @ m.T
+    kind = entries.schema[key].dataType.simpleString()
+
+    def packed(df: DataFrame, size: int, name: str) -> DataFrame:
+        parts = max(1, -(-df.count() // size))
+        return df.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("__p"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("__s")).groupBy("__p").agg(F.collect_list("__s").alias(name)).drop("__p")
+
+    pairs = packed(entries, chunk, "e").join(packed(queries, block, "q"), F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for e, q in zip(b.column(0), b.column(1)):
+                (ek, ev), (qk, qv) = ((x.values.field("k"), np.array(x.values.field("v").to_pylist(), float)) for x in (e, q))
+                s = ev.reshape(len(ek), -1) @ qv.reshape(len(qk), -1).T
                 if threshold is not None:
                     i, j = np.nonzero(s >= threshold)
-                elif top_k is not None and len(v) > top_k:
-                    cut = np.partition(s, len(v) - top_k, axis=0)[len(v) - top_k]
-                    i, j = np.nonzero(s >= cut[None, :])
+                elif top_k is not None and len(s) > top_k:
+                    i, j = np.nonzero(s >= np.partition(s, len(s) - top_k, axis=0)[len(s) - top_k][None, :])
                 else:
-                    i, j = np.nonzero(s == s)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), pa.array([names[x] for x in j], b.schema.field(0).type), pa.array(s[i, j])], names=[key, "query_id", "score"])
-
-        return run
+                    i, j = np.nonzero(np.ones_like(s, bool))
+                yield pa.RecordBatch.from_arrays([ek.take(pa.array(i)), qk.take(pa.array(j)), pa.array(s[i, j])], names=[key, "query_id", "score"])
 
-    for row in packed.toLocalIterator():
-        part = entries.select(key, vector).mapInArrow(scorer(row["block"]), f"{key} {key_type}, query_id {key_type}, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return entries.sparkSession.createDataFrame([], f"{key} {key_type}, query_id {key_type}, score double")
+    out = pairs.mapInArrow(run, f"{key} {kind}, query_id {kind}, score double")
     if top_k is not None:
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
         out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)

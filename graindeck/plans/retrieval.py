@@ -157,7 +157,7 @@ def i19_capability_partition(t) -> DataFrame:
 # ---- K: spans. The same texts on both sides.
 
 SPANS = ["높은 순", "가장 낮은", "상위 또는 하위", "높지 않은", "상위험", "desc", "이상", "이하인", "< 또는 <=", ">= ", "보다 큰", "not above", "아닌", "평균", "가중 평균", "총합", "최대", "몇 개", "평균이 아니",
-         "상위 10개", "top 5", "2024", "2024개", "10%", "3개월", "10 이상", "1,00개", "5.5개", "-3개", "0개", "3천개", "KODEX 200", "열 개", "3%", "1,234.5%", "1조 5000억", "2억개", "7일", "약 3%", "12,34"]
+         "상위 10개", "top 5", "2024", "2024개", "10%", "3개월", "10 이상", "1,00개", "5.5개", "-3개", "0개", "3천개", "ETF 200", "열 개", "3%", "1,234.5%", "1조 5000억", "2억개", "7일", "약 3%", "12,34"]
 
 
 def _rx(s: str) -> str:

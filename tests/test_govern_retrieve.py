@@ -133,7 +133,7 @@ def test_every_form_means_what_the_table_says(spark, table, read):
     (K.read_direction, "높지 않은", None, "negated_expression_unsupported"), (K.read_direction, "안 높은", None, "negated_expression_unsupported"), (K.read_direction, "상위험", None, "direction_unsupported"), (K.read_direction, "높은 또는 낮은", None, "direction_ambiguous"), (K.read_direction, "", None, "direction_unsupported"),
     (K.read_comparison, "<=", "lte", None), (K.read_comparison, "< 또는 <=", None, "comparison_ambiguous"), (K.read_comparison, "이상한", None, "comparison_unsupported"), (K.read_aggregate, "가중 평균", None, "aggregation_function_unsupported"), (K.read_aggregate, "평균이 아니", None, "negated_expression_unsupported"),
     (K.read_limit, "상위 10개", 10, None), (K.read_limit, "top 12,000", 12000, None), (K.read_limit, "top 1,000", None, "limit_unsupported"), (K.read_limit, "2024", None, "limit_unsupported"), (K.read_limit, "2024개", 2024, None), (K.read_limit, "10%", None, "limit_is_proportion"), (K.read_limit, "-3개", None, "limit_not_positive"), (K.read_limit, "5.5개", None, "limit_not_positive"),
-    (K.read_limit, "3 5", None, "limit_ambiguous"), (K.read_limit, "kodex 200", None, "limit_unsupported"), (K.read_limit, "0개", None, "limit_not_positive")])
+    (K.read_limit, "3 5", None, "limit_ambiguous"), (K.read_limit, "etf 200", None, "limit_unsupported"), (K.read_limit, "0개", None, "limit_not_positive")])
 def test_span_refusals(spark, read, text, value, refusal):
     r = spark.createDataFrame([(text,)], "x string").select(read(F.col("x")).alias("r")).first().r
     assert (r.value, r.refusal) == (value, refusal)
