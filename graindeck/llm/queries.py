@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graindeck.llm import golden, match, mix, pack, spans, tokens, topn
+from graindeck.session import cut
 from graindeck.sources.tables import finite, table
 
 
@@ -38,7 +39,7 @@ def p7_golden_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_assignments(spark: SparkSession, d: str) -> DataFrame:
-    sized = tokens.with_token_count(table(spark, d, "documents"), ["doc_id"])
+    sized = cut(tokens.with_token_count(table(spark, d, "documents"), ["doc_id"]), "sizes")  # texts are tokenized once
     return pack.pack(sized, "doc_id", "n_tokens", table(spark, d, "pack_spec"))
 
 
