@@ -48,7 +48,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    sized = tokens.with_token_count(table(spark, d, "documents"), ["doc_id", "source"])
+    sized = cut(tokens.with_token_count(table(spark, d, "documents"), ["doc_id", "source"]), "sizes")  # texts are tokenized once
     return mix.mix(sized, table(spark, d, "source_target"))
 
 
