@@ -1,14 +1,13 @@
 """Offline evaluation: recall, sweeps, confusion, budgets, run summaries."""
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graindeck.functions.text import covers
-from graindeck.operators.select import best_of
 
 
 def cross_form_sweep(scores: DataFrame, thresholds: Sequence[float], cuts: Sequence[int]) -> DataFrame:
@@ -166,4 +165,69 @@ def redact(df: DataFrame, text: str, secrets: Sequence[str]) -> DataFrame:
     return df.withColumn(text, c)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"Iterator", "best_of"}]
+def threshold_sweep(scores: DataFrame, required: DataFrame, unrelated: DataFrame, thresholds: Sequence[float], case: str = "case_id") -> DataFrame:
+    """Per threshold: micro recall of the required ids, candidates and competing candidates per case, and candidates of cases that should have
+    none. ``scores``: case, id, score; the thresholds are few and broadcast."""
+    grid = scores.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    marked = scores.join(required.select(case, "id", F.lit(1).alias("__req")), [case, "id"], "left").join(unrelated.select(case, F.lit(1).alias("__un")).distinct(), case, "left")
+    g = marked.join(F.broadcast(grid), F.col("score") >= F.col("threshold")).groupBy("threshold").agg(
+        F.count("__req").alias("hits"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("__req").isNull()).alias("competing"), F.count("__un").alias("false_positives"))
+    cases, needed = scores.agg(F.countDistinct(case)).scalar(), required.agg(F.count(F.lit(1))).scalar()
+    return grid.join(g, "threshold", "left").na.fill(0).select("threshold", F.round(F.col("hits") / needed, 6).alias("recall"), F.round(F.col("n") / cases, 6).alias("mean_candidates"),
+                                                              F.round(F.col("competing") / cases, 6).alias("mean_competing"), "false_positives")
+
+
+def entity_gaps(entities: DataFrame, returned: DataFrame, kind: str) -> DataFrame:
+    """Per kind: entities of the vocabulary and how many of them no case ever returned."""
+    seen = returned.select("id").distinct().withColumn("__s", F.lit(1))
+    return entities.join(seen, "id", "left").groupBy(kind).agg(F.count(F.lit(1)).alias("n_entities"), F.count_if(F.col("__s").isNull()).alias("n_never_returned"))
+
+
+def case_problems(cases: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(case_id, problem) of evaluation cases (case_id, question_hash, recorded_hash, required, confusable arrays): a repeated case, a question that
+    isn't the recorded one, ids outside the vocabulary, an id both required and confusable, nothing required."""
+    many = cases.groupBy("case_id").count().where(F.col("count") > 1).select("case_id", F.lit("repeated_case").alias("problem"))
+    ids = cases.select("case_id", F.explode(F.array_union("required", "confusable")).alias("id"))
+    unknown = ids.join(vocabulary.select("id").distinct(), "id", "left_anti").select("case_id", F.lit("unknown_id").alias("problem")).distinct()
+    own = F.filter(F.array(F.when(~F.col("question_hash").eqNullSafe(F.col("recorded_hash")), F.lit("other_question")), F.when(F.arrays_overlap("required", "confusable"), F.lit("required_and_confusable")),
+                           F.when(F.size("required") == 0, F.lit("nothing_required"))), lambda x: x.isNotNull())
+    return many.unionByName(unknown).unionByName(cases.select("case_id", F.explode(own).alias("problem")).distinct())
+
+
+def family_recall(required: DataFrame, returned: DataFrame, case: str = "case_id") -> DataFrame:
+    """Per family: required ids (exploded from their ``families``), found ones, recall."""
+    r = required.select(case, "id", F.explode("families").alias("family")).join(returned.select(case, "id").distinct().withColumn("__h", F.lit(1)), [case, "id"], "left")
+    return r.groupBy("family").agg(F.count(F.lit(1)).alias("n_required"), F.count("__h").alias("n_found"), F.round(F.count("__h") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+def cap_boundaries(slots: DataFrame, caps: Sequence[int], question: str = "question_id") -> DataFrame:
+    """Per cap: questions whose number of plan options lies below, at and above it (those above are blocked). The number is the product of distinct
+    readings per slot, so no option is made."""
+    per = slots.groupBy(question, "slot").agg(F.countDistinct("reading").alias("r")).groupBy(question).agg(F.round(F.exp(F.sum(F.log("r")))).cast("bigint").alias("n"))
+    grid = slots.sparkSession.createDataFrame([(int(c),) for c in caps], "cap bigint")
+    return per.join(F.broadcast(grid), F.lit(True)).groupBy("cap").agg(F.count_if(F.col("n") < F.col("cap")).alias("below"), F.count_if(F.col("n") == F.col("cap")).alias("at_cap"), F.count_if(F.col("n") > F.col("cap")).alias("blocked"))
+
+
+def rescore(runs: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(run_id, n, passed_before, passed_now, changed) of archived runs (run_id, case_id, answer, passed) under new criteria (case_id, accepted array)."""
+    now = runs.join(criteria, "case_id", "left").withColumn("now", F.coalesce(F.array_contains("accepted", F.col("answer")), F.lit(False)))
+    return now.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed_before"), F.count_if("now").alias("passed_now"), F.count_if(F.col("passed") != F.col("now")).alias("changed"))
+
+
+def decode_nested(outputs: DataFrame, key: str, text: str) -> DataFrame:
+    """Requirements nested in JSON ({"requirements": [{"id", "slots": {...}}]}) as flat rows (key, requirement_id, slot, value); broken JSON gives one row
+    with the problem and no values."""
+    kind = "requirements array<struct<id:string,slots:map<string,string>>>"
+    parsed = outputs.select(key, F.from_json(text, kind, {"mode": "PERMISSIVE"}).alias("j"))
+    flat = parsed.select(key, F.explode_outer("j.requirements").alias("r")).select(key, F.col("r.id").alias("requirement_id"), F.explode_outer("r.slots").alias("slot", "value"))
+    return flat.withColumn("problem", F.when(F.col("requirement_id").isNull(), "unreadable"))
+
+
+def registry_problems(terms: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, problem) of a registry: a term twice, an owner that isn't a term, a form of no term, a term without a form."""
+    twice = terms.groupBy("id").count().where(F.col("count") > 1).select("id", F.lit("repeated_term").alias("problem"))
+    ids = terms.select("id").distinct()
+    orphan = terms.where(F.col("owner").isNotNull()).select("id", F.col("owner").alias("o")).join(ids.withColumnRenamed("id", "o"), "o", "left_anti").select("id", F.lit("unknown_owner").alias("problem"))
+    stray = forms.select("id").distinct().join(ids, "id", "left_anti").select("id", F.lit("form_of_no_term").alias("problem"))
+    bare = ids.join(forms.select("id").distinct(), "id", "left_anti").select("id", F.lit("term_without_form").alias("problem"))
+    return twice.unionByName(orphan).unionByName(stray).unionByName(bare)

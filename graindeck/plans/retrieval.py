@@ -412,3 +412,36 @@ def m25_payload_size(t) -> DataFrame:
     d = t("documents").where(F.col("text").isNotNull())
     return d.select("doc_id", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), T.token_estimate(F.col("text")).alias("token_estimate"))
 
+
+
+@register(f"SELECT t AS threshold, round(count(q.id)::DOUBLE / (SELECT count(*) FROM ({_REQ})), 6) AS recall, round(count(r.id)::DOUBLE / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean_candidates, round((count(r.id) - count(q.id))::DOUBLE / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean_competing, count(r.id) FILTER (WHERE r.case_id % 7 = 0) AS false_positives "
+          f"FROM unnest([10.0, 50.0, 90.0]) g(t) LEFT JOIN ({_RET}) r ON r.score >= t LEFT JOIN ({_REQ}) q ON q.case_id = r.case_id AND q.id = r.id GROUP BY t")
+def m3_threshold_sweep(t) -> DataFrame:
+    q = _required(t)
+    return E.threshold_sweep(_returned(t), q, q.where(F.col("case_id") % 7 == 0), [10.0, 50.0, 90.0])
+
+
+@register("SELECT dimension, count(*) AS n_entities, count(*) FILTER (WHERE metric_id NOT IN (SELECT metric_id FROM metric_observation WHERE value_status = 'zero_excluded')) AS n_never_returned FROM metric_catalog GROUP BY 1")
+def m10_entity_gaps(t) -> DataFrame:
+    seen = t("metric_observation").where(F.col("value_status") == "zero_excluded").select(F.col("metric_id").alias("id"))
+    return E.entity_gaps(t("metric_catalog").withColumnRenamed("metric_id", "id"), seen, "dimension")
+
+
+@register(f"SELECT family, count(*) AS n_required, count(r.id) AS n_found, round(count(r.id)::DOUBLE / count(*), 6) AS recall FROM (SELECT *, unnest([substr(id, 1, 1), 'all']) AS family FROM ({_REQ})) q LEFT JOIN (SELECT * FROM ({_RET}) WHERE rank <= 1) r ON q.case_id = r.case_id AND q.id = r.id GROUP BY 1")
+def m14_family_recall(t) -> DataFrame:
+    q = _required(t).withColumn("families", F.array(F.substring("id", 1, 1), F.lit("all")))
+    return E.family_recall(q, _returned(t).where(F.col("rank") <= 1))
+
+
+@register("WITH n AS (SELECT user_id, round(exp(sum(ln(r))))::BIGINT AS n FROM (SELECT user_id, event_type, count(DISTINCT floor(value / 25)) AS r FROM events GROUP BY ALL) GROUP BY 1) SELECT cap, count(*) FILTER (WHERE n < cap) AS below, count(*) FILTER (WHERE n = cap) AS at_cap, count(*) FILTER (WHERE n > cap) AS blocked FROM n, unnest([8, 64, 1024]) c(cap) GROUP BY 1")
+def m21_cap_boundaries(t) -> DataFrame:
+    s = t("events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("slot"), F.floor(F.col("value") / 25).cast("string").alias("reading"))
+    return E.cap_boundaries(s, [8, 64, 1024])
+
+
+@register("SELECT event_type AS run_id, count(*) AS n, count(*) FILTER (WHERE value > 30) AS passed_before, count(*) FILTER (WHERE value > 50) AS passed_now, count(*) FILTER (WHERE (value > 30) <> (value > 50)) AS changed FROM events GROUP BY 1")
+def m23_rescore(t) -> DataFrame:
+    """Archived answers 'low', 'mid' and 'high' that passed from mid on, under criteria that accept only high."""
+    answer = F.when(F.col("value") > 50, "high").when(F.col("value") > 30, "mid").otherwise("low")
+    runs = t("events").select(F.col("event_type").alias("run_id"), F.col("user_id").alias("case_id"), answer.alias("answer"), (F.col("value") > 30).alias("passed"))
+    return E.rescore(runs, t("events").select(F.col("user_id").alias("case_id"), F.array(F.lit("high")).alias("accepted")).distinct())

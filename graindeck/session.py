@@ -1,7 +1,9 @@
 """Session defaults, and tables written to cut lineage."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,6 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="graindeck-")
+        atexit.register(shutil.rmtree, _OWN_DIR, True)
     return "file://" + _OWN_DIR
 
 
@@ -49,6 +52,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def purge(spark: SparkSession) -> None:
+    """Delete the tables that ``cut`` wrote to the shared folder, once no result that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graindeck")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Tasks for a repartition: the session's shuffle partitions, which the cluster sizes to its data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -198,3 +198,16 @@ def test_shapes(spark):
     assert {(r.node, r.shape, r.problem) for r in Q.shapes(t, rules).collect()} == {("h2", "of", "too_few"), ("h2", "sec", "too_many"), ("h2", "sec", "bad_value"), ("h2", "w", "bad_value")}
     assert Q.physical_names(["rank by met:fee", "from metric_observation"], ["metric_observation"], ["numeric_value"]) == ["metric_observation"]
     assert Q.custody(t, 9, ["s", "p", "o", "o_type"]) == [] and len(Q.custody(t, 8, ["s"])) == 2
+
+
+def test_gates_and_encodings(spark):
+    cases = spark.createDataFrame([("c1", "h", "h", ["a"], ["b"]), ("c1", "h", "h", ["a"], ["b"]), ("c2", "h", "x", ["a", "z"], ["a"]), ("c3", "h", "h", [], ["b"])], "case_id string, question_hash string, recorded_hash string, required array<string>, confusable array<string>")
+    got = {(r.case_id, r.problem) for r in E.case_problems(cases, spark.createDataFrame([("a",), ("b",)], "id string")).collect()}
+    assert got == {("c1", "repeated_case"), ("c2", "other_question"), ("c2", "unknown_id"), ("c2", "required_and_confusable"), ("c3", "nothing_required")}
+    out = spark.createDataFrame([(1, '{"requirements": [{"id": "r1", "slots": {"op": "gte", "v": "3"}}]}'), (2, "{broken"), (3, None)], "k int, t string")
+    assert {tuple(r) for r in E.decode_nested(out, "k", "t").collect()} == {(1, "r1", "op", "gte", None), (1, "r1", "v", "3", None), (2, None, None, None, "unreadable"), (3, None, None, None, "unreadable")}
+    terms = spark.createDataFrame([("a", None), ("b", "a"), ("c", "gone"), ("a", None)], "id string, owner string")
+    assert {tuple(r) for r in E.registry_problems(terms, spark.createDataFrame([("a",), ("b",), ("zz",)], "id string")).collect()} == {("a", "repeated_term"), ("c", "unknown_owner"), ("c", "term_without_form"), ("zz", "form_of_no_term")}
+    assert G.selection_policy(1) == "unique_per_subject" and G.selection_policy(3) == "latest_effective_as_of"
+    with pytest.raises(G.Refused):
+        G.selection_policy(None)
