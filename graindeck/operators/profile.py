@@ -27,24 +27,32 @@ def value_counts(df: DataFrame, load: str, columns: list[str] | None = None, nul
     Columns in ``nulls_only`` count as null or not, all values alike.
 
     num orders a value: numbers by themselves (NaN above all), dates and timestamps by time, other types by text only (num null).
+
+    Each column is counted by itself in its own type, which reads that column and the load only and combines on the map side;
+    the union of the counts is the unpivoted table, without a row per cell ever being made.
     """
-    kinds = dict(df.dtypes)
-    cells = []
+    kinds, parts = dict(df.dtypes), []
     for c in columns or df.columns:
         kind, col = kinds[c], F.col(f"`{c}`")
+        if c in nulls_only:
+            kind, col = "string", F.when(col.isNotNull(), F.lit(""))
+        elif kind.startswith(("array", "map", "struct")):
+            kind, col = "string", F.to_json(col)  # nested values and booleans profile by their text
+        v = F.col("v")
         if kind in NUMBERS or kind.startswith("decimal"):
-            num = F.when(col == 0, F.lit(0.0)).otherwise(col.cast("double"))
+            num = F.when(v == 0, F.lit(0.0)).otherwise(v.cast("double"))
         elif kind == "date":
-            num = F.datediff(col, F.lit("1970-01-01")).cast("double")
+            num = F.datediff(v, F.lit("1970-01-01")).cast("double")
         elif kind.startswith("timestamp"):
-            num = F.unix_micros(col.cast("timestamp")).cast("double")
+            num = F.unix_micros(v.cast("timestamp")).cast("double")
         else:
             num = F.lit(None).cast("double")
-        if c in nulls_only:
-            num, col = F.lit(None).cast("double"), F.when(col.isNotNull(), F.lit(""))
-        # booleans, arrays and structs profile by their text
-        cells.append(F.struct(F.lit(c).alias("column_name"), (F.to_json(col) if kind.startswith(("array", "map", "struct")) and c not in nulls_only else col.cast("string")).alias("text"), num.alias("num")))
-    return df.select(F.col(load).alias("load"), F.explode(F.array(*cells)).alias("c")).groupBy("c.column_name", "c.text", "c.num", "load").agg(F.count(F.lit(1)).alias("n"))
+        one = df.select(F.col(load).alias("load"), col.alias("v")).groupBy("load", "v").agg(F.count(F.lit(1)).alias("n"))
+        parts.append(one.select(F.lit(c).alias("column_name"), v.cast("string").alias("text"), num.alias("num"), "load", "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def column_profile(counts: DataFrame, points: tuple[float, ...] = (0.01, 0.25, 0.5, 0.75, 0.99), partitions: int | None = None) -> DataFrame:
