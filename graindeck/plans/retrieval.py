@@ -54,25 +54,31 @@ _V = f"SELECT role || ':' || text AS form_id, 't:' || lower(text) AS semantic_id
 _TIER = f"SELECT question_id, form_id, semantic_id, role, text, normal, question_normal, CASE WHEN trim(question) = text THEN 'exact' WHEN question_normal = normal THEN 'normalized' WHEN contains(question_normal, normal) THEN 'phrase' END AS tier FROM ({_Q}) q, ({_V}) v WHERE trim(question) = text OR question_normal = normal OR contains(question_normal, normal)"
 
 
-def _grounded(t) -> DataFrame:
-    return R.match_pairs(R.candidate_pairs(_questions(t), _word_forms(t))).where(F.col("tier") != "substring")
+def _matched(t) -> DataFrame:
+    """All four tiers; the SQL below states the first three only."""
+    return R.match_pairs(R.candidate_pairs(_questions(t), _word_forms(t)))
+
+
+def _contained(t) -> DataFrame:
+    """Forms that stand in the question whole, which is all that the probe and the ledger scan for."""
+    return _matched(t).where(F.col("tier") != "substring")
 
 
 @register(f"SELECT question_id, form_id, tier FROM ({_TIER})")
 def i3_tiers(t) -> DataFrame:
-    """Grounded tiers of every question against the vocabulary."""
-    return _grounded(t).select("question_id", "form_id", "tier")
+    """Tiers of every question against the vocabulary, fragments too."""
+    return _matched(t).select("question_id", "form_id", "tier")
 
 
 @register(f"SELECT question_id, form_id, CASE WHEN tier = 'phrase' THEN 'substring' ELSE tier END AS tier FROM ({_TIER})")
 def i4_shadowed(t) -> DataFrame:
     """Every word stands inside its whole name, so each phrase is shadowed by it."""
-    return R.downgrade_shadowed(_grounded(t)).select("question_id", "form_id", "tier")
+    return R.downgrade_shadowed(_matched(t)).select("question_id", "form_id", "tier")
 
 
 @register(f"SELECT question_id, semantic_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id, semantic_id ORDER BY CASE tier WHEN 'exact' THEN 1 WHEN 'normalized' THEN 2 ELSE 3 END, length(normal) DESC, form_id) AS r FROM ({_TIER})) WHERE r = 1")
 def i5_best_per_term(t) -> DataFrame:
-    return R.best_per_term(_grounded(t)).select("question_id", "semantic_id", "tier")
+    return R.best_per_term(_matched(t)).select("question_id", "semantic_id", "tier")
 
 
 _QV = "SELECT e.vec_id, e.label, q.vec_id AS query_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id"
@@ -136,7 +142,7 @@ def i14_inner_product_topk(t) -> DataFrame:
 
 @register(f"SELECT question_id, semantic_id, max(length(normal)) AS longest, count(*) AS matches FROM ({_TIER}) GROUP BY ALL")
 def i17_lexical_probe(t) -> DataFrame:
-    return _grounded(t).groupBy("question_id", "semantic_id").agg(F.max(F.length("normal")).alias("longest"), F.count(F.lit(1)).alias("matches"))
+    return _contained(t).groupBy("question_id", "semantic_id").agg(F.max(F.length("normal")).alias("longest"), F.count(F.lit(1)).alias("matches"))
 
 
 @register("SELECT DISTINCT x AS term FROM (SELECT 'n' || n_nationkey AS x FROM nation WHERE n_nationkey < 4 UNION ALL SELECT 'r' || n_regionkey FROM nation WHERE n_nationkey < 4)")
@@ -386,7 +392,7 @@ def m16_run_summary(t) -> DataFrame:
 @register()
 def m18_span_ledger(t) -> DataFrame:
     """Overlapping matches of words and whole names, resolved longest first."""
-    m = _grounded(t).select("question_id", "form_id", F.explode("starts").alias("start"), F.col("reach").cast("int").alias("length"))
+    m = _contained(t).select("question_id", "form_id", F.explode("starts").alias("start"), F.col("reach").cast("int").alias("length"))
     return E.span_ledger(m.withColumn("start", F.col("start").cast("int")))
 
 
