@@ -92,12 +92,12 @@ def best_per_term(matches: DataFrame, question: str = "question_id", settings: S
     return ranked.where(F.col("rank") <= settings.max_candidates).drop("order")
 
 
-def search_blocks(entries: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float | None = None, top_k: int | None = None, block: int = 512, chunk: int = 4096) -> DataFrame:
+def search_blocks(entries: DataFrame, queries: DataFrame, key: str, vector: str, threshold: float | None = None, top_k: int | None = None, block: int = 512, chunk: int = 4096, digits: int | None = 5) -> DataFrame:
     """(key, query_id, score[, rank]): a stated query set against all entries by inner product in double, exhaustively.
 
     Entries are packed into chunks and queries into blocks of about a fixed number of vectors, by hash; every chunk meets every block
     once and a pair is one matrix product in a worker. Neither side is broadcast or collected, and a task holds one chunk and
-    one block. With ``top_k`` a pair passes on its k best per query (all ties) and the final cut, ties by key, ranks those few.
+    one block. With ``top_k`` a pair passes on its k best per query (all ties) and the final cut, ties by key, ranks those few. Scores are rounded to ``digits`` last, if at all.
     """
     kind = entries.schema[key].dataType.simpleString()
 
@@ -124,7 +124,7 @@ def search_blocks(entries: DataFrame, queries: DataFrame, key: str, vector: str,
     if top_k is not None:
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
         out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
-    return out.withColumn("score", F.round("score", 5))
+    return out if digits is None else out.withColumn("score", F.round("score", digits))
 
 
 def embedding_candidates(scores: DataFrame, settings: Settings = Settings()) -> DataFrame:

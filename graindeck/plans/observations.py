@@ -286,10 +286,11 @@ def h15_l2_normalise(t) -> DataFrame:
 
 @register("SELECT a.vec_id, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 5) AS score FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q")
 def h16_dot_product(t) -> DataFrame:
-    from graindeck.functions.vectors import dot
+    """Every row with each of the stated queries; the SQL takes one query."""
+    from graindeck.operators.retrieve import search_blocks
 
-    q = t("embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    return t("embeddings").join(F.broadcast(q), F.lit(True)).select("vec_id", F.round(dot(F.col("embedding"), F.col("q")), 5).alias("score"))
+    e = t("embeddings").select("vec_id", "embedding")
+    return search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding").select("query_id", "vec_id", "score")
 
 
 @register("SELECT column_name, relation, count(*) AS n FROM (SELECT 'name' AS column_name, CASE WHEN m.external_product_name = s.display_name THEN '=' ELSE '<>' END AS relation FROM product_portfolio_map m JOIN subject s USING (subject_key) WHERE m.external_product_name IS NOT NULL AND s.display_name IS NOT NULL) GROUP BY ALL")

@@ -445,22 +445,22 @@ def f2_rank_without_selection(t) -> DataFrame:
 
 @register("SELECT vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS score FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) DESC, vec_id LIMIT 20")
 def f4_vector_topk(t) -> DataFrame:
-    from graindeck.functions.vectors import dot
+    """The first 20 rows for each of the stated queries; the SQL takes one query."""
+    from graindeck.operators.retrieve import search_blocks
 
-    q = t("embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    s = t("embeddings").join(F.broadcast(q), F.lit(True)).select("vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    return S.top_k(s, "score", "vec_id", 20).withColumn("score", F.round("score", 5))
+    e = t("embeddings").select("vec_id", "embedding")
+    return search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", top_k=20).select("query_id", "vec_id", "score")
 
 
 @register("SELECT label, vec_id, round(s, 5) AS score FROM (SELECT label, arg_min(vec_id, (-s, vec_id)) AS vec_id, max(s) AS s FROM (SELECT e.label, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) q) GROUP BY 1) ORDER BY s DESC, label LIMIT 5")
 def f5_topk_after_dedup(t) -> DataFrame:
-    """The cut applies to semantic ids, not to their forms."""
-    from graindeck.functions.vectors import dot
+    """The cut applies to semantic ids, not to their forms, for each of the stated queries; the SQL takes one query."""
+    from graindeck.operators.retrieve import search_blocks
 
-    q = t("embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("q"))
-    s = t("embeddings").join(F.broadcast(q), F.lit(True)).select("label", "vec_id", dot(F.col("embedding"), F.col("q")).alias("score"))
-    best = S.best_of(s, ["label"], F.struct(-F.col("score"), F.col("vec_id")), ["vec_id", "score"])
-    return S.top_k(best, "score", "label", 5).withColumn("score", F.round("score", 5))
+    e = t("embeddings").select("vec_id", "label", "embedding")
+    s = search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", digits=None).join(e.select("vec_id", "label"), "vec_id")
+    best = S.best_of(s, ["query_id", "label"], F.struct(-F.col("score"), F.col("vec_id")), ["vec_id", "score"])
+    return S.bounded_sample(best, ["query_id"], [F.col("score").desc(), F.col("label")], 5).withColumn("score", F.round("score", 5))
 
 
 @register()

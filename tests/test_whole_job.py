@@ -1,6 +1,7 @@
 """Registered queries over small tables against brute force: the whole job, not a part of it."""
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -64,3 +65,18 @@ def test_probe_and_ledger_scan_for_whole_forms(spark, parts):
     run = lambda name: entry.queries()[name](spark, parts).collect()
     assert {(r.question_id, r.semantic_id): (r.longest, r.matches) for r in run("i17_lexical_probe")} == probe
     assert Counter((r.question_id, r.form_id, r.start, r.length) for r in run("m18_span_ledger")) == Counter((m[0], m[1], s, m[6]) for m in want for s in m[5])
+
+
+def test_every_stated_query_is_searched(spark, tmp_path):
+    v = np.random.default_rng(7).normal(size=(130, 6)).astype(np.float32)
+    label = [i * 7 % 11 for i in range(130)]
+    spark.createDataFrame([(i, [float(y) for y in x], label[i]) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    queries = [0, 50, 100]
+    s = v.astype(float) @ v[queries].astype(float).T
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.vec_id): r.score for r in run("h16_dot_product")} == pytest.approx({(q, i): s[i, k] for k, q in enumerate(queries) for i in range(130)}, abs=1e-5)
+    ranked = {q: sorted(range(130), key=lambda i: (-s[i, k], i)) for k, q in enumerate(queries)}
+    assert sorted((r.query_id, r.vec_id) for r in run("f4_vector_topk")) == sorted((q, i) for q in queries for i in ranked[q][:20])
+    first = {q: list({label[i]: i for i in reversed(ranked[q])}.items()) for q in queries}
+    want = [(q, x, i) for k, q in enumerate(queries) for x, i in sorted(first[q], key=lambda p: (-s[p[1], k], p[0]))[:5]]
+    assert sorted((r.query_id, r.label, r.vec_id) for r in run("f5_topk_after_dedup")) == sorted(want)
