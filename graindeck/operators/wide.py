@@ -29,13 +29,15 @@ def attribute_cells(attributes: DataFrame, catalog: DataFrame) -> DataFrame:
                     F.col("effective_as_of").alias("at"), F.col("source_row_id").alias("row"))
 
 
-def metric_cells(metrics: DataFrame, catalog: DataFrame, dimensions: list[str] | None = None) -> DataFrame:
-    """As ``attribute_cells``: finite numeric_value of rows whose value_status is exactly 'valid', of the dimensions named."""
+def metric_cells(metrics: DataFrame, catalog: DataFrame, dimensions: list[str] | None = None, common: str = "numeric_value") -> DataFrame:
+    """As ``attribute_cells``: finite numeric_value of rows whose value_status is exactly 'valid', of the dimensions named. ``common``: the column with
+    the value in its common unit, where that is another; a numeric_value that has none fails with the unit it was recorded in."""
     kinds = catalog.where(F.col("dimension").isin(dimensions or PLAIN_DIMENSIONS)).select("metric_id").dropDuplicates()
     m = metrics.where(F.col("subject_key").isNotNull() & (F.col("value_status") == "valid")).join(F.broadcast(kinds), "metric_id")
-    value = F.when(finite("numeric_value"), F.when(F.col("numeric_value") == 0, F.lit(0.0)).otherwise(F.col("numeric_value")).cast("string"))
+    value = F.when(finite(common), F.when(F.col(common) == 0, F.lit(0.0)).otherwise(F.col(common)).cast("string"))
+    recorded = F.col("numeric_value").cast("string") if common == "numeric_value" else F.concat_ws(" ", F.col("numeric_value").cast("string"), "unit_code", "currency_code")
     return m.select(folded_key("subject_key").alias("entity"), F.col("metric_id").alias("field_id"), F.lit("number").alias("kind"), value.alias("value"), value.alias("shown"),
-                    F.when(F.col("numeric_value").isNotNull() & value.isNull(), F.col("numeric_value").cast("string")).alias("failure"),
+                    F.when(F.col("numeric_value").isNotNull() & value.isNull(), recorded).alias("failure"),
                     F.col("effective_as_of").alias("at"), F.col("source_row_id").alias("row"))
 
 

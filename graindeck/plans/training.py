@@ -35,13 +35,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per subject; shares and amounts in percent and won through the operator of problem 1."""
+    """One row per subject; shares and amounts in percent and won through the operator of problem 1, those whose unit isn't known among the cast failures."""
     t = lambda name: table(spark, d, name)
     fields = wide.catalog_fields(t("attribute_catalog"), t("metric_catalog"))
-    rows = units.decode(units.metric_recordings(t("metric_observation"), t("metric_catalog"), t("data_source")), units.states(t("unit_reference"), t("currency_rate")))
+    kinds = t("metric_catalog").where(F.col("dimension").isin("share", "amount")).select("metric_id")
+    m = t("metric_observation").join(F.broadcast(kinds), "metric_id", "left_semi")  # the catalog lists metrics: tens of rows at any scale
+    # a row without an id goes by its whole content, which re-delivered rows share
+    key = F.coalesce("source_row_id", F.concat(F.lit("\u0001"), F.sha2(F.to_json(F.struct("*")), 256)))
+    rows = units.decode(units.metric_recordings(m.withColumn("source_row_id", key), t("metric_catalog"), t("data_source")), units.states(t("unit_reference"), t("currency_rate")))
     common = rows.where(F.col("value_common").isNotNull()).groupBy("row_key").agg(F.max("value_common").alias("common"))
-    m = t("metric_observation").withColumn("row_key", F.concat("metric_id", F.lit("@"), "source_row_id")).join(common, "row_key").withColumn("numeric_value", F.col("common"))
-    money = wide.metric_cells(m, t("metric_catalog"), ["share", "amount"])
+    m = m.withColumn("row_key", F.concat(F.col("metric_id"), F.lit("@"), key)).join(common, "row_key", "left")
+    money = wide.metric_cells(m, t("metric_catalog"), ["share", "amount"], "common")
     plain = wide.metric_cells(t("metric_observation"), t("metric_catalog"))
     cells = wide.attribute_cells(t("attribute_observation"), t("attribute_catalog")).unionByName(plain).unionByName(money)
     return wide.widen(wide.resolved_pairs(cells), fields, t("subject"))

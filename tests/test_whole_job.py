@@ -1,4 +1,5 @@
 """Registered queries over small tables against brute force: the whole job, not a part of it."""
+import datetime as dt
 from collections import Counter
 
 import numpy as np
@@ -80,3 +81,24 @@ def test_every_stated_query_is_searched(spark, tmp_path):
     first = {q: list({label[i]: i for i in reversed(ranked[q])}.items()) for q in queries}
     want = [(q, x, i) for k, q in enumerate(queries) for x, i in sorted(first[q], key=lambda p: (-s[p[1], k], p[0]))[:5]]
     assert sorted((r.query_id, r.label, r.vec_id) for r in run("f5_topk_after_dedup")) == sorted(want)
+
+
+def _write(spark, d, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{d}/{name}.parquet")
+
+
+def test_wide_keeps_values_of_unknown_unit(spark, tmp_path):
+    day = dt.date(2026, 3, 1)
+    metric = lambda s, m, v, unit, cur, row: (s, m, v, None, unit, cur, day, "src", row, "valid")
+    rows = [metric("A", "met:fee", 2.5, None, None, "r1"), metric("A", "met:aum", 7.0, "million", None, "r2"), metric("B", "met:fee", 30.0, "bp", None, None), metric("B", "met:fee", 30.0, "bp", None, None),
+            metric("B", "met:aum", float("nan"), "KRW", None, "r3"), metric("C", "met:fee", 4.0, None, None, None), metric("C", "met:aum", 2.0, "thousand", "KRW", None)]
+    _write(spark, tmp_path, metric_observation=(rows, "subject_key string, metric_id string, numeric_value double, raw_text_value string, unit_code string, currency_code string, effective_as_of date, source_id string, source_row_id string, value_status string"),
+           metric_catalog=([("met:fee", "share"), ("met:aum", "amount")], "metric_id string, dimension string"), attribute_catalog=([("att:x", "string")], "attribute_id string, value_type string"),
+           attribute_observation=([("A", "att:x", "word", day, "a1")], "subject_key string, attribute_id string, label_value string, effective_as_of date, source_row_id string"), subject=([("A",), ("B",), ("C",)], "subject_key string"),
+           data_source=([("src", None)], "source_id string, note string"), currency_rate=([("KRW", 1.0), ("USD", 1400.0)], "currency_code string, krw_per_unit double"),
+           unit_reference=([("percent_observed", "share", 1.0), ("basis_point", "share", 0.01), ("currency_amount", "amount", 1.0), ("thousand", "amount", 1e3), ("million", "amount", 1e6)], "unit_id string, dimension string, factor_to_common double"))
+    got = {r.subject_key: r for r in entry.queries()["p2_wide"](spark, str(tmp_path)).collect()}
+    assert got["A"].cast_failures == {"met:fee": "2.5", "met:aum": "7.0 million"} and got["A"].met_fee is None
+    assert got["B"].met_fee == pytest.approx(0.3) and got["B"].cast_failures == {"met:aum": "NaN KRW"} and got["B"].competing == []
+    assert got["C"].met_aum == pytest.approx(2000.0) and got["C"].cast_failures == {"met:fee": "4.0"}
