@@ -7,8 +7,9 @@ unit (unit column, text, note of its source) is evidence that admits one state o
 rows that state nothing from the jumps between their neighbours.
 
 Rows go to tasks by range of (device, date, row), so a device with a third of all rows is spread over many tasks;
-nothing is grouped. A device cut between two tasks is decoded on either side alone, which can matter only for rows
-that state no unit.
+nothing is grouped. Rows that state no unit and reach the edge of a task or block stay open there and go, with the rows
+next to them that do state one, to the one task of their device, so a device that was cut is decoded as if whole. That
+task holds the open stretches of a device, not the device.
 """
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from graindeck.session import parallelism
 from graindeck.sources.tables import finite, folded_key
 
 COMMON = {"share": ("percent_observed", "none"), "amount": ("currency_amount", "KRW")}
-#: Rows of one device that the decoder holds at most before it fixes their states and goes on from the last.
+#: Rows of one device that the decoder holds at most before it fixes their states; those that reach the cut stay open.
 HELD_ROWS = 1 << 16
 
 
@@ -106,7 +108,7 @@ def viterbi(logs: np.ndarray, days: np.ndarray, pinned: np.ndarray, factors: np.
     return path
 
 
-def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], partitions: int | None = None) -> DataFrame:
+def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], partitions: int | None = None, held_rows: int = HELD_ROWS) -> DataFrame:
     """One row per recorded value with the unit decoded for it and its value in percent or won.
 
     Adds value_common and basis: column, text or note where the row states its unit, 'level' where Viterbi inferred it
@@ -116,14 +118,25 @@ def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], par
     """
     index = {(u, c): i for i, (_, u, c, _) in enumerate(hidden)}
     rows = recordings.select("kind", "device", F.coalesce(F.datediff("at", F.lit("1970-01-01")), F.lit(-1_000_000)).alias("day"), "row_key", "amount", "value", "unit", "currency", "text", "note")
-    rows = rows.repartitionByRange(partitions or parallelism(recordings.sparkSession), "device", "day", "row_key").sortWithinPartitions("device", "day", "row_key")
+    n_tasks = partitions or parallelism(recordings.sparkSession)
+    rows = rows.repartitionByRange(n_tasks, "device", "day", "row_key").sortWithinPartitions("device", "day", "row_key")
     factor = np.array([f for *_, f in hidden])
     is_share = np.array([d == "share" for d, *_ in hidden])
     share, amount = np.flatnonzero(is_share), np.flatnonzero(~is_share)
     tables, quantities = pa.array(["metric_observation", "holding_observation", "holding_observation"]), pa.array(["numeric_value", "weight_value", "value_amount"])
     names = pa.array([u for _, u, _, _ in hidden]), pa.array([c for _, _, c, _ in hidden])
 
-    def flush(t: pa.Table) -> pa.RecordBatch:
+    fields = {"table_name": pa.string(), "quantity": pa.string(), "row_key": pa.string(), "unit_id": pa.string(), "currency_code": pa.string(), "value": pa.float64(), "value_common": pa.float64(), "basis": pa.string()}
+    # of an open row: what decides it, whether it comes out (or stands beside open rows) and its place in the whole order
+    carried = {"__kind": pa.int32(), "__device": pa.int64(), "__day": pa.int32(), "__row_key": pa.string(), "__amount": pa.bool_(), "__value": pa.float64(), "__unit": pa.string(), "__currency": pa.string(), "__text": pa.string(), "__note": pa.string(),
+               "__shown": pa.bool_(), "__seq": pa.int64()}
+
+    def batch(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c].cast(x) if c in columns else pa.nulls(n, x) for c, x in (fields | carried).items()], names=[*fields, *carried])
+
+    def flush(t: pa.Table, head: bool = False, tail: bool = False, before: tuple | None = None, seq: int = 0) -> Iterator[pa.RecordBatch]:
+        """The rows of ``t`` with their states. head, tail: the first, the last device may have more rows outside of ``t``. before: device, day and key
+        of the row ahead of ``t``. seq: place of its first row in the whole order."""
         n = t.num_rows
         device, day = t["device"].to_numpy(), t["day"].to_numpy()
         said = [U.stated(not c, u, k, x, y) for c, u, k, x, y in zip(*(t[f].to_pylist() for f in ("amount", "unit", "currency", "text", "note")))]
@@ -134,8 +147,19 @@ def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], par
         # Viterbi leaves a pinned row its only admitted state: only stretches with unpinned rows need the trellis.
         starts = np.flatnonzero(np.r_[True, device[1:] != device[:-1]])
         ends = np.r_[starts[1:], n]
-        loose = np.add.reduceat(pins < 0, starts) if n else []
-        tied = np.add.reduceat(pins >= 0, starts) if n else []
+        open_, beside = np.zeros(n, bool), np.zeros(n, bool)
+        if head:
+            a, b = starts[0], ends[0]
+            first = a + int(np.argmax(pins[a:b] >= 0)) if (pins[a:b] >= 0).any() else b
+            open_[a:first] = True
+            beside[first : first + (first < b)] = True
+        if tail:
+            a, b = starts[-1], ends[-1]
+            last = b - 1 - int(np.argmax(pins[a:b][::-1] >= 0)) if (pins[a:b] >= 0).any() else a - 1
+            open_[last + 1 : b] = True
+            beside[last : last + (last >= a)] = True
+        loose = np.add.reduceat((pins < 0) & ~open_, starts)
+        tied = np.add.reduceat(pins >= 0, starts)
         with np.errstate(divide="ignore", invalid="ignore"):
             logs = np.log(np.abs(value))
         logs[~np.isfinite(logs)] = np.nan
@@ -143,46 +167,67 @@ def decode(recordings: DataFrame, hidden: list[tuple[str, str, str, float]], par
             own = amount if cash[a] else share
             place = np.full(len(hidden) + 1, -1)
             place[own] = np.arange(len(own))
-            at = np.flatnonzero(pins[a:b] < 0) + a
+            at = np.flatnonzero((pins[a:b] < 0) & ~open_[a:b]) + a
             # a stretch runs from the last pinned row before its loose rows to the first after them
             for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                 lo, hi = max(a, run[0] - 1), min(b, run[-1] + 2)
                 path = viterbi(logs[lo:hi], day[lo:hi].astype(float), place[pins[lo:hi]], np.log(factor[own]))
                 state[run] = own[path[run - lo]]
         same = np.zeros(n, bool)
+        text = key.to_numpy(zero_copy_only=False)
         if n > 1:
-            text = key.to_numpy(zero_copy_only=False)
             keyed = np.array([x is not None for x in text])  # a row without a key is no re-delivery of another
             same[1:] = (device[1:] == device[:-1]) & (day[1:] == day[:-1]) & (text[1:] == text[:-1]) & keyed[1:]
+        same[0] = before is not None and text[0] is not None and before == (device[0], day[0], text[0])
         told = state >= 0
         common = np.where(told, value * factor[np.where(told, state, 0)], np.nan)
         null = ~told
         basis = pa.array([x[2] if p >= 0 else "level" if y else None for x, p, y in zip(said, pins, told)], pa.string())
         kinds = t["kind"].combine_chunks()
         take = pa.array(np.where(told, state, 0), pa.int32(), mask=null)
-        out = pa.RecordBatch.from_arrays(
-            [tables.take(kinds), quantities.take(kinds), key, names[0].take(take), names[1].take(take),
-             t["value"].combine_chunks(), pa.array(common, mask=null | ~np.isfinite(value)), basis],
-            names=["table_name", "quantity", "row_key", "unit_id", "currency_code", "value", "value_common", "basis"])
-        return out.filter(pa.array(~same)) if same.any() else out
+        out = [tables.take(kinds), quantities.take(kinds), key, names[0].take(take), names[1].take(take),
+               t["value"].combine_chunks(), pa.array(common, mask=null | ~np.isfinite(value)), basis]
+        if "seq" not in t.column_names:
+            yield batch(n, dict(zip(fields, out))).filter(pa.array(~same & ~open_))
+            left = t.append_column("shown", pa.array(open_ & ~same)).append_column("seq", pa.array(seq + np.arange(n))).filter(pa.array(open_ | beside))
+            if left.num_rows:
+                yield batch(left.num_rows, {"__" + c: left[c].combine_chunks() for c in left.column_names})
+        else:
+            yield pa.RecordBatch.from_arrays(out, names=[*fields]).filter(t["shown"].combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, before, head, seq = None, None, True, TaskContext.get().partitionId() << 40
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             device = t["device"].to_numpy()
             cut = int(np.searchsorted(device, device[-1]))  # sorted: the last device may go on in the next batch
-            if cut == 0 and t.num_rows < HELD_ROWS:
+            if cut == 0 and t.num_rows < held_rows:
                 held = t
                 continue
-            if cut == 0:
-                cut = t.num_rows - 1
-            yield flush(t.slice(0, cut).combine_chunks())
-            held = t.slice(cut).combine_chunks()
-        if held is not None and held.num_rows:
-            yield flush(held.combine_chunks())
-
-    return rows.mapInArrow(run, "table_name string, quantity string, row_key string, unit_id string, currency_code string, value double, value_common double, basis string")
+            tail = cut == 0
+            cut = cut or t.num_rows
+            yield from flush(t.slice(0, cut).combine_chunks(), head, tail, before, seq)
+            before, head, seq = (device[cut - 1], t["day"][cut - 1].as_py(), t["row_key"][cut - 1].as_py()), tail, seq + cut
+            held = t.slice(cut).combine_chunks() if cut < t.num_rows else None
+        if held is not None:
+            yield from flush(held, head, True, before, seq)
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = []
+        for b in batches:
+            done = b["__device"].is_null()
+            yield b.filter(done).select([*fields])
+            kept.append(b.filter(b["__device"].is_valid()).select([*carried]))
+        t = pa.Table.from_batches(kept).rename_columns([c[2:] for c in carried]) if kept else None
+        if t is not None and t.num_rows:
+            yield from flush(t.sort_by([("device", "ascending"), ("seq", "ascending")]).combine_chunks())
+
+    of = {pa.string(): "string", pa.float64(): "double", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean"}
+    schema = lambda columns: ", ".join(f"{c} {of[x]}" for c, x in columns.items())
+    parts = rows.mapInArrow(run, schema(fields | carried)).repartition(n_tasks, F.coalesce("__device", F.xxhash64("row_key", "quantity", "value")))
+    return parts.mapInArrow(join_up, schema(fields))
 
 
 def with_percent_weight(holdings: DataFrame, sources: DataFrame, unit_reference: DataFrame) -> DataFrame:

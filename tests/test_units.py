@@ -122,3 +122,25 @@ def test_result_does_not_depend_on_partitions(spark):
     hidden = [("share", "percent_observed", "none", 1.0), ("share", "basis_point", "none", 0.01)]
     a, b = (sorted(map(tuple, O.decode(rec, hidden, n).collect())) for n in (1, 7))
     assert a == b and len(a) == 200
+
+
+@pytest.mark.parametrize("n, held, size", [(7, 1 << 16, 10_000), (1, 4, 3), (5, 4, 3)])
+def test_a_device_that_is_cut_decodes_as_if_whole(spark, n, held, size):
+    """Long stretches without a unit between few rows that state one, some rows delivered twice, cut between tasks and blocks."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        unit = {5: "%", 35: "bp", 290: "bp"}.get(i)
+        switched = i % 60 > 20
+        row = ("A", "met:fee", float(round((2.0 + rng.normal(0, 0.02)) * (100 if switched else 1), 4)), None, unit, None, dt.date(2026, 1, 1) + dt.timedelta(days=i), "s", f"s#{i:03d}")
+        rows += [row] * (1 + (i % 4 == 0))
+    cat = spark.createDataFrame([("met:fee", "share")], "metric_id string, dimension string")
+    rec = O.metric_recordings(spark.createDataFrame(rows, METRIC), cat, spark.createDataFrame([("s", None)], "source_id string, note string"))
+    hidden = [("share", "percent_observed", "none", 1.0), ("share", "basis_point", "none", 0.01)]
+    whole = sorted(map(tuple, O.decode(rec, hidden, 1).collect()))
+    assert len(whole) == 300 and {r[-1] for r in whole} == {"column", "level"}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        assert sorted(map(tuple, O.decode(rec, hidden, n, **({"held_rows": held} if held < 1 << 16 else {})).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
