@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graindeck.operators import observe as O
 from graindeck.operators import select as S
+from graindeck.sources.tables import folded_key, own_subjects
 
 
 @dataclass(frozen=True)
@@ -84,11 +85,11 @@ def resolution_funnel(bindings: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def selected(observations: DataFrame, b: Binding, as_of: str | None = None) -> DataFrame:
-    """One observation per subject (subject_key, value, as_of, source_id, source_row_id) as the binding selects it. Under
-    unique_per_subject a subject with several rows keeps them all, so that the evidence can show it."""
+    """One observation per subject (subject_key, value, as_of, source_id, source_row_id) as the binding selects it, under
+    its folded key. Under unique_per_subject a subject with several rows keeps them all, so that the evidence can show it."""
     c = b.row_columns
     rows = observations.where(O.bound_predicate(b.selector_column, b.selector_value, b.value_column, c["status"], "valid", (c["as_of"], as_of) if as_of else None, b.zero_semantics == "excluded"))
-    rows = rows.select(F.col(c["subject"]).alias("subject_key"), F.col(b.value_column).alias("value"), F.col(c["as_of"]).alias("as_of"), F.col(c["source"]).alias("source_id"), F.col(c["row"]).alias("source_row_id"))
+    rows = rows.select(folded_key(c["subject"]).alias("subject_key"), F.col(b.value_column).alias("value"), F.col(c["as_of"]).alias("as_of"), F.col(c["source"]).alias("source_id"), F.col(c["row"]).alias("source_row_id"))
     rows = rows.where(F.col("subject_key").isNotNull())
     if b.selection == "unique_per_subject":
         return rows.distinct()
@@ -112,9 +113,9 @@ def governed_top_k(observations: DataFrame, displays: DataFrame, order: Binding,
     n = S.positive_limit(n)
     o = selected(observations, order, as_of).select("subject_key", F.col("value").alias("order_value"), F.col("as_of").alias("order_as_of"), "source_id", F.col("source_row_id").alias("order_row"))
     d = selected(displays, display, as_of).select("subject_key", F.col("value").alias("display_value"), F.col("as_of").alias("display_as_of"), F.col("source_row_id").alias("display_row"), F.col("source_id").alias("display_source"))
-    both = o.join(d, "subject_key")
+    both = own_subjects(o.join(d, "subject_key"), subjects)
     e = S.evidence(both)
-    population = subjects.where((F.col("family_id") == order.family_id) & (F.col("subject_grain") == order.subject_grain)).agg(F.countDistinct("subject_key").alias("population"))
+    population = subjects.where((F.col("family_id") == order.family_id) & (F.col("subject_grain") == order.subject_grain)).agg(F.countDistinct(folded_key("subject_key")).alias("population"))
     used = both.select("source_id").union(both.select("display_source")).distinct()
     checked = used.join(sources.select("source_id", F.col("hash_matches").alias("ok"), F.col("sha256").alias("sha")), "source_id", "left")
     integrity = checked.agg(F.coalesce(F.bool_and(F.coalesce("ok", F.lit(False)) & (F.coalesce(F.length("sha"), F.lit(0)) > 0)), F.lit(False)).alias("sources_verified"))

@@ -9,7 +9,7 @@ from graindeck.operators import govern as G
 from graindeck.operators import quality as Q
 from graindeck.operators import relate as R
 from graindeck.plans.registry import Register
-from graindeck.sources.tables import folded_key
+from graindeck.sources.tables import folded_key, folded_subjects, own_subjects
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -78,7 +78,7 @@ def j1_resolution_funnel(t) -> DataFrame:
 
 @register(f"WITH o AS ({_selected('met:return_3m', 'AND numeric_value <> 0')}) SELECT subject_key, numeric_value AS value, effective_as_of AS as_of, source_id, source_row_id FROM o")
 def j4_selected_observations(t) -> DataFrame:
-    return G.selected(t("metric_observation"), ORDER)
+    return own_subjects(G.selected(t("metric_observation"), ORDER), t("subject"))
 
 
 @register("SELECT source_id, coalesce(hash_matches AND length(sha256) > 0, false) AS verified, coalesce(n, 0) AS n_rows FROM data_source LEFT JOIN (SELECT source_id, count(*) AS n FROM metric_observation GROUP BY 1) USING (source_id)")
@@ -91,7 +91,7 @@ _STATE = "SELECT metric_id, family_id, count(DISTINCT subject_key) AS observed,
 
 
 def _states(t) -> DataFrame:
-    per = t("metric_observation").groupBy("metric_id", "family_id", "subject_key").agg(F.count_if(F.col("effective_as_of").isNull()).alias("u"), F.min("effective_as_of").alias("lo"), F.max("effective_as_of").alias("hi"))
+    per = folded_subjects(t("metric_observation")).groupBy("metric_id", "family_id", "subject_key").agg(F.count_if(F.col("effective_as_of").isNull()).alias("u"), F.min("effective_as_of").alias("lo"), F.max("effective_as_of").alias("hi"))
     return per.groupBy("metric_id", "family_id").agg(F.count("subject_key").alias("observed"), F.sum("u").alias("unknown"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
@@ -113,7 +113,8 @@ def j14_metric_rank(t) -> DataFrame:
     from graindeck.sources.tables import finite
 
     m = t("metric_observation").where((F.col("metric_id") == "met:holder_count") & (F.col("value_status") == "valid") & finite("numeric_value"))
-    return S.top_k(S.latest_per_subject(m, ["numeric_value", "effective_as_of", "source_row_id"]), "numeric_value", "subject_key", 15)
+    latest = S.latest_per_subject(folded_subjects(m), ["numeric_value", "effective_as_of", "source_row_id"])
+    return S.top_k(own_subjects(latest, t("subject")), "numeric_value", "subject_key", 15)
 
 
 PF = r"lower(regexp_replace(portfolio_key, '\s', '', 'g'))"

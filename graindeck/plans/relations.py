@@ -8,7 +8,7 @@ from graindeck.operators import aggregate as A
 from graindeck.operators import relate as R
 from graindeck.operators import select as S
 from graindeck.plans.registry import Register
-from graindeck.sources.tables import folded_key
+from graindeck.sources.tables import folded_key, folded_subjects, own_subjects
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -193,13 +193,14 @@ def c21_overlap_join(t) -> DataFrame:
 
 @register("SELECT subject_key, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources FROM metric_observation WHERE subject_key IS NOT NULL GROUP BY 1")
 def d1_entity_rollup(t) -> DataFrame:
-    m = t("metric_observation").where(F.col("subject_key").isNotNull()).groupBy("subject_key", "source_id").agg(F.count(F.lit(1)).alias("n"))
-    return m.groupBy("subject_key").agg(F.sum("n").alias("n_rows"), F.count("source_id").alias("n_sources"))
+    m = folded_subjects(t("metric_observation")).where(F.col("subject_key").isNotNull()).groupBy("subject_key", "source_id").agg(F.count(F.lit(1)).alias("n"))
+    return own_subjects(m.groupBy("subject_key").agg(F.sum("n").alias("n_rows"), F.count("source_id").alias("n_sources")), t("subject"))
 
 
 @register("SELECT subject_key, arg_min(raw_text_value, source_row_id || metric_id) AS first_text FROM metric_observation WHERE subject_key IS NOT NULL GROUP BY 1")
 def d2_arg_min_first(t) -> DataFrame:
-    return t("metric_observation").where(F.col("subject_key").isNotNull()).groupBy("subject_key").agg(A.first_by("raw_text_value", F.concat("source_row_id", "metric_id")).alias("first_text"))
+    m = folded_subjects(t("metric_observation")).where(F.col("subject_key").isNotNull())
+    return own_subjects(m.groupBy("subject_key").agg(A.first_by("raw_text_value", F.concat("source_row_id", "metric_id")).alias("first_text")), t("subject"))
 
 
 @register("SELECT security_key, min(security_name_raw) AS some_name, min(currency) AS some_currency FROM holding_observation WHERE security_key IS NOT NULL GROUP BY 1")
@@ -217,7 +218,7 @@ def d4_column_profile(t) -> DataFrame:
 
 @register("SELECT metric_id, count(DISTINCT subject_key) FILTER (WHERE value_status = 'valid') AS n_valid, count(DISTINCT subject_key) FILTER (WHERE value_status = 'zero_excluded') AS n_zero, count(DISTINCT subject_key) FILTER (WHERE value_status = 'parse_failed') AS n_failed FROM metric_observation GROUP BY 1")
 def d5_status_distincts(t) -> DataFrame:
-    c = A.status_coverage(t("metric_observation"), "metric_id", [])
+    c = A.status_coverage(folded_subjects(t("metric_observation")), "metric_id", [])
     return c.select("metric_id", F.col("n_valid_subjects").alias("n_valid"), F.col("n_zero_subjects").alias("n_zero"), F.col("n_failed_subjects").alias("n_failed"))
 
 
@@ -230,7 +231,7 @@ _COVER = """SELECT metric_id, family_id, subject_grain, count(*) AS n_rows, coun
 @register(f"SELECT c.*, s.subject_total, greatest(coalesce(s.subject_total, 0) - c.n_subjects, 0) AS missing_subjects FROM ({_COVER}) c LEFT JOIN (SELECT family_id, subject_grain, count(*) AS subject_total FROM subject GROUP BY ALL) s USING (family_id, subject_grain)")
 def d6_semantic_coverage(t) -> DataFrame:
     totals = t("subject").groupBy("family_id", "subject_grain").agg(F.count(F.lit(1)).alias("subject_total"))
-    return A.with_missing(A.status_coverage(t("metric_observation"), "metric_id"), totals)
+    return A.with_missing(A.status_coverage(folded_subjects(t("metric_observation")), "metric_id"), totals)
 
 
 @register(f"SELECT family_id, count(DISTINCT {PF}) AS n_portfolios, count(DISTINCT security_key) AS n_securities, count(DISTINCT holding_key) AS n_holdings, count(DISTINCT holding_key) FILTER (WHERE security_key IS NULL) AS n_unresolved FROM holding_observation GROUP BY 1")
@@ -382,7 +383,7 @@ def _valid(t, metric: str) -> DataFrame:
 
 @register(f"SELECT subject_key, numeric_value, effective_as_of, source_row_id FROM ({_LATEST.format('met:return_3m')}) WHERE r = 1")
 def e1_latest_per_subject(t) -> DataFrame:
-    return S.latest_per_subject(_valid(t, "met:return_3m"), ["numeric_value", "effective_as_of", "source_row_id"])
+    return own_subjects(S.latest_per_subject(folded_subjects(_valid(t, "met:return_3m")), ["numeric_value", "effective_as_of", "source_row_id"]), t("subject"))
 
 
 @register("SELECT source_id, row_number() OVER (ORDER BY source_kind, source_name, collected_at, source_id) AS row_id FROM data_source")
@@ -404,7 +405,7 @@ def e4_partition_count(t) -> DataFrame:
 
 @register(f"SELECT count(*) AS universe, min(effective_as_of) AS lo, max(effective_as_of) AS hi, count(*) FILTER (WHERE effective_as_of IS NULL) AS unknown, list_sort(list(DISTINCT source_id)) AS sources FROM ({_LATEST.format('met:return_3m')}) WHERE r = 1")
 def e5_window_evidence(t) -> DataFrame:
-    s = S.latest_per_subject(_valid(t, "met:return_3m"), ["effective_as_of", "source_id", "source_row_id"])
+    s = S.latest_per_subject(folded_subjects(_valid(t, "met:return_3m")), ["effective_as_of", "source_id", "source_row_id"])
     s = s.withColumns({"order_as_of": F.col("effective_as_of"), "display_as_of": F.col("effective_as_of")})
     return S.evidence(s).select("universe", F.col("order_as_of_min").alias("lo"), F.col("order_as_of_max").alias("hi"), F.col("unknown_as_of").alias("unknown"), "sources")
 

@@ -26,6 +26,16 @@ def with_own_spelling(df: DataFrame, folded: str, entities: DataFrame, key: str,
     return df.join(names, folded, "left").withColumn(out, F.coalesce("__own", folded)).drop("__own", folded)
 
 
+def folded_subjects(df: DataFrame) -> DataFrame:
+    """``df`` with every spelling of a subject_key folded to one."""
+    return df.withColumn("subject_key", folded_key("subject_key"))
+
+
+def own_subjects(df: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Folded subject_keys back in the spelling of ``subjects``."""
+    return with_own_spelling(df.withColumnRenamed("subject_key", "__folded"), "__folded", subjects, "subject_key", "subject_key").select(*df.columns)
+
+
 def finite(c: str | Column) -> Column:
     """Not null, not NaN, not infinite."""
     c = F.col(c) if isinstance(c, str) else c

@@ -102,3 +102,24 @@ def test_wide_keeps_values_of_unknown_unit(spark, tmp_path):
     assert got["A"].cast_failures == {"met:fee": "2.5", "met:aum": "7.0 million"} and got["A"].met_fee is None
     assert got["B"].met_fee == pytest.approx(0.3) and got["B"].cast_failures == {"met:aum": "NaN KRW"} and got["B"].competing == []
     assert got["C"].met_aum == pytest.approx(2000.0) and got["C"].cast_failures == {"met:fee": "4.0"}
+
+
+def test_spellings_of_a_subject_are_one(spark, tmp_path):
+    day = dt.date(2026, 8, 3)
+    row = lambda s, m, v, d, r: (s, "overseas_etp", "product", m, v, f"{v}", d, "valid", "src", r)
+    rows = [row("AB 1", "met:return_3m", 1.0, dt.date(2026, 8, 1), "r1"), row("ab1", "met:return_3m", 5.0, day, "r2"), row("AB1", "met:nav_per_unit", 9.0, day, "r3"), row("CD2", "met:return_3m", 4.0, day, "r4"),
+            row("cd2", "met:nav_per_unit", 8.0, day, "r5"), row("ab1 ", "met:holder_count", 3.0, day, "r6"), row("AB1", "met:holder_count", 2.0, dt.date(2026, 8, 1), "r7")]
+    _write(spark, tmp_path, metric_observation=(rows, "subject_key string, family_id string, subject_grain string, metric_id string, numeric_value double, raw_text_value string, effective_as_of date, value_status string, source_id string, source_row_id string"),
+           subject=([("AB1", "overseas_etp", "product"), ("CD2", "overseas_etp", "product")], "subject_key string, family_id string, subject_grain string"), data_source=([("src", True, "aa")], "source_id string, hash_matches boolean, sha256 string"))
+    run = lambda name: entry.queries()[name](spark, str(tmp_path)).collect()
+    for name in ("j5_governed_topk", "j6_snapshot_check"):
+        assert [(r.subject_key, r.order_value, r.display_value, r.universe, r.population, r.duplicates) for r in sorted(run(name))] == [("AB1", 5.0, 9.0, 2, 2, 0), ("CD2", 4.0, 8.0, 2, 2, 0)]
+    assert sorted((r.subject_key, r.value) for r in run("j4_selected_observations")) == [("AB1", 5.0), ("CD2", 4.0)]
+    assert [(r.subject_key, r.numeric_value) for r in run("j14_metric_rank")] == [("AB1", 3.0)]
+    assert sorted((r.subject_key, r.source_row_id) for r in run("e1_latest_per_subject")) == [("AB1", "r2"), ("CD2", "r4")]
+    assert [(r.universe, r.lo) for r in run("e5_window_evidence")] == [(2, day)]
+    assert sorted((r.subject_key, r.n_rows, r.n_sources) for r in run("d1_entity_rollup")) == [("AB1", 5, 1), ("CD2", 2, 1)]
+    assert sorted((r.subject_key, r.first_text) for r in run("d2_arg_min_first")) == [("AB1", "1.0"), ("CD2", "4.0")]
+    assert {r.metric_id: r.n_valid for r in run("d5_status_distincts")} == {"met:return_3m": 2, "met:nav_per_unit": 2, "met:holder_count": 1}
+    assert {r.metric_id: (r.n_subjects, r.max_rows_per_subject, r.missing_subjects) for r in run("d6_semantic_coverage")} == {"met:return_3m": (2, 2, 0), "met:nav_per_unit": (2, 1, 0), "met:holder_count": (1, 2, 1)}
+    assert {r.metric_id: r.state for r in run("j9_l9_coverage_state")} == {"met:return_3m": "observed", "met:nav_per_unit": "observed", "met:holder_count": "observed"}
