@@ -86,19 +86,18 @@ def containment_of_words(texts: DataFrame, text: str, forms: DataFrame, form: st
     return keyed.join(forms.withColumn("__w", F.lower(form)), "__w").drop("__w")
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """All (node, ancestor) of a graph of ``child`` to ``parent`` edges, cycles allowed: paths double in length each round and a round
-    that adds nothing ends it, so the rounds are few. A node of a cycle is its own ancestor."""
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """All (node, ancestor) of a graph of ``child`` to ``parent`` edges, cycles allowed and of any depth: paths double in length each round and a
+    round that adds nothing ends it, so the rounds are few. A node of a cycle is its own ancestor."""
     known = cut(edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).distinct(), "closure")
     size = known.count()
-    for _ in range(max_depth.bit_length() + 1):
+    while True:
         longer = known.alias("a").join(known.alias("b"), F.col("a.ancestor") == F.col("b.node")).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"))
         known = cut(known.unionByName(longer).distinct(), "closure")
         grown = known.count()
         if grown == size:
-            break
+            return known
         size = grown
-    return known
 
 
 def neighbours(terms: DataFrame, rules: dict[str, tuple[list[str], Column | None]]) -> DataFrame:

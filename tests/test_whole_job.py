@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from graindeck.operators import relate
 
 NAMES = ["large widget", "red widget", "red wide", "Large Widget", "blue bolt"]
 
@@ -123,3 +124,8 @@ def test_spellings_of_a_subject_are_one(spark, tmp_path):
     assert {r.metric_id: r.n_valid for r in run("d5_status_distincts")} == {"met:return_3m": 2, "met:nav_per_unit": 2, "met:holder_count": 1}
     assert {r.metric_id: (r.n_subjects, r.max_rows_per_subject, r.missing_subjects) for r in run("d6_semantic_coverage")} == {"met:return_3m": (2, 2, 0), "met:nav_per_unit": (2, 1, 0), "met:holder_count": (1, 2, 1)}
     assert {r.metric_id: r.state for r in run("j9_l9_coverage_state")} == {"met:return_3m": "observed", "met:nav_per_unit": "observed", "met:holder_count": "observed"}
+
+
+def test_closure_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a int, b int")
+    assert relate.closure(chain, "a", "b").count() == 300 * 301 // 2
