@@ -23,6 +23,12 @@ def p1_common_values(spark: SparkSession, d: str) -> DataFrame:
     return _normalised(spark, d)
 
 
+def p1_stated_values(spark: SparkSession, d: str) -> DataFrame:
+    """The common values of rows that state their unit."""
+    n = _normalised(spark, d).where(F.col("basis").isin("column", "text", "note") & F.col("value_common").isNotNull())
+    return n.select("table_name", "quantity", "row_key", "unit_id", "currency_code", "value_common")
+
+
 def _pairs(spark: SparkSession, d: str, dimensions: list[str] | None = None) -> DataFrame:
     a = wide.attribute_cells(table(spark, d, "attribute_observation"), table(spark, d, "attribute_catalog"))
     m = wide.metric_cells(table(spark, d, "metric_observation"), table(spark, d, "metric_catalog"), dimensions)
@@ -97,7 +103,7 @@ def p6_load_shifts(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common_values, p2_found, p2_wide, p3_found, p3_portfolio_totals, p3_family_totals, p6_found, p6_profile, p6_load_shifts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_values, p1_stated_values, p2_found, p2_wide, p3_found, p3_portfolio_totals, p3_family_totals, p6_found, p6_profile, p6_load_shifts)}
 
 
 # ---- the same results in SQL
@@ -148,11 +154,15 @@ _NOTES = f"""SELECT source_id, CASE WHEN b THEN {_note_sql(U.NOTE_SHARE_WORDS, '
  FROM (SELECT source_id, lower(note) AS low, regexp_matches(lower(note), {_q(U.NOTE_OF_BLANKS)}) AS b, {_currency_sql('note')} AS c FROM data_source WHERE note IS NOT NULL)"""
 _ROWS = """SELECT DISTINCT 'metric_observation' AS table_name, 'numeric_value' AS quantity, metric_id || '@' || source_row_id AS row_key, dimension = 'share' AS share, numeric_value AS value, unit_code AS unit, currency_code AS cur, raw_text_value AS txt, source_id FROM metric_observation JOIN metric_catalog USING (metric_id) WHERE dimension IN ('share', 'amount')
  UNION ALL SELECT DISTINCT 'holding_observation', 'weight_value', holding_key, true, weight_value, weight_unit, currency, NULL, source_id FROM holding_observation UNION ALL SELECT DISTINCT 'holding_observation', 'value_amount', holding_key, false, value_amount, value_amount_unit, currency, NULL, source_id FROM holding_observation"""
-_P1 = f"""WITH notes AS ({_NOTES}), r AS (SELECT *, unit IS NOT NULL AND lower(trim(unit)) = 'number' AS plain, CASE WHEN unit IS NULL OR lower(trim(unit)) = 'number' THEN {_text_sql('txt')} END AS around FROM ({_ROWS}) LEFT JOIN notes USING (source_id)),
+_READ = f"""WITH notes AS ({_NOTES}), r AS (SELECT *, unit IS NOT NULL AND lower(trim(unit)) = 'number' AS plain, CASE WHEN unit IS NULL OR lower(trim(unit)) = 'number' THEN {_text_sql('txt')} END AS around FROM ({_ROWS}) LEFT JOIN notes USING (source_id)),
  k AS (SELECT *, CASE WHEN unit IS NOT NULL AND NOT plain THEN CASE WHEN share THEN {_share_sql('unit')} ELSE {_amount_sql('unit')} END END AS in_column, CASE WHEN around IS NOT NULL THEN CASE WHEN share THEN {_share_sql('around')} ELSE {_amount_sql('around')} END END AS in_text FROM r),
- n AS (SELECT *, coalesce(in_column, in_text, CASE WHEN unit IS NULL THEN CASE WHEN share THEN note_share ELSE note_amount END END) AS u, CASE WHEN share THEN 'none' ELSE coalesce(CASE WHEN in_column IS NOT NULL THEN {_currency_sql('unit')} WHEN in_text IS NOT NULL THEN {_currency_sql('around')} WHEN unit IS NULL THEN note_currency END, {_currency_sql('cur')}) END AS c FROM k)
+ n AS (SELECT *, coalesce(in_column, in_text, CASE WHEN unit IS NULL THEN CASE WHEN share THEN note_share ELSE note_amount END END) AS u, CASE WHEN share THEN 'none' ELSE coalesce(CASE WHEN in_column IS NOT NULL THEN {_currency_sql('unit')} WHEN in_text IS NOT NULL THEN {_currency_sql('around')} WHEN unit IS NULL THEN note_currency END, {_currency_sql('cur')}) END AS c FROM k)"""
+_P1 = f"""{_READ}
  SELECT table_name, quantity, row_key, CASE WHEN c = 'GBX' THEN 'currency_amount' ELSE u END AS recorded_unit, c AS recorded_currency FROM n WHERE value IS NOT NULL AND isfinite(value) AND u IS NOT NULL AND c IS NOT NULL AND NOT (share AND u = 'percent_observed') AND NOT (NOT share AND u = 'currency_amount' AND c = 'KRW')"""
 
+_P1S = f"""{_READ}, v AS (SELECT *, CASE WHEN c = 'GBX' THEN 'currency_amount' ELSE u END AS unit_id FROM n WHERE u IS NOT NULL AND c IS NOT NULL AND value IS NOT NULL AND isfinite(value))
+ SELECT table_name, quantity, row_key, unit_id, c AS currency_code, value * (factor_to_common * CASE WHEN share THEN 1.0 ELSE krw_per_unit END) AS value_common FROM v JOIN unit_reference r USING (unit_id) LEFT JOIN currency_rate k ON k.currency_code = c WHERE r.dimension = CASE WHEN share THEN 'share' ELSE 'amount' END"""
+
 _BLANK = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _LABEL = f"regexp_replace(label_value, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
 _FOLDED = f"lower(regexp_replace({_LABEL}, '{_BLANK}+', ' ', 'g'))"
@@ -192,4 +202,4 @@ _P6 = f"""SELECT DISTINCT 'violation' AS case_kind, 'metric_observation' AS tabl
  WHERE s IS NULL OR s NOT IN ('checksum_verified', 'format_matched', 'format_matched_checksum_failed', 'unverified_scheme', 'absent', 'declared_by_source', 'placeholder') OR (s = 'absent' AND x IS NOT NULL) OR (s <> 'absent' AND x IS NULL) OR (s = 'checksum_verified' AND NOT {_ISIN_OK})
  UNION ALL {_shift_sql('metric_observation', 'value_status', 'value_status')} UNION ALL {_shift_sql('metric_observation', 'raw_text_value', "CASE WHEN raw_text_value IS NULL THEN 'null' END")} UNION ALL {_shift_sql('holding_observation', 'identifier_status', 'identifier_status')}"""
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p3_found": _P3, "p3_portfolio_totals": _P3T, "p3_family_totals": _P3F, "p6_found": _P6}
+ORACLES = {"p1_found": _P1, "p1_stated_values": _P1S, "p2_found": _P2, "p3_found": _P3, "p3_portfolio_totals": _P3T, "p3_family_totals": _P3F, "p6_found": _P6}
