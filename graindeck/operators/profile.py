@@ -22,18 +22,24 @@ NUMBERS = {"double", "float", "int", "bigint", "smallint", "tinyint"}
 
 
 def value_counts(df: DataFrame, load: str, columns: list[str] | None = None, nulls_only: tuple[str, ...] = ()) -> DataFrame:
-    """(column_name, text, num, load, n): how often each exact value stands in each column and load, null as null.
+    """(column_name, text, num, rest, load, n): how often each exact value stands in each column and load, null as null.
 
     Columns in ``nulls_only`` count as null or not, all values alike.
 
-    num orders a value: numbers by themselves (NaN above all), dates and timestamps by time, other types by text only (num null).
+    num orders a value: numbers by themselves (NaN above all; -0 is 0), dates and timestamps by time, other types by text only (num null).
+    rest is what num, a double, lacks of a long integer or a decimal.
     """
     kinds = dict(df.dtypes)
     cells = []
     for c in columns or df.columns:
         kind, col = kinds[c], F.col(f"`{c}`")
+        rest = F.lit(None).cast("double")
         if kind in NUMBERS or kind.startswith("decimal"):
-            num = F.when(col == 0, F.lit(0.0)).otherwise(col.cast("double"))
+            col = F.when(col == 0, F.lit(0).cast(kind)).otherwise(col)
+            num = col.cast("double")
+            if kind == "bigint" or kind.startswith("decimal"):
+                exact = "decimal(38,0)" if kind == "bigint" else f"decimal(38,{kind.rstrip(')').split(',')[-1]})"
+                rest = (col.try_cast(exact) - num.try_cast(exact)).cast("double")
         elif kind == "date":
             num = F.datediff(col, F.lit("1970-01-01")).cast("double")
         elif kind.startswith("timestamp"):
@@ -41,10 +47,10 @@ def value_counts(df: DataFrame, load: str, columns: list[str] | None = None, nul
         else:
             num = F.lit(None).cast("double")
         if c in nulls_only:
-            num, col = F.lit(None).cast("double"), F.when(col.isNotNull(), F.lit(""))
+            num, rest, col = F.lit(None).cast("double"), F.lit(None).cast("double"), F.when(col.isNotNull(), F.lit(""))
         # booleans, arrays and structs profile by their text
-        cells.append(F.struct(F.lit(c).alias("column_name"), (F.to_json(col) if kind.startswith(("array", "map", "struct")) and c not in nulls_only else col.cast("string")).alias("text"), num.alias("num")))
-    return df.select(F.col(load).alias("load"), F.explode(F.array(*cells)).alias("c")).groupBy("c.column_name", "c.text", "c.num", "load").agg(F.count(F.lit(1)).alias("n"))
+        cells.append(F.struct(F.lit(c).alias("column_name"), (F.to_json(col) if kind.startswith(("array", "map", "struct")) and c not in nulls_only else col.cast("string")).alias("text"), num.alias("num"), rest.alias("rest")))
+    return df.select(F.col(load).alias("load"), F.explode(F.array(*cells)).alias("c")).groupBy("c.column_name", "c.text", "c.num", "c.rest", "load").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_profile(counts: DataFrame, points: tuple[float, ...] = (0.01, 0.25, 0.5, 0.75, 0.99), partitions: int | None = None) -> DataFrame:
@@ -54,22 +60,22 @@ def column_profile(counts: DataFrame, points: tuple[float, ...] = (0.01, 0.25, 0
     has null minimum, maximum and an empty map. NaN is a value and sorts above all numbers.
     """
     spark = counts.sparkSession
-    values = counts.groupBy("column_name", "text", "num").agg(F.sum("n").alias("n"))
+    values = counts.groupBy("column_name", "text", "num", "rest").agg(F.sum("n").alias("n"))
     # written once: a second run of the sort could draw its range borders elsewhere and give other buckets
-    sorted_values = values.repartitionByRange(partitions or parallelism(spark), "column_name", "num", "text").withColumn("bucket", F.spark_partition_id())
+    sorted_values = values.repartitionByRange(partitions or parallelism(spark), "column_name", "num", "rest", "text").withColumn("bucket", F.spark_partition_id())
     values = cut(sorted_values, "profile-values")
     ordered = values.where(F.col("text").isNotNull())
     offsets = ordered.groupBy("column_name", "bucket").agg(F.sum("n").alias("__b"))  # tasks times columns, some thousand rows
     before = Window.partitionBy("column_name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.select("column_name", "bucket", F.coalesce(F.sum("__b").over(before), F.lit(0)).alias("offset"), F.sum("__b").over(Window.partitionBy("column_name")).alias("present"))
-    inside = Window.partitionBy("column_name", "bucket").orderBy("num", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("column_name", "bucket").orderBy("num", "rest", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ordered.withColumn("upto", F.sum("n").over(inside)).join(offsets, ["column_name", "bucket"])
     last, first = F.col("offset") + F.col("upto"), F.col("offset") + F.col("upto") - F.col("n")
     rank = lambda p: F.ceil(F.lit(p) * F.col("present"))
     hits = F.filter(F.array(*[F.when((rank(p) > first) & (rank(p) <= last), F.lit(str(p))) for p in points]), lambda x: x.isNotNull())
-    at = ranked.select("column_name", "text", "num", "n", hits.alias("hits"))
+    at = ranked.select("column_name", "text", "num", "rest", "n", hits.alias("hits"))
     ends = at.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n_distinct"), F.min_by("text", F.struct("num", "text")).alias("minimum"), F.max_by("text", F.struct("num", "text")).alias("maximum"),
+        F.count(F.lit(1)).alias("n_distinct"), F.min_by("text", F.struct("num", "rest", "text")).alias("minimum"), F.max_by("text", F.struct("num", "rest", "text")).alias("maximum"),
         F.map_from_entries(F.flatten(F.collect_list(F.when(F.size("hits") > 0, F.transform("hits", lambda h: F.struct(h, F.col("text"))))))).alias("quantiles"))
     totals = values.groupBy("column_name").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("n_null"))
     return totals.join(ends, "column_name", "left").select(
@@ -87,31 +93,38 @@ def load_order(sources: DataFrame, present: DataFrame) -> DataFrame:
 def load_shifts(counts: DataFrame, sources: DataFrame, partitions: int | None = None) -> DataFrame:
     """(column_name, load, before, share_change, value, null_change, ks): what changed from the feed's load before.
 
-    share_change is the largest change of the share of one exact non-null value among all rows of its load (``value`` is that
-    value, the least of equals), null_change that of nulls, ks the distance of the two cumulative curves over non-null values.
+    The values of a load and of the load before it are merged in one order with both cumulative counts. share_change is the
+    largest step between neighbours of the two curves, that is, of the share of one exact non-null value among all rows of its
+    load (``value`` is that value, the least of equals); ks is the largest gap between the curves over non-null values. Counts add
+    up as integers and are divided once, so no order of addition changes a figure. null_change is that of the share of nulls.
     """
     spark, counts = counts.sparkSession, cut(counts, "profile-counts")
     sizes = counts.groupBy("column_name", "load").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("text").isNotNull(), F.col("n"))), F.lit(0)).alias("present"))
     order = load_order(sources, counts.select("load").distinct())
-    # each count serves its load (plus) and the load after it (minus)
-    sized = counts.join(F.broadcast(sizes), ["column_name", "load"])  # loads times columns
-    now = sized.join(F.broadcast(order), "load").select("column_name", "text", "num", "load", "n", F.lit(0).alias("m"), "rows", "present")
-    past = sized.withColumnRenamed("load", "before").join(F.broadcast(order), "before").select("column_name", "text", "num", "load", F.lit(0).alias("n"), F.col("n").alias("m"), "rows", "present")
-    share = lambda c, of: F.col(c) / F.greatest(F.col(of), F.lit(1))
-    both = now.unionByName(past).withColumns({"d": share("n", "rows") - share("m", "rows"), "c": F.when(F.col("text").isNotNull(), share("n", "present") - share("m", "present")).otherwise(0.0)})
-    steps = both.groupBy("column_name", "load", "num", "text").agg(F.sum("d").alias("d"), F.sum("c").alias("c"))
-    steps = steps.repartitionByRange(partitions or parallelism(spark), "column_name", "load", "num", "text").withColumn("bucket", F.spark_partition_id())
+    past = sizes.select("column_name", F.col("load").alias("before"), F.col("rows").alias("rows_before"), F.col("present").alias("present_before"))
+    sized = cut(sizes.join(order, "load").join(past, ["column_name", "before"]), "profile-loads")  # loads times columns
+    # each count serves its load and the load after it
+    own = counts.where(F.col("text").isNotNull()).select("column_name", "num", "rest", "text", "load", "n")
+    both = own.join(F.broadcast(order.select("load")), "load").withColumn("m", F.lit(0).cast("bigint")).unionByName(
+        own.withColumnRenamed("load", "before").join(F.broadcast(order), "before").select("column_name", "num", "rest", "text", "load", F.lit(0).cast("bigint").alias("n"), F.col("n").alias("m")))
+    steps = both.groupBy("column_name", "load", "num", "rest", "text").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    steps = steps.repartitionByRange(partitions or parallelism(spark), "column_name", "load", "num", "rest", "text").withColumn("bucket", F.spark_partition_id())
     steps = cut(steps, "profile-steps")  # written once, as above
-    sums = steps.groupBy("column_name", "load", "bucket").agg(F.sum("c").alias("__b"))
+    sums = steps.groupBy("column_name", "load", "bucket").agg(F.sum("n").alias("__n"), F.sum("m").alias("__m"))
     w = Window.partitionBy("column_name", "load").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("column_name", "load", "bucket", F.coalesce(F.sum("__b").over(w), F.lit(0.0)).alias("offset"))
-    inside = Window.partitionBy("column_name", "load", "bucket").orderBy("num", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    curve = steps.withColumn("upto", F.sum("c").over(inside)).join(sums, ["column_name", "load", "bucket"])
-    gone = curve.groupBy("column_name", "load").agg(
-        F.max(F.when(F.col("text").isNotNull(), F.abs("d"))).alias("share_change"),
-        F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(-F.abs("d"), F.col("text")))).alias("value"),
-        F.coalesce(F.max(F.when(F.col("text").isNull(), F.abs("d"))), F.lit(0.0)).alias("null_change"), F.max(F.abs(F.col("offset") + F.col("upto"))).alias("ks"))
-    return gone.join(F.broadcast(order), "load").select("column_name", "load", "before", F.coalesce("share_change", F.lit(0.0)).alias("share_change"), "value", "null_change", "ks")
+    sums = sums.select("column_name", "load", "bucket", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias("from" + c) for c in ("__n", "__m")])
+    line = Window.partitionBy("column_name", "load", "bucket").orderBy("num", "rest", "text")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    curve = steps.withColumns({"upto_n": F.sum("n").over(upto), "upto_m": F.sum("m").over(upto)})
+    curve = curve.withColumns({"step_n": F.col("upto_n") - F.lag("upto_n", 1, 0).over(line), "step_m": F.col("upto_m") - F.lag("upto_m", 1, 0).over(line)})
+    curve = curve.join(sums, ["column_name", "load", "bucket"]).join(F.broadcast(sized), ["column_name", "load"])
+    share = lambda c, of: c / F.greatest(F.col(of), F.lit(1))
+    curve = curve.select("column_name", "load", "text", F.abs(share(F.col("step_n"), "rows") - share(F.col("step_m"), "rows_before")).alias("d"),
+                         F.abs(share(F.col("from__n") + F.col("upto_n"), "present") - share(F.col("from__m") + F.col("upto_m"), "present_before")).alias("gap"))
+    gone = curve.groupBy("column_name", "load").agg(F.max("d").alias("share_change"), F.min_by("text", F.struct(-F.col("d"), F.col("text"))).alias("value"), F.max("gap").alias("ks"))
+    nulls = F.abs(share(F.col("rows") - F.col("present"), "rows") - share(F.col("rows_before") - F.col("present_before"), "rows_before"))
+    return sized.join(gone, ["column_name", "load"], "left").select(
+        "column_name", "load", "before", F.coalesce("share_change", F.lit(0.0)).alias("share_change"), "value", nulls.alias("null_change"), F.coalesce("ks", F.lit(0.0)).alias("ks"))
 
 
 def metric_violations(metrics: DataFrame) -> DataFrame:

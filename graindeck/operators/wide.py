@@ -43,29 +43,31 @@ def metric_cells(metrics: DataFrame, catalog: DataFrame, dimensions: list[str] |
 
 def resolved_pairs(cells: DataFrame) -> DataFrame:
     """One row per (entity, field): the value of the latest row that has one (a date outside 2000 to 2026 is none; ties: highest
-    row id, then value), whether two or more different values compete, and a text that failed to cast, if any."""
+    row id, then value), the least and the greatest value any row has, and a text that failed to cast, if any."""
     day = F.when(F.col("at").between("2000-01-01", "2026-12-31"), F.col("at"))
     order = F.struct(F.coalesce(day, F.lit("1000-01-01").cast("date")), F.coalesce("row", F.lit("")), F.col("value"))
     has = F.col("value").isNotNull()
     return cells.groupBy("entity", "field_id", "kind").agg(
-        F.max_by(F.col("shown"), F.when(has, order)).alias("value"),
-        (F.min("value") != F.max("value")).alias("competing"), F.max("failure").alias("failure"))
+        F.max_by(F.col("shown"), F.when(has, order)).alias("value"), F.min("value").alias("least"), F.max("value").alias("greatest"), F.max("failure").alias("failure"))
 
 
 def widen(pairs: DataFrame, fields: list[tuple[str, str]], entities: DataFrame) -> DataFrame:
     """subject_key, one typed column per (field, kind) of ``fields`` (':' written '_'), ``cast_failures`` (field to text) and
-    ``competing`` (fields with two or more different values, sorted). Fields not named go to ``others``."""
+    ``competing``: fields whose least and greatest value, read as the column's type, differ, sorted. Fields not named go to ``others``."""
     maps = pairs.groupBy("entity").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("field_id", "value")))).alias("known"),
-        F.map_from_entries(F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("field_id", "failure")))).alias("cast_failures"),
-        F.sort_array(F.collect_list(F.when(F.col("competing"), F.col("field_id")))).alias("competing"))
-    cells = []
+        F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("field_id", F.struct("value", "least", "greatest"))))).alias("known"),
+        F.map_from_entries(F.collect_list(F.when(F.col("failure").isNotNull(), F.struct("field_id", "failure")))).alias("cast_failures"))
+    cells, competing = [], []
     for field, kind in fields:
-        raw = F.col("known").getItem(field)
-        typed = raw.try_cast("double").cast("bigint") if kind == "integer" else raw.try_cast(SQL_TYPES[kind])
+        pair = F.col("known").getItem(field)
+        typed = pair["value"].try_cast("double").cast("bigint") if kind == "integer" else pair["value"].try_cast(SQL_TYPES[kind])
         cells.append(typed.alias(field.replace(":", "_")))
+        of = "double" if kind == "integer" else SQL_TYPES[kind]  # a whole number may be written with decimals; they tell values apart
+        competing.append(F.when(pair["least"].try_cast(of) != pair["greatest"].try_cast(of), F.lit(field)))
     others = F.map_filter("known", lambda k, _: ~k.isin([f for f, _ in fields]))
-    wide = maps.select("entity", *cells, "cast_failures", "competing", others.alias("others"))
+    unnamed = F.map_keys(F.map_filter(others, lambda _, x: x["least"] != x["greatest"]))
+    wide = maps.select("entity", *cells, "cast_failures", F.sort_array(F.concat(F.array_compact(F.array(F.lit(None).cast("string"), *competing)), unnamed)).alias("competing"),
+                       F.transform_values(others, lambda _, x: x["value"]).alias("others"))
     return with_own_spelling(wide, "entity", entities, "subject_key", "subject_key")
 
 
@@ -79,6 +81,6 @@ def catalog_fields(attribute_catalog: DataFrame, metric_catalog: DataFrame, boun
 
 
 def found(pairs: DataFrame, fields: list[tuple[str, str]], entities: DataFrame) -> DataFrame:
-    """Cells of the wide table with two or more different values."""
+    """Cells of the wide table with two or more different values: the fields its typed columns show as competing."""
     wide = widen(pairs, fields, entities)
     return wide.select("subject_key", F.explode("competing").alias("field_id"))

@@ -1,6 +1,8 @@
 """Queries of the general training-data problems (1, 2, 3, 6) over the named tables."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return wide.found(_pairs(spark, d), fields, table(spark, d, "subject"))
 
 
+def p2_wide_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table of attributes, counts, days and multipliers turned back into its cells."""
+    fields = wide.catalog_fields(table(spark, d, "attribute_catalog"), table(spark, d, "metric_catalog"))
+    w = wide.widen(_pairs(spark, d), fields, table(spark, d, "subject"))
+    cells = []
+    for field, kind in fields:
+        c, number = F.col(field.replace(":", "_")), kind in ("integer", "decimal", "number")
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(field).alias("field_id"), (F.lit(None) if number else c).cast("string").alias("text_value"), (c if number else F.lit(None)).cast("double").alias("number_value"))))
+    return w.select("subject_key", F.inline(F.array_compact(F.array(*cells))))
+
+
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
     """One row per subject; shares and amounts in percent and won through the operator of problem 1, those whose unit isn't known among the cast failures."""
     t = lambda name: table(spark, d, name)
@@ -87,23 +100,34 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return profile.found(table(spark, d, "metric_observation"), table(spark, d, "holding_observation"), table(spark, d, "data_source"))
 
 
-def p6_profile(spark: SparkSession, d: str) -> DataFrame:
-    """Every column of both tables."""
+POINTS = (0.01, 0.25, 0.5, 0.75, 0.99)
+
+
+def _both(spark: SparkSession, d: str, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``of`` the value counts of both tables; is_number tells columns whose values are doubles."""
     parts = []
     for name in ("metric_observation", "holding_observation"):
-        parts.append(profile.column_profile(profile.value_counts(table(spark, d, name), "source_id")).withColumn("table_name", F.lit(name)))
+        df = table(spark, d, name)
+        numbers = [c for c, kind in df.dtypes if kind == "double"]
+        parts.append(of(profile.value_counts(df, "source_id")).withColumns({"table_name": F.lit(name), "is_number": F.col("column_name").isin(numbers)}))
     return parts[0].unionByName(parts[1])
 
 
+def p6_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Every column of both tables: nulls, distinct values, range and quantiles, those of doubles as numbers, all others as text."""
+    p = _both(spark, d, lambda counts: profile.column_profile(counts, POINTS))
+    ends = {"minimum": F.col("minimum"), "maximum": F.col("maximum"), **{f"q{round(100 * x):02d}": F.col("quantiles").getItem(str(x)) for x in POINTS}}
+    return p.select("table_name", "column_name", "n_rows", "n_null", F.round("null_rate", 9).alias("null_rate"), "n_distinct", *[F.when(~F.col("is_number"), c).alias(k) for k, c in ends.items()],
+                    *[F.when(F.col("is_number"), c).cast("double").alias(k + "_number") for k, c in ends.items()])
+
+
 def p6_load_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Share changes and Kolmogorov-Smirnov distances of every column from each load to the next."""
-    parts = []
-    for name in ("metric_observation", "holding_observation"):
-        parts.append(profile.load_shifts(profile.value_counts(table(spark, d, name), "source_id"), table(spark, d, "data_source")).withColumn("table_name", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    """Share changes and Kolmogorov-Smirnov distances of every column from each load to the next; the value whose share changed most, where it is no double."""
+    s = _both(spark, d, lambda counts: profile.load_shifts(counts, table(spark, d, "data_source")))
+    return s.select("table_name", "column_name", "load", "before", *[F.round(c, 9).alias(c) for c in ("share_change", "null_change", "ks")], F.when(~F.col("is_number"), F.col("value")).alias("value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_common_values, p1_stated_values, p2_found, p2_wide, p3_found, p3_portfolio_totals, p3_family_totals, p6_found, p6_profile, p6_load_shifts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_common_values, p1_stated_values, p2_found, p2_wide, p2_wide_cells, p3_found, p3_portfolio_totals, p3_family_totals, p6_found, p6_profile, p6_load_shifts)}
 
 
 # ---- the same results in SQL
@@ -174,13 +198,21 @@ def _in(words: list[str]) -> str:
     return "(" + ", ".join(_q(w) for w in words) + ")"
 
 
-_CELLS = f"""SELECT {_KEY.format('subject_key')} AS k, attribute_id AS field_id, CASE value_type WHEN 'string' THEN CASE WHEN {_FOLDED} NOT IN {_in(V.NO_VALUE_WORDS)} THEN {_FOLDED} END
+def _cells_sql(attribute_more: str = "", metric_more: str = "") -> str:
+    return f"""SELECT {_KEY.format('subject_key')} AS k, attribute_id AS field_id, CASE value_type WHEN 'string' THEN CASE WHEN {_FOLDED} NOT IN {_in(V.NO_VALUE_WORDS)} THEN {_FOLDED} END
  WHEN 'boolean' THEN CASE WHEN lower({_LABEL}) IN {_in(V.YES_WORDS)} THEN 'true' WHEN lower({_LABEL}) IN {_in(V.NO_WORDS)} THEN 'false' END
  WHEN 'date' THEN CASE WHEN try_strptime({_DAY}, '%Y-%m-%d') IS NOT NULL AND CAST(try_strptime({_DAY}, '%Y-%m-%d') AS DATE)::VARCHAR NOT IN {_in(V.PLACEHOLDER_DAYS)} THEN CAST(try_strptime({_DAY}, '%Y-%m-%d') AS DATE)::VARCHAR END
- ELSE CASE WHEN isfinite({_NUM}) THEN ({_NUM} + 0.0)::VARCHAR END END AS v FROM attribute_observation JOIN attribute_catalog USING (attribute_id) WHERE subject_key IS NOT NULL
- UNION ALL SELECT {_KEY.format('subject_key')}, metric_id, (numeric_value + 0.0)::VARCHAR FROM metric_observation JOIN metric_catalog USING (metric_id) WHERE subject_key IS NOT NULL AND dimension IN ('count', 'days', 'multiplier') AND value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value)"""
+ ELSE CASE WHEN isfinite({_NUM}) THEN ({_NUM} + 0.0)::VARCHAR END END AS v{attribute_more} FROM attribute_observation JOIN attribute_catalog USING (attribute_id) WHERE subject_key IS NOT NULL
+ UNION ALL SELECT {_KEY.format('subject_key')}, metric_id, (numeric_value + 0.0)::VARCHAR{metric_more} FROM metric_observation JOIN metric_catalog USING (metric_id) WHERE subject_key IS NOT NULL AND dimension IN ('count', 'days', 'multiplier') AND value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value)"""
+
+
+_CELLS = _cells_sql()
 _P2 = f"SELECT coalesce(s.subject_key, c.k) AS subject_key, c.field_id FROM (SELECT k, field_id FROM ({_CELLS}) GROUP BY ALL HAVING count(DISTINCT v) >= 2) c LEFT JOIN subject s ON {_KEY.format('s.subject_key')} = c.k"
 
+_SHOWN = r"CASE WHEN value_type = 'string' THEN regexp_replace(" + _LABEL + r", '[\s\x0B]+', ' ', 'g') END AS shown, effective_as_of AS day, source_row_id AS rid, value_type AS kind"
+_P2C = f"""SELECT coalesce(s.subject_key, c.k) AS subject_key, field_id, CASE WHEN kind IN ('string', 'boolean', 'date') THEN x.s END AS text_value, CASE kind WHEN 'integer' THEN trunc(x.v::DOUBLE) WHEN 'decimal' THEN x.v::DOUBLE WHEN 'number' THEN x.v::DOUBLE END AS number_value
+ FROM (SELECT k, field_id, kind, arg_max({{'s': coalesce(shown, v), 'v': v}}, (coalesce(CASE WHEN day BETWEEN DATE '2000-01-01' AND DATE '2026-12-31' THEN day END, DATE '1000-01-01'), coalesce(rid, ''), v)) AS x FROM ({_cells_sql(', ' + _SHOWN, ", NULL, effective_as_of, source_row_id, 'number'")}) WHERE v IS NOT NULL GROUP BY ALL) c LEFT JOIN subject s ON {_KEY.format('s.subject_key')} = c.k"""
+
 _P3 = f"SELECT p.portfolio_key FROM (SELECT {_KEY.format('portfolio_key')} AS k, count(*) AS n FROM holding_observation WHERE portfolio_key IS NOT NULL GROUP BY 1) h JOIN portfolio p ON {_KEY.format('p.portfolio_key')} = h.k WHERE h.n >= 0.04 * (SELECT count(*) FROM holding_observation)"
 _HELD = f"SELECT DISTINCT h.*, CASE WHEN weight_value IS NOT NULL AND isfinite(weight_value) THEN weight_value * f.factor_to_common END AS w FROM holding_observation h LEFT JOIN ({_NOTES}) n USING (source_id) LEFT JOIN unit_reference f ON f.dimension = 'share' AND f.unit_id = CASE WHEN h.weight_unit IS NULL THEN n.note_share ELSE {_lookup_sql('lower(trim(h.weight_unit))', U.SHARE_WORDS)} END"
 _P3T = f"SELECT coalesce(p.portfolio_key, h.k) AS portfolio_key, n_rows, round(w, 4) AS total_weight_percent, n_securities FROM (SELECT {_KEY.format('portfolio_key')} AS k, count(*) AS n_rows, sum(w) AS w, count(DISTINCT security_key) AS n_securities FROM ({_HELD}) WHERE portfolio_key IS NOT NULL GROUP BY 1) h LEFT JOIN portfolio p ON {_KEY.format('p.portfolio_key')} = h.k"
@@ -202,4 +234,29 @@ _P6 = f"""SELECT DISTINCT 'violation' AS case_kind, 'metric_observation' AS tabl
  WHERE s IS NULL OR s NOT IN ('checksum_verified', 'format_matched', 'format_matched_checksum_failed', 'unverified_scheme', 'absent', 'declared_by_source', 'placeholder') OR (s = 'absent' AND x IS NOT NULL) OR (s <> 'absent' AND x IS NULL) OR (s = 'checksum_verified' AND NOT {_ISIN_OK})
  UNION ALL {_shift_sql('metric_observation', 'value_status', 'value_status')} UNION ALL {_shift_sql('metric_observation', 'raw_text_value', "CASE WHEN raw_text_value IS NULL THEN 'null' END")} UNION ALL {_shift_sql('holding_observation', 'identifier_status', 'identifier_status')}"""
 
-ORACLES = {"p1_found": _P1, "p1_stated_values": _P1S, "p2_found": _P2, "p3_found": _P3, "p3_portfolio_totals": _P3T, "p3_family_totals": _P3F, "p6_found": _P6}
+# the columns of both tables, and which of them are doubles
+_COLUMNS = {"metric_observation": "subject_key subject_grain family_id metric_id numeric_value raw_text_value unit_code currency_code period_code effective_as_of as_of_status value_status source_id source_row_id",
+            "holding_observation": "holding_key family_id portfolio_key security_key relation_kind parent_portfolio_id_raw called_subject_key held_security_id_raw held_isin_raw held_ticker_raw security_name_raw identifier_scheme_id identifier_status quantity_value quantity_unit value_amount value_amount_unit currency weight_value weight_unit requested_as_of effective_as_of as_of_status snapshot_scope source_reference source_record_id source_id source_row_id"}
+_DOUBLES = {"numeric_value", "quantity_value", "value_amount", "weight_value"}
+
+
+def _profile_sql(t: str, c: str) -> str:
+    x = c if c in _DOUBLES else f"{c}::VARCHAR"
+    points = {"minimum": "v[1]", "maximum": "v[len(v)]", **{f"q{round(100 * p):02d}": f"v[ceil({p}::DOUBLE * len(v))::BIGINT]" for p in POINTS}}
+    ends = ", ".join(f"{'NULL' if (c in _DOUBLES) != number else e}::{'DOUBLE' if number else 'VARCHAR'} AS {k}{'_number' if number else ''}" for number in (False, True) for k, e in points.items())
+    return f"SELECT '{t}' AS table_name, '{c}' AS column_name, n_rows, n_null, round(n_null / n_rows, 9) AS null_rate, n_distinct, {ends} FROM (SELECT count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_distinct, list_sort(list({x}) FILTER (WHERE {c} IS NOT NULL)) AS v FROM {t}) WHERE n_rows > 0"
+
+
+def _curves_sql(t: str, c: str) -> str:
+    return f"""SELECT '{t}' AS table_name, '{c}' AS column_name, load, before, round(coalesce(max(d), 0), 9) AS share_change, round(any_value(nulls), 9) AS null_change, round(coalesce(max(gap), 0), 9) AS ks, {'NULL' if c in _DOUBLES else 'arg_min(v, (-d, v)) FILTER (WHERE v IS NOT NULL)'}::VARCHAR AS value
+ FROM (WITH c AS (SELECT source_id, {c if c in _DOUBLES else f'{c}::VARCHAR'} AS v, count(*) AS n FROM {t} GROUP BY ALL), z AS (SELECT source_id, sum(n) AS total, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS present FROM c GROUP BY 1),
+ o AS (SELECT source_id AS load, lag(source_id) OVER (PARTITION BY source_name ORDER BY collected_at, source_id) AS before FROM data_source WHERE source_id IN (SELECT source_id FROM z)),
+ l AS (SELECT load, before, a.total AS ta, b.total AS tb, greatest(a.present, 1) AS pa, greatest(b.present, 1) AS pb, abs((a.total - a.present) / a.total - (b.total - b.present) / b.total) AS nulls FROM o JOIN z a ON a.source_id = load JOIN z b ON b.source_id = before),
+ g AS (SELECT load, v, sum(CASE WHEN source_id = load THEN n ELSE 0 END) AS n, sum(CASE WHEN source_id = before THEN n ELSE 0 END) AS m FROM l JOIN c ON source_id IN (load, before) WHERE v IS NOT NULL GROUP BY ALL), w AS (SELECT *, sum(n) OVER u AS cn, sum(m) OVER u AS cm FROM g WINDOW u AS (PARTITION BY load ORDER BY v))
+ SELECT l.*, v, abs(n / ta - m / tb) AS d, abs(cn / pa - cm / pb) AS gap FROM l LEFT JOIN w USING (load)) GROUP BY load, before"""
+
+
+_P6P = " UNION ALL ".join(_profile_sql(t, c) for t, cs in _COLUMNS.items() for c in cs.split())
+_P6L = " UNION ALL ".join(_curves_sql(t, c) for t, cs in _COLUMNS.items() for c in cs.split())
+
+ORACLES = {"p1_found": _P1, "p1_stated_values": _P1S, "p2_found": _P2, "p2_wide_cells": _P2C, "p3_found": _P3, "p3_portfolio_totals": _P3T, "p3_family_totals": _P3F, "p6_found": _P6, "p6_profile": _P6P, "p6_load_shifts": _P6L}
