@@ -28,14 +28,32 @@ COUPON = re.compile(r"(\d+(?:\.\d+)?)\s*(?:%|프로|퍼센트)\s*(\d{1,2})\s*[/.
 KEYS = "isin string, ticker string, tail string, core string, kind string, squashed string, first string, rest string"
 
 
-def frequent_words(names: DataFrame, column: str, share: float = 0.002) -> list[str]:
-    """Words that stand in at least ``share`` of the names, legal forms aside: at most (words per name) / share of them."""
+def frequent_words(names: DataFrame, column: str, share: float = 0.002, bound: int = 100_000) -> list[str]:
+    """Words that stand in at least ``share`` of the names, legal forms aside: at most (words per name) / share of them; more
+    than ``bound`` are refused."""
     words = names.select(F.explode(F.array_distinct(F.split(F.lower(column), r"\s+"))).alias("w"))
     total = names.select(F.count(F.lit(1)).alias("n"))
-    rows = words.groupBy("w").count().where((F.col("count") >= F.lit(share) * total.scalar()) & F.col("w").rlike("^[a-z]{3,}$")).select("w").limit(100_000).collect()
+    rows = words.groupBy("w").count().where((F.col("count") >= F.lit(share) * total.scalar()) & F.col("w").rlike("^[a-z]{3,}$")).select("w").limit(bound + 1).collect()
+    if len(rows) > bound:
+        raise ValueError(f"more than {bound} words in a share of {share} of the names")
     return sorted(r[0] for r in rows if r[0] not in LEGAL_FORMS | FILLERS | {"class", "adr", "pref"})
 
 
+class Words(list):
+    """Frequent words, with what tokens were read as so far: a worker reads each token once."""
+
+    def __init__(self, words: list[str]):
+        super().__init__(words)
+        self.every, self.read = set(words), {}
+
+    def whole(self, token: str) -> str:
+        if len(self.read) > 1 << 18:
+            self.read.clear()
+        if token not in self.read:
+            self.read[token] = whole_word(token, self)
+        return self.read[token]
+
+
 def whole_word(token: str, words: list[str]) -> str:
     """The one frequent word that a token abbreviates: its beginning, a longer spelling, or its letters in order; else the token."""
     if token in words:
@@ -66,12 +84,15 @@ def name_key(name: str | None, words: list[str]) -> tuple[str, str] | None:
         kind, s = kind or f"class {m[1]}", f"{s[:m.start()]} {s[m.end():]}"
     if m := re.search(r"\b(adr|pref|preferred)\b", s):
         kind, s = kind or m[1][:4], f"{s[:m.start()]} {s[m.end():]}"
-    s = re.sub(r"\bship works\b", "shipworks", s)
-    if (m := re.match(r"^\s*([^,\s]+),\s*(\S+)(.*)$", s)) and whole_word(m[1].strip("."), words) in words:
+    words = words if isinstance(words, Words) else Words(words)
+    if (m := re.match(r"^\s*([^,\s]+),\s*(\S+)(.*)$", s)) and words.whole(m[1].strip(".")) in words.every:
         s = f"{m[2]} {m[1]} {m[3]}"
     tokens = [t.strip(".,") for t in s.split()]
     tokens = [t for t in tokens if t and t not in LEGAL_FORMS and t not in FILLERS]
-    tokens = tokens[:1] + [whole_word(t, words) for t in tokens[1:]]
+    for i in range(len(tokens) - 1, 0, -1):
+        if i < len(tokens) and tokens[i - 1] + tokens[i] in words.every:  # a frequent word written in two
+            tokens[i - 1:i + 1] = [tokens[i - 1] + tokens[i]]
+    tokens = tokens[:1] + [words.whole(t) for t in tokens[1:]]
     return (" ".join(tokens), kind) if tokens else None
 
 
@@ -94,8 +115,9 @@ def with_keys(df: DataFrame, isin: str, ticker: str, name: str, words: list[str]
     columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known_words = Words(words)
         for b in batches:
-            names = {n: name_key(n, words) for n in b[name].dropna().unique()}
+            names = {n: name_key(n, known_words) for n in b[name].dropna().unique()}
             known = [names.get(n) for n in b[name]]
             out = b[columns].copy()
             out["isin"] = [clean_isin(x if isinstance(x, str) else None) for x in b[isin]]
@@ -124,13 +146,18 @@ def isin_agrees(a: Column, b: Column) -> Column:
     return F.when(F.length(a) == 9, a == F.substring(b, 3, 9)).otherwise(near_code(a, b))
 
 
-def _half_keys(tag: Column, word: Column, rest: Column, around: bool) -> Column:
-    """Keys by the first and the last (n - 1) div 2 letters of a word: of two words one letter lost or two neighbours swapped apart, one
-    end is whole. ``around``: also for words one letter longer or shorter, so that both sides agree on the length of the end."""
-    n = F.length(word)
-    ends = F.array_distinct(F.array(*[F.floor((n - 1 + d) / 2).cast("int") for d in ((-1, 0, 1) if around else (0,))]))
-    key = lambda side, h, part: F.concat_ws("|", tag, F.lit(side), h.cast("string"), part, rest)
-    return F.flatten(F.transform(ends, lambda h: F.array(key("a", h, F.substring(word, F.lit(1), h)), key("z", h, F.right(word, h)))))
+def slip_keys(tag: str, word: Column, *rest: Column, most: int = 64) -> Column:
+    """Keys that two words share whenever they differ by one letter replaced, missing or too many, or by two neighbours changed
+    over: the word itself and the word without each one of its letters, as far as it has ``most``. Of longer words (and those one
+    shorter, so that both sides meet) the first and the last (n - 1) div 2 letters, as one end is whole; n counts one more or less too.
+    """
+    n, key = F.length(word), lambda *x: F.concat_ws("|", F.lit(tag), *x, *rest)
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: key(F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n))))
+    short = F.array_distinct(F.concat(F.array(key(word)), F.when(n > 0, without).otherwise(F.array().cast("array<string>"))))
+    ends = F.array_distinct(F.array(*[F.floor((n - 1 + d) / 2).cast("int") for d in (-1, 0, 1)]))
+    halves = F.flatten(F.transform(ends, lambda h: F.array(key(F.lit("a"), h.cast("string"), F.substring(word, F.lit(1), h)), key(F.lit("z"), h.cast("string"), F.right(word, h)))))
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(n <= most, short).otherwise(none), F.when(n >= most, halves).otherwise(none))
 
 
 def rules() -> list[tuple[str, Column, Column, Column | None]]:
@@ -155,13 +182,13 @@ def rules() -> list[tuple[str, Column, Column, Column | None]]:
         ("isin", some(length == 12, c("isin")), some(F.length("m_isin") == 12, c("m_isin")), None),
         ("isin_part", part,
          some(F.length("m_isin") == 12, tagged("9", F.substring("m_isin", 3, 9)), tagged("11", F.substring("m_isin", 1, 11))), None),
-        ("isin_near", some(length.isin(11, 12), tagged("a", F.substring("isin", 1, 5)), tagged("z", F.right("isin", F.lit(5)))),
-         some(F.length("m_isin") == 12, tagged("a", F.substring("m_isin", 1, 5)), tagged("z", F.right("m_isin", F.lit(5)))), near_code(c("isin"), c("m_isin"))),
+        ("isin_near", F.when(length.isin(11, 12), slip_keys("c", c("isin"))).otherwise(none),
+         F.when(F.length("m_isin") == 12, slip_keys("c", c("m_isin"))).otherwise(none), near_code(c("isin"), c("m_isin"))),
         ("ticker_name", some(c("ticker").isNotNull() & c("squashed").isNotNull(), tagged("t", c("ticker")), tagged("9", F.coalesce(c("tail"), c("ticker")))),
          some(c("m_ticker").isNotNull(), tagged("t", c("m_ticker")), tagged("9", F.coalesce(c("m_tail"), c("m_ticker")))), name_fits),
         ("name", some(c("core").isNotNull(), tagged("n", c("squashed"), c("kind"))), some(c("m_core").isNotNull(), tagged("n", c("m_squashed"), c("m_kind"))), open_ids),
-        ("name_near", F.when(first_ok, _half_keys(F.lit("d"), c("first"), c("rest"), False)).otherwise(none),
-         F.when(c("m_first").rlike("^[a-z]{4,}$"), _half_keys(F.lit("d"), c("m_first"), c("m_rest"), True)).otherwise(none),
+        ("name_near", F.when(first_ok, slip_keys("d", c("first"), c("rest"))).otherwise(none),
+         F.when(c("m_first").rlike("^[a-z]{4,}$"), slip_keys("d", c("m_first"), c("m_rest"))).otherwise(none),
          slip & open_ids),
     ]
 
@@ -185,7 +212,8 @@ def cascade(records: DataFrame, reference: DataFrame) -> DataFrame:
             pairs = pairs.where(check)
         hits = pairs.groupBy("rid").agg(F.min("entity").alias("entity"), F.max("entity").alias("other")).where(F.col("entity") == F.col("other"))
         done = cut(todo.select("rid", "label").join(hits.select("rid", "entity"), "rid").withColumn("rule", F.lit(name)), "match-" + name)
-        todo = todo.join(done.where(F.col("label").isNull()).select("rid"), "rid", "left_anti")
+        if name != rules()[-1][0]:
+            todo = cut(todo.join(done.where(F.col("label").isNull()).select("rid"), "rid", "left_anti"), "match-open")
         resolved = done if resolved is None else resolved.unionByName(done)
     return resolved
 

@@ -1,10 +1,12 @@
 """Problem 9: mixing sources to target weights.
 
-Each source's tokens are laid end to end and cut into blocks of a fixed length. The output is a row of slots in shards. Drawing
-each shard's source counts freely from a multinomial would overshoot what scarce sources may give (their shares bind the
-size of the whole), so the draw is the multinomial conditioned on exact totals: one keyed permutation of all slots deals out
-the totals, which needs no state from shard to shard. A source's k-th slot takes block perm(k mod blocks), with another keyed
-permutation for every round, so a block is used once a round; slots and blocks meet in one join by (source, block).
+Each source's tokens are laid end to end and cut into blocks of a fixed length. The output is a row of slots in shards. The
+counts of the sources in each shard are drawn as a multinomial whose totals are given: free draws would overshoot what scarce
+sources may give, as their shares bind the size of the whole. The totals are split down a binary tree of shards, each split a
+hypergeometric draw seeded by its node, so a task finds the counts of its own shards, and how many slots of each source come
+before them, from the root, without state from other tasks. A shard's slots are dealt to its counts by a keyed permutation; a
+source's k-th slot takes block perm(k mod blocks), with another keyed permutation for every round, so a block is used once a
+round; slots and blocks meet in one join by (source, block).
 """
 from __future__ import annotations
 
@@ -59,6 +61,42 @@ def plan(targets: list[tuple[str, float, int]], tokens: dict[str, int], block_to
     return [(s, n, max(1, min(n * r, round(size * w / total / (t / n))))) for s, w, r, t, n in able]
 
 
+def draw(counts: np.ndarray, n: int, rng: np.random.Generator, exact_below: int = 10**8) -> np.ndarray:
+    """How many of each source are among ``n`` of ``sum(counts)`` slots taken at random: a multivariate hypergeometric, source by source.
+
+    From ``exact_below`` slots on a draw is the normal of the same mean and variance, rounded and kept within what is there.
+    """
+    left, out = int(counts.sum()), np.zeros(len(counts), np.int64)
+    for i, good in enumerate(int(c) for c in counts):
+        bad = left - good
+        if left < exact_below:
+            out[i] = rng.hypergeometric(good, bad, n) if left and n else 0
+        else:
+            mean = n * good / left
+            spread = (mean * bad / left * max(left - n, 0) / max(left - 1, 1)) ** 0.5
+            out[i] = min(max(round(rng.normal(mean, spread)), 0, n - bad), good, n)
+        left, n = bad, n - int(out[i])
+    return out
+
+
+def shard_counts(totals: np.ndarray, shard_slots: int, first: int, last: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, slots of each source in it, slots of each source before it) of the shards from ``first`` up to ``last``."""
+    size = int(totals.sum())
+
+    def walk(lo: int, hi: int, counts: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if hi <= first or lo >= last:
+            return
+        if hi - lo == 1:
+            yield lo, counts, before
+            return
+        mid = (lo + hi) // 2
+        left = draw(counts, min(mid * shard_slots, size) - lo * shard_slots, np.random.default_rng([seed, lo, hi]))
+        yield from walk(lo, mid, left, before)
+        yield from walk(mid, hi, counts - left, before + left)
+
+    yield from walk(0, max(1, -(-size // shard_slots)), np.asarray(totals, np.int64), np.zeros(len(totals), np.int64))
+
+
 def mix(docs: DataFrame, targets: DataFrame, source: str = "source", doc: str = "doc_id", size: str = "n_tokens", block_tokens: int = 512, shard_slots: int = 2_048,
         seed: int = 20_240_117, bucket_docs: int = 20_000, bound: int = 10_000) -> DataFrame:
     """(shard_id, slot, source, block_id, use_no, <doc>, token_from, n_tokens): what stands in each slot of the mix.
@@ -90,29 +128,32 @@ def mix(docs: DataFrame, targets: DataFrame, source: str = "source", doc: str =
     edge = F.col("block_id") * block_tokens
     pieces = pieces.select("name", "block_id", "doc", F.greatest(edge - F.col("first"), F.lit(0)).alias("token_from"),
                            (F.least(edge + block_tokens, F.col("first") + F.col("n")) - F.greatest(edge, F.col("first"))).alias("n_tokens"))
-    bounds = np.cumsum([0, *[k for *_, k in chosen]])
-    blocks = [n for _, n, _ in chosen]
+    totals, blocks = np.array([k for *_, k in chosen], np.int64), [n for _, n, _ in chosen]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             slot = b["id"].to_numpy()
-            place = permute(slot, n_slots, seed)
-            which = np.searchsorted(bounds, place, "right") - 1
-            at, use = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
+            which, at, use = (np.zeros(len(slot), np.int64) for _ in range(3))
+            for shard, counts, before in shard_counts(totals, shard_slots, int(slot[0]) // shard_slots, int(slot[-1]) // shard_slots + 1, seed):
+                here = slot // shard_slots == shard
+                place = permute(slot[here] % shard_slots, int(counts.sum()), seed + 104_729 * (shard + 1))
+                ends = np.cumsum(counts)
+                own = np.searchsorted(ends, place, "right")
+                which[here], at[here] = own, before[own] + place - (ends - counts)[own]
             for s in np.unique(which):
                 mine = which == s
-                k = place[mine] - bounds[s]
-                use[mine] = k // blocks[s]
-                index = np.empty(len(k), np.int64)
-                for u in np.unique(use[mine]):
-                    turn = use[mine] == u
+                k = at[mine]
+                turns, index = k // blocks[s], np.empty(len(k), np.int64)
+                for u in np.unique(turns):
+                    turn = turns == u
                     index[turn] = permute(k[turn] % blocks[s], blocks[s], seed + 7919 * (int(s) + 1) + int(u))
-                at[mine] = index
+                use[mine], at[mine] = turns, index
             yield pd.DataFrame({"shard_id": slot // shard_slots, "slot": slot % shard_slots, "name": [chosen[s][0] for s in which], "block_id": at, "use_no": use})
 
     slots = spark.range(0, n_slots, 1, max(1, min(parallelism(spark), n_slots // 10_000 + 1))).mapInPandas(deal, "shard_id bigint, slot bigint, name string, block_id bigint, use_no bigint")
     spelt = F.create_map(*[F.lit(x) for pair in names.items() if pair[0] for x in pair]) if names else F.create_map().cast("map<string,string>")
-    return slots.join(pieces, ["name", "block_id"]).select("shard_id", "slot", spelt[F.col("name")].alias("source"), "block_id", "use_no", F.col("doc").alias(doc), "token_from", "n_tokens")
+    # both sides grow with the data: never broadcast
+    return slots.join(pieces.hint("merge"), ["name", "block_id"]).select("shard_id", "slot", spelt[F.col("name")].alias("source"), "block_id", "use_no", F.col("doc").alias(doc), "token_from", "n_tokens")
 
 
 def shares(mixed: DataFrame, targets: DataFrame, doc: str = "doc_id") -> DataFrame:

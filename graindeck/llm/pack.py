@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graindeck.session import parallelism
+
 
 class Packer:
     """Best fit over at most ``bins`` open bins. ``closed`` gets (bin number, [(item, piece, size)])."""
@@ -81,7 +83,8 @@ def pack(items: DataFrame, key: str, size: str, specs: DataFrame, bins: int = 64
     spec = [(str(s), int(c)) for s, c in found]
     shards = max(1, -(-items.count() // shard_items))
     rows = items.select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).alias("k"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "k", "n")
+    # a task packs its range of shards one after the other: no more tasks than the session works with
+    rows = rows.repartitionByRange(min(shards, parallelism(items.sparkSession)), "shard").sortWithinPartitions("shard", "k", "n")
     kind = items.schema[key].dataType
 
     def out(name: str, capacity: int, shard: int, packer: Packer) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ Texts equal throughout are one class, represented by the least id; their spans a
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,9 +142,22 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
 
 
+def _confirm(hits: DataFrame, wanted: int) -> DataFrame:
+    """(h, class_id, pos) of the windows of ``hits`` (class_id, text, near), h a digest of their characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for one, text, near in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if near:
+                    digests = [hashlib.blake2b(text[p:p + wanted].encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in near]
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([one] * len(near), pa.int64()), pa.array(near, pa.int32())], names=["h", "class_id", "pos"])
+
+    return hits.select("class_id", "text", "near").mapInArrow(run, "h binary, class_id bigint, pos int")
+
+
 def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None, small_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """All windows of ``wanted`` code points that stand in two or more different texts: (h, class_id, pos), repeats of a
-    window inside a text included; and the members (doc, class_id, copies) of every class.
+    """The windows of ``wanted`` code points that stand in two or more different texts: (h, class_id, pos), repeats of a
+    window inside a text included, h equal where the characters are; and the members (doc, class_id, copies) of every class.
 
     ``first_length`` is the length of the first level, half of ``wanted`` by default; each level doubles it. Ids must be
     integers; rows without one take no part. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
@@ -155,54 +169,100 @@ def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wan
     copies = members.where(F.col("doc") != F.col("class_id")).select("doc")
     n_copies = copies.count()
     texts = texts.join(F.broadcast(copies) if n_copies <= small_rows else copies, "doc", "left_anti").withColumnRenamed("doc", "class_id")
-    length = first_length or max(1, wanted // 2)
-    rows = cut(_hash_rows(texts, length, wanted), "span-windows")
-    while length < wanted:
+
+    def around(rows: DataFrame) -> DataFrame:
+        """The texts with the positions of their repeated windows."""
         hits = rows.join(_repeated(rows), "h", "left_semi").groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near"))
         hits = cut(hits, "span-hits")  # per text, as many positions as it has chosen windows
         n = hits.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
-        length = min(2 * length, wanted)
-        rows = _hash_rows(texts.join(F.broadcast(hits) if n <= small_rows else hits, "class_id"), length, wanted)
+        return texts.join(F.broadcast(hits) if n <= small_rows else hits, "class_id")
+
+    length = first_length or max(1, wanted // 2)
+    rows = cut(_hash_rows(texts, length, wanted), "span-windows")
+    while length < wanted:
+        length, near = min(2 * length, wanted), around(rows)
+        rows = _hash_rows(near, length, wanted)
         if length < wanted:
             rows = cut(rows, "span-windows")
-    return rows, members
+    found = cut(_confirm(around(rows), wanted), "span-confirmed")
+    return cut(found.join(_repeated(found), "h", "left_semi"), "span-shared"), members
+
+
+def passage_sets(windows: DataFrame) -> DataFrame:
+    """(size, p, q, class_id): every set of two or more texts that some window stands in, one row per text of the set. A set is named by
+    its size and two sums of its members' hashes. Neighbouring windows of a passage stand in the same texts and give one set."""
+    one = windows.repartition("h").dropDuplicates(["h", "class_id"])
+    sets = one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where(F.col("size") > 1)
+    return cut(one.join(sets, "h").select("size", "p", "q", "class_id").distinct(), "span-sets")
+
+
+def _expanded(sets: DataFrame, names: list[str], member: str, size: str, part: int = 1_000) -> DataFrame:
+    """(x, y), x below y: all pairs of each set. One side of a set of more than ``part`` members is spread over as many tasks as
+    it has parts, and meets the whole other side in each."""
+    parts = F.floor((F.col(size) + part - 1) / part).cast("int")
+    a = sets.select(*names, F.col(member).alias("x"), F.pmod(F.xxhash64(member), parts).cast("int").alias("part"))
+    b = sets.select(*names, F.col(member).alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return a.join(b, [*names, "part"]).where(F.col("x") < F.col("y")).select("x", "y")
+
+
+def document_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None) -> DataFrame:
+    """(doc_id, class_id, n_copies, n_sets, largest_set) of every document that stands in a class: the least id with its text, how
+    many documents have that text, in how many passage sets it is, and how many texts the largest of them holds."""
+    windows, members = shared_windows(docs, doc, text, wanted, first_length)
+    per = passage_sets(windows).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_sets"), F.max("size").alias("largest_set"))
+    out = members.join(per, "class_id", "left")
+    return out.select(F.col("doc").alias(doc), "class_id", F.col("copies").alias("n_copies"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), F.coalesce("largest_set", F.lit(0)).alias("largest_set"))
 
 
 def document_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b), a below b: documents whose texts share a run of at least ``wanted`` code points.
 
-    Windows are first reduced to distinct sets of classes (a set's print is the sum of its members' hashes), as neighbouring
-    windows of a passage stand in the same texts; each set gives its pairs once. Copies join at the end.
+    The pairs of texts come from the passage sets, each once; the copies of a text join at the end.
     """
-    rows, members = shared_windows(docs, doc, text, wanted, first_length)
-    one = rows.repartition("h").dropDuplicates(["h", "class_id"])
-    sets = one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where(F.col("size") > 1)
-    sized = cut(one.join(sets, "h").select("size", "p", "q", "class_id").distinct(), "span-sets")
-    pairs = sized.alias("a").join(sized.alias("b"), ["size", "p", "q"]).where(F.col("a.class_id") < F.col("b.class_id"))
-    pairs = pairs.select(F.col("a.class_id").alias("x"), F.col("b.class_id").alias("y")).distinct()
+    windows, members = shared_windows(docs, doc, text, wanted, first_length)
+    pairs = _expanded(passage_sets(windows), ["size", "p", "q"], "class_id", "size").distinct()
     own = members.select("class_id", "doc", "copies")
-    many = own.where(F.col("copies") > 1)
     x, y = (own.select(F.col("class_id").alias(k), F.col("doc").alias("doc_" + k)) for k in "xy")
     across = pairs.join(x, "x").join(y, "y").select("doc_x", "doc_y")
-    within = many.alias("a").join(many.alias("b"), "class_id").where(F.col("a.doc") < F.col("b.doc")).select(F.col("a.doc").alias("doc_x"), F.col("b.doc").alias("doc_y"))
-    out = across.unionByName(within)
+    within = _expanded(own.where(F.col("copies") > 1), ["class_id"], "doc", "copies")
+    out = across.unionByName(within.select(F.col("x").alias("doc_x"), F.col("y").alias("doc_y")))
     return out.select(F.least("doc_x", "doc_y").alias("doc_id_a"), F.greatest("doc_x", "doc_y").alias("doc_id_b"))
 
 
+def longer_windows(windows: DataFrame, wanted: int) -> DataFrame:
+    """(class_id, level): the longest doubling of ``wanted`` at which a window of the text still stands in another text.
+
+    A window of twice the length is two repeated ones end to end; its name is the digest of theirs. Each level keeps what is
+    repeated, and the last is the one that keeps nothing.
+    """
+    level, found = windows, None
+    while True:
+        has = level.select("class_id").distinct().withColumn("level", F.lit(wanted).cast("bigint"))
+        found = has if found is None else found.unionByName(has)
+        later = level.select("class_id", (F.col("pos") - wanted).alias("pos"), F.col("h").alias("__later"))
+        both = level.join(later, ["class_id", "pos"]).select(F.unhex(F.md5(F.concat("h", "__later"))).alias("h"), "class_id", "pos")
+        both = cut(both, "span-doubled")
+        level, wanted = cut(both.join(_repeated(both), "h", "left_semi"), "span-longer"), 2 * wanted
+        if level.first() is None:
+            return found.groupBy("class_id").agg(F.max("level").alias("level"))
+
+
 def shared_parts(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, shared_part, n_spans) of every document: the code points that lie in some run of at least
-    ``wanted`` that also stands in another document, and the number of maximal such stretches. Documents with a copy are
-    shared throughout (if long enough); a null or empty text has 0 of 0, part 0.
+    """(doc_id, n_chars, shared_chars, shared_part, n_spans, longest_level) of every document: the code points that lie in some run of at
+    least ``wanted`` that also stands in another document, the number of maximal such stretches, and the longest doubling of ``wanted``
+    that some run shared with another document reaches (0 if none does). Documents with a copy are shared throughout (if long enough);
+    a null or empty text has 0 of 0, part 0.
     """
-    rows, members = shared_windows(docs, doc, text, wanted, first_length)
-    rows = cut(rows, "span-all")
-    hits = rows.join(_repeated(rows), "h", "left_semi").select("class_id", "pos").distinct()
+    hits, members = shared_windows(docs, doc, text, wanted, first_length)
     w = Window.partitionBy("class_id").orderBy("pos")  # windows of one text
     gap = F.col("pos") - F.lag("pos").over(w)
-    spans = hits.withColumn("adds", F.least(F.coalesce(gap, F.lit(wanted)), F.lit(wanted))).withColumn("opens", F.coalesce((gap > wanted).cast("int"), F.lit(1)))
+    spans = hits.select("class_id", "pos").distinct().withColumn("adds", F.least(F.coalesce(gap, F.lit(wanted)), F.lit(wanted))).withColumn("opens", F.coalesce((gap > wanted).cast("int"), F.lit(1)))
     per = spans.groupBy("class_id").agg(F.sum("adds").alias("shared"), F.sum("opens").alias("spans"))
-    known = members.join(per, "class_id", "left").select(F.col("doc").alias("__doc"), "copies", "shared", "spans")
+    known = members.join(per, "class_id", "left").join(longer_windows(hits, wanted), "class_id", "left").select(F.col("doc").alias("__doc"), "copies", "shared", "spans", "level")
     out = docs.select(F.col(doc), F.coalesce(F.length(text), F.lit(0)).cast("bigint").alias("n_chars")).join(known, F.col(doc) == F.col("__doc"), "left")
-    shared = F.when(F.col("copies") > 1, F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0))).cast("bigint")
+    copied = F.col("copies") > 1
+    shared = F.when(copied, F.col("n_chars")).otherwise(F.coalesce("shared", F.lit(0))).cast("bigint")
+    whole = F.lit(wanted) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n_chars") / F.lit(wanted))))  # of a text that has copies
     return out.select(doc, "n_chars", shared.alias("shared_chars"), F.when(F.col("n_chars") > 0, shared / F.col("n_chars")).otherwise(F.lit(0.0)).alias("shared_part"),
-                      F.when(F.col("copies") > 1, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"))
+                      F.when(copied, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
+                      F.when(copied, whole).otherwise(F.coalesce("level", F.lit(0))).cast("bigint").alias("longest_level"))
