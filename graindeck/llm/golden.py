@@ -6,9 +6,10 @@ date, source precedence, row id. Source trust times recency decay is made to agr
 the entry's place in that order among the entries of its group and field, so all weaker votes together (less than a third of
 it) never outweigh a stronger one. Entries behind the ``RANKS`` best can't change a sum's place and are cut before any exchange.
 
-Groups of ordinary subjects meet in one exchange of the rows, before they are unpivoted. Subjects of more than ``heavy_rows``
-rows, of which there are at most rows / heavy_rows, are unpivoted and cut where they are read, so a group that holds a third
-of all rows sends RANKS entries a field and task. Both ways give the same result.
+Groups of ordinary subjects meet in one exchange of the rows; those of one row go, and only the rest is unpivoted. Subjects of
+more than ``heavy_rows`` rows, of which there are at most rows / heavy_rows, are unpivoted and cut where they are read, so a group
+that holds a third of all rows sends RANKS entries a field and task. Both ways give the same result. A hash of the pair leads all
+sort keys, so that sorting rarely compares texts.
 """
 from __future__ import annotations
 
@@ -21,11 +22,12 @@ from graindeck.sources.tables import finite, folded_key, with_own_spelling
 FIELDS = ["numeric_value", "raw_text_value", "unit_code", "currency_code"]
 FIRST_DAY, LAST_DAY = "2000-01-01", "2026-12-31"
 RANKS = 32
-KEYS = ["subject", "metric_id", "field_name"]
+PAIR = ["pair", "subject", "metric_id"]
+KEYS = [*PAIR, "field_name"]
 
 
 def keyed(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows that belong to a pair, with what orders them: valid (value_status is exactly 'valid'), day (0 where the date is null or out
+    """Rows that belong to a pair (and its hash), with what orders them: valid (value_status is exactly 'valid'), day (0 where the date is null or out
     of bounds) and precedence (that of an unknown source is the last). Rows without subject, metric or row id belong to none."""
     trust = sources.groupBy("source_id").agg(F.min("source_precedence").alias("precedence"))
     r = rows.where(F.col("subject_key").isNotNull() & F.col("metric_id").isNotNull() & F.col("source_row_id").isNotNull())
@@ -33,14 +35,14 @@ def keyed(rows: DataFrame, sources: DataFrame) -> DataFrame:
     r = r.select(folded_key("subject_key").alias("subject"), "metric_id", "source_row_id", F.coalesce(F.col("value_status") == "valid", F.lit(False)).alias("valid"),
                  F.coalesce(day, F.lit(0)).alias("day"), "source_id", *FIELDS)
     r = r.join(F.broadcast(trust), "source_id", "left")  # source loads, tens at any scale
-    return r.select("subject", "metric_id", "source_row_id", "valid", "day", F.coalesce("precedence", F.lit(2**31 - 1)).alias("precedence"), *FIELDS)
+    return r.select(F.xxhash64("subject", "metric_id").alias("pair"), "subject", "metric_id", "source_row_id", "valid", "day", F.coalesce("precedence", F.lit(2**31 - 1)).alias("precedence"), *FIELDS)
 
 
 def unpivot(r: DataFrame) -> DataFrame:
-    """One entry per field of a row that has a value, and one of no field ('') per row, which counts the rows of a pair."""
+    """One entry per field of a row that has a value."""
     value: list[Column] = [F.when(finite("numeric_value"), F.when(F.col("numeric_value") == 0, F.lit(0.0)).otherwise(F.col("numeric_value")).cast("string")), *[F.col(c) for c in FIELDS[1:]]]
-    cells = F.array(F.struct(F.lit("").alias("field_name"), F.lit("").alias("value")), *[F.struct(F.lit(f).alias("field_name"), v.alias("value")) for f, v in zip(FIELDS, value)])
-    return r.select("subject", "metric_id", "source_row_id", "valid", "day", "precedence", F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+    cells = F.array(*[F.struct(F.lit(f).alias("field_name"), v.alias("value")) for f, v in zip(FIELDS, value)])
+    return r.select(*PAIR, "source_row_id", "valid", "day", "precedence", F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
 
 
 def normal(value: str) -> Column:
@@ -49,29 +51,31 @@ def normal(value: str) -> Column:
 
 
 def elected(long: DataFrame) -> DataFrame:
-    """(subject, metric_id, map of field_name to (value, source_row_id)) of pairs with two or more different row ids."""
-    named = F.col("field_name") != ""
-    order = [F.when(named, F.col("valid")).desc(), F.when(named, F.col("day")).desc(), F.when(named, F.col("precedence")).asc(), F.col("source_row_id").asc(), F.col("value").asc()]
+    """(pair, subject, metric_id, and per field the struct (value, source_row_id) that won, null where no row has one)."""
+    order = [F.col("valid").desc(), F.col("day").desc(), F.col("precedence").asc(), F.col("source_row_id").asc(), F.col("value").asc()]
     w = Window.partitionBy(*KEYS).orderBy(*order)
     ranked = long.withColumns({"place": F.dense_rank().over(w), "upto": F.rank().over(w), "line": F.row_number().over(w)}).where(F.col("place") <= RANKS)
     # a re-delivered row votes once
     vote = F.when(F.col("line") == F.col("upto"), F.pow(F.lit(0.25), F.col("place"))).otherwise(0.0)
-    votes = ranked.withColumn("vote", vote).groupBy(*KEYS, normal("value").alias("normal")).agg(
-        F.sum("vote").alias("votes"), F.max_by(F.struct("value", "source_row_id"), "vote").alias("best"), F.max("place").alias("places"))
-    fields = votes.groupBy(*KEYS).agg(F.max_by("best", "votes").alias("won"), F.max("places").alias("places"))
-    pairs = fields.groupBy("subject", "metric_id").agg(
-        F.max(F.when(~named, F.col("places"))).alias("rows"), F.map_from_entries(F.collect_list(F.when(named, F.struct("field_name", "won")))).alias("fields"))
-    return pairs.where(F.col("rows") > 1).select("subject", "metric_id", "fields")
+    votes = ranked.withColumn("vote", vote).groupBy(*KEYS, normal("value").alias("normal")).agg(F.sum("vote").alias("votes"), F.max_by(F.struct("value", "source_row_id"), "vote").alias("best"))
+    fields = votes.groupBy(*KEYS).agg(F.max_by("best", "votes").alias("won"))
+    return fields.groupBy(*PAIR).agg(*[F.max(F.when(F.col("field_name") == f, F.col("won"))).alias(f) for f in FIELDS])
 
 
 def records(rows: DataFrame, sources: DataFrame, heavy_rows: int = 20_000) -> DataFrame:
-    """The elected fields of every pair that several rows record (see ``elected``); a field that no row has isn't in the map."""
+    """``elected`` of every pair with two or more different row ids."""
     r = keyed(rows, sources)
     heavy = cut(r.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy_rows).select("subject"), "golden-heavy")
     any_heavy = heavy.first() is not None
-    light = r.join(heavy, "subject", "left_anti") if any_heavy else r
-    out = elected(unpivot(light.repartition("subject")))
-    return out.unionByName(elected(unpivot(r.join(heavy, "subject", "left_semi")))) if any_heavy else out
+    light = (r.join(heavy, "subject", "left_anti") if any_heavy else r).repartition("subject")
+    w = Window.partitionBy(*PAIR)  # of a subject of heavy_rows rows at most
+    light = light.withColumns({"__lo": F.min("source_row_id").over(w), "__hi": F.max("source_row_id").over(w)}).where(F.col("__lo") != F.col("__hi")).drop("__lo", "__hi")
+    out = elected(unpivot(light))
+    if not any_heavy:
+        return out
+    hot = r.join(heavy, "subject", "left_semi")
+    several = hot.groupBy(*PAIR).agg(F.min("source_row_id").alias("lo"), F.max("source_row_id").alias("hi")).where(F.col("lo") != F.col("hi")).select(*PAIR)
+    return out.unionByName(elected(unpivot(hot.join(several, PAIR, "left_semi"))))
 
 
 def support(rows: DataFrame, sources: DataFrame, half_life_days: float = 90.0) -> DataFrame:
@@ -80,7 +84,7 @@ def support(rows: DataFrame, sources: DataFrame, half_life_days: float = 90.0) -
     A row gives 1 / precedence (0.01 where the source is unknown), halved every ``half_life_days`` before LAST_DAY and halved
     again unless valid; without a date in bounds it is as old as FIRST_DAY. Re-delivered rows give once.
     """
-    long = unpivot(keyed(rows, sources)).where(F.col("field_name") != "").withColumn("normal", normal("value"))
+    long = unpivot(keyed(rows, sources)).withColumn("normal", normal("value"))
     age = F.datediff(F.lit(LAST_DAY), F.lit(FIRST_DAY)) - F.greatest(F.col("day") - 1, F.lit(0))
     trust = F.when(F.col("precedence") == 2**31 - 1, 100).otherwise(F.greatest("precedence", F.lit(1)))
     gives = F.when(F.col("valid"), 1.0).otherwise(0.5) / trust * F.pow(F.lit(0.5), age / F.lit(half_life_days))
@@ -90,14 +94,15 @@ def support(rows: DataFrame, sources: DataFrame, half_life_days: float = 90.0) -
     return votes.join(every, KEYS).select(*KEYS, "normal", (F.col("votes") / F.col("all")).alias("support"))
 
 
-def winners(won: DataFrame) -> DataFrame:
-    """(subject, metric_id, field_name, value, source_row_id) of elected records."""
-    return won.select("subject", "metric_id", F.explode("fields").alias("field_name", "won")).select(*KEYS, "won.*")
+def winners(won: DataFrame, *keep: str) -> DataFrame:
+    """(<keep>, field_name, value, source_row_id) of elected records."""
+    cells = F.filter(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("won")) for f in FIELDS]), lambda x: x["won"].isNotNull())
+    return won.select(*keep, F.inline(cells)).select(*keep, "field_name", "won.*")
 
 
 def golden(rows: DataFrame, sources: DataFrame, subjects: DataFrame) -> DataFrame:
     """One record per subject and metric that several rows record: each field, the row it is from and its support."""
-    w = winners(records(rows, sources)).withColumn("normal", normal("value")).join(support(rows, sources), [*KEYS, "normal"], "left")
+    w = winners(records(rows, sources), *PAIR).withColumn("normal", normal("value")).join(support(rows, sources), [*KEYS, "normal"], "left")
     pick = lambda f, c: F.max(F.when(F.col("field_name") == f, F.col(c)))
     out = w.groupBy("subject", "metric_id").agg(*[x for f in FIELDS for x in (
         (pick(f, "value").cast("double") if f == "numeric_value" else pick(f, "value")).alias(f), pick(f, "source_row_id").alias(f"{f}_row"), pick(f, "support").alias(f"{f}_support"))])
@@ -106,4 +111,4 @@ def golden(rows: DataFrame, sources: DataFrame, subjects: DataFrame) -> DataFram
 
 def found(rows: DataFrame, sources: DataFrame, subjects: DataFrame) -> DataFrame:
     won = with_own_spelling(records(rows, sources), "subject", subjects, "subject_key", "subject_key")
-    return won.select("subject_key", "metric_id", F.explode("fields").alias("field_name", "won")).select("subject_key", "metric_id", "field_name", "won.source_row_id")
+    return winners(won, "subject_key", "metric_id").drop("value")
