@@ -142,58 +142,94 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("h")
 
 
-def _confirm(hits: DataFrame, wanted: int) -> DataFrame:
-    """(h, class_id, pos) of the windows of ``hits`` (class_id, text, near), h a digest of their characters."""
+def _around(rows: DataFrame, texts: DataFrame, small_rows: int) -> DataFrame:
+    """The texts with the positions of their repeated windows."""
+    hits = rows.join(_repeated(rows), "h", "left_semi").groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near"))
+    return _with_texts(cut(hits, "span-hits"), texts, small_rows)
+
+
+def _with_texts(hits: DataFrame, texts: DataFrame, small_rows: int) -> DataFrame:
+    """``hits`` (class_id, near) with their texts: broadcast to the scan up to ``small_rows`` entries, else joined."""
+    n = hits.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
+    return texts.join(F.broadcast(hits) if n <= small_rows else hits, "class_id")
+
+
+def _digests(hits: DataFrame, wanted: int) -> DataFrame:
+    """(d, class_id, pos): the digest of the characters of each window of ``hits`` (class_id, text, near)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for one, text, near in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if near:
                     digests = [hashlib.blake2b(text[p:p + wanted].encode("utf-8", "surrogatepass"), digest_size=16).digest() for p in near]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([one] * len(near), pa.int64()), pa.array(near, pa.int32())], names=["h", "class_id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([one] * len(near), pa.int64()), pa.array(near, pa.int32())], names=["d", "class_id", "pos"])
 
-    return hits.select("class_id", "text", "near").mapInArrow(run, "h binary, class_id bigint, pos int")
+    return hits.select("class_id", "text", "near").mapInArrow(run, "d binary, class_id bigint, pos int")
 
 
-def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None, small_rows: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """The windows of ``wanted`` code points that stand in two or more different texts: (h, class_id, pos), repeats of a
-    window inside a text included, h equal where the characters are; and the members (doc, class_id, copies) of every class.
-
-    ``first_length`` is the length of the first level, half of ``wanted`` by default; each level doubles it. Ids must be
-    integers; rows without one take no part. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
-    repeated windows of a level are broadcast to the scan of the texts; beyond it they are joined.
-    """
+def windows_of(docs: DataFrame, doc: str, text: str, wanted: int, first_length: int | None, small_rows: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Windows of ``wanted`` code points around everything that may be repeated: (h, class_id, pos); the texts (class_id, text); and the members
+    (doc, class_id, copies) of every class. See ``shared_windows`` for the parameters."""
     heads, members = classes(docs, doc, text, wanted)
     members = cut(members.join(heads, "print").select("doc", "class_id", "copies", "print"), "span-classes")
     texts = docs.where((F.length(text) >= wanted) & F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
     copies = members.where(F.col("doc") != F.col("class_id")).select("doc")
     n_copies = copies.count()
     texts = texts.join(F.broadcast(copies) if n_copies <= small_rows else copies, "doc", "left_anti").withColumnRenamed("doc", "class_id")
-
-    def around(rows: DataFrame) -> DataFrame:
-        """The texts with the positions of their repeated windows."""
-        hits = rows.join(_repeated(rows), "h", "left_semi").groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near"))
-        hits = cut(hits, "span-hits")  # per text, as many positions as it has chosen windows
-        n = hits.agg(F.coalesce(F.sum(F.size("near")), F.lit(0))).first()[0]
-        return texts.join(F.broadcast(hits) if n <= small_rows else hits, "class_id")
-
+    short = (lambda df: df) if bits == 64 else (lambda df: df.withColumn("h", F.pmod("h", F.lit(1 << bits))))
     length = first_length or max(1, wanted // 2)
-    rows = cut(_hash_rows(texts, length, wanted), "span-windows")
+    rows = short(_hash_rows(texts, length, wanted))
     while length < wanted:
-        length, near = min(2 * length, wanted), around(rows)
-        rows = _hash_rows(near, length, wanted)
-        if length < wanted:
-            rows = cut(rows, "span-windows")
-    found = cut(_confirm(around(rows), wanted), "span-confirmed")
+        near = _around(cut(rows, "span-windows"), texts, small_rows)
+        length = min(2 * length, wanted)
+        rows = short(_hash_rows(near, length, wanted))
+    return rows, texts, members
+
+
+def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None, small_rows: int = 2_000_000, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The windows of ``wanted`` code points that stand in two or more different texts: (h, class_id, pos), repeats of a
+    window inside a text included, h equal where the characters are; and the members (doc, class_id, copies) of every class.
+
+    ``first_length`` is the length of the first level, half of ``wanted`` by default; each level doubles it. Ids must be
+    integers; rows without one take no part. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
+    repeated windows of a level are broadcast to the scan of the texts; beyond it they are joined. ``bits`` of the hashes are used; fewer
+    give the same result and more to confirm.
+    """
+    rows, texts, members = windows_of(docs, doc, text, wanted, first_length, small_rows, bits)
+    found = _digests(_around(cut(rows, "span-windows"), texts, small_rows), wanted).withColumnRenamed("d", "h")
+    found = cut(found, "span-confirmed")
     return cut(found.join(_repeated(found), "h", "left_semi"), "span-shared"), members
 
 
-def passage_sets(windows: DataFrame) -> DataFrame:
-    """(size, p, q, class_id): every set of two or more texts that some window stands in, one row per text of the set. A set is named by
-    its size and two sums of its members' hashes. Neighbouring windows of a passage stand in the same texts and give one set."""
-    one = windows.repartition("h").dropDuplicates(["h", "class_id"])
-    sets = one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where(F.col("size") > 1)
-    return cut(one.join(sets, "h").select("size", "p", "q", "class_id").distinct(), "span-sets")
+SET = ["size", "p", "q"]
+
+
+def _sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(h, class_id, pos) once per text, and (h, size, p, q): which set of texts each window that stands in several names."""
+    one = windows.repartition("h").groupBy("h", "class_id").agg(F.min("pos").alias("pos"))
+    return one, one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where(F.col("size") > 1)
+
+
+def passage_sets(windows: DataFrame, texts: DataFrame, wanted: int, small_rows: int = 2_000_000) -> DataFrame:
+    """(size, p, q, class_id): every set of two or more texts that share some window, one row per text of the set. A set is named by its
+    size and two sums of its members' hashes; neighbouring windows of a passage stand in the same texts and give one set.
+
+    The window of the least hash of each set is confirmed in all its texts. Where that shows texts that differ, the set is
+    parted: all its windows are named anew by their digests.
+    """
+    one, named = _sets(windows)
+    sets = cut(one.join(named, "h").groupBy(*SET, "class_id").agg(F.min_by("pos", "h").alias("pos")), "span-sets")
+    near = cut(sets.groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near")), "span-witnesses")
+    seen = _digests(_with_texts(near, texts, small_rows), wanted)
+    proof = cut(sets.join(seen, ["class_id", "pos"]), "span-proofs")
+    doubt = cut(proof.groupBy(*SET).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("lo") != F.col("hi")).select(*SET), "span-doubts")
+    if doubt.first() is None:
+        return proof.select(*SET, "class_id")
+    again = windows.join(named.join(doubt, SET, "left_semi").select("h"), "h", "left_semi")
+    near = cut(again.groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near")), "span-doubtful")
+    one, named = _sets(cut(_digests(_with_texts(near, texts, small_rows), wanted).withColumnRenamed("d", "h"), "span-parted"))
+    parted = one.join(named, "h").select(*SET, "class_id")
+    return cut(proof.join(doubt, SET, "left_anti").select(*SET, "class_id").unionByName(parted).distinct(), "span-sets")
 
 
 def _expanded(sets: DataFrame, names: list[str], member: str, size: str, part: int = 1_000) -> DataFrame:
@@ -205,22 +241,22 @@ def _expanded(sets: DataFrame, names: list[str], member: str, size: str, part: i
     return a.join(b, [*names, "part"]).where(F.col("x") < F.col("y")).select("x", "y")
 
 
-def document_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None) -> DataFrame:
+def document_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None, small_rows: int = 2_000_000, bits: int = 64) -> DataFrame:
     """(doc_id, class_id, n_copies, n_sets, largest_set) of every document that stands in a class: the least id with its text, how
     many documents have that text, in how many passage sets it is, and how many texts the largest of them holds."""
-    windows, members = shared_windows(docs, doc, text, wanted, first_length)
-    per = passage_sets(windows).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_sets"), F.max("size").alias("largest_set"))
+    windows, texts, members = windows_of(docs, doc, text, wanted, first_length, small_rows, bits)
+    per = passage_sets(windows, texts, wanted, small_rows).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_sets"), F.max("size").alias("largest_set"))
     out = members.join(per, "class_id", "left")
     return out.select(F.col("doc").alias(doc), "class_id", F.col("copies").alias("n_copies"), F.coalesce("n_sets", F.lit(0)).alias("n_sets"), F.coalesce("largest_set", F.lit(0)).alias("largest_set"))
 
 
-def document_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None) -> DataFrame:
+def document_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text", wanted: int = 200, first_length: int | None = None, small_rows: int = 2_000_000, bits: int = 64) -> DataFrame:
     """(doc_id_a, doc_id_b), a below b: documents whose texts share a run of at least ``wanted`` code points.
 
     The pairs of texts come from the passage sets, each once; the copies of a text join at the end.
     """
-    windows, members = shared_windows(docs, doc, text, wanted, first_length)
-    pairs = _expanded(passage_sets(windows), ["size", "p", "q"], "class_id", "size").distinct()
+    windows, texts, members = windows_of(docs, doc, text, wanted, first_length, small_rows, bits)
+    pairs = _expanded(passage_sets(windows, texts, wanted, small_rows), SET, "class_id", "size").distinct()
     own = members.select("class_id", "doc", "copies")
     x, y = (own.select(F.col("class_id").alias(k), F.col("doc").alias("doc_" + k)) for k in "xy")
     across = pairs.join(x, "x").join(y, "y").select("doc_x", "doc_y")
