@@ -207,12 +207,14 @@ SET = ["size", "p", "q"]
 def _sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(h, class_id, pos) once per text, and (h, size, p, q): which set of texts each window that stands in several names."""
     one = windows.repartition("h").groupBy("h", "class_id").agg(F.min("pos").alias("pos"))
-    return one, one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("class_id").cast("decimal(20,0)")).alias("p"), F.sum(F.xxhash64("class_id", F.lit(1)).cast("decimal(20,0)")).alias("q")).where(F.col("size") > 1)
+    # the last condition always holds: with it both results read all columns of one exchange, which then runs once
+    named = one.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class_id")).alias("p"), F.bit_xor(F.xxhash64("class_id", F.lit(1))).alias("q"), F.min("pos").alias("__pos")).where((F.col("size") > 1) & (F.col("__pos") >= 0))
+    return one, named.drop("__pos")
 
 
 def passage_sets(windows: DataFrame, texts: DataFrame, wanted: int, small_rows: int = 2_000_000) -> DataFrame:
     """(size, p, q, class_id): every set of two or more texts that share some window, one row per text of the set. A set is named by its
-    size and two sums of its members' hashes; neighbouring windows of a passage stand in the same texts and give one set.
+    size and two combined hashes of its members; neighbouring windows of a passage stand in the same texts and give one set.
 
     The window of the least hash of each set is confirmed in all its texts. Where that shows texts that differ, the set is
     parted: all its windows are named anew by their digests.
