@@ -1,13 +1,18 @@
 """Offline evaluation: recall, sweeps, confusion, budgets, run summaries."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import math
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graindeck.functions.text import covers
+from graindeck.functions import spans as K
+from graindeck.functions.text import covers, token_estimate
 
 
 def cross_form_sweep(scores: DataFrame, thresholds: Sequence[float], cuts: Sequence[int]) -> DataFrame:
@@ -95,9 +100,9 @@ def homonyms(forms: DataFrame, word: str, key: str, facts: Sequence[str]) -> Dat
     return g.where(F.col("n_keys") > 1).select(word, "n_keys", F.when(F.col("n_readings") > 1, "ambiguous").otherwise("collapsed").alias("outcome"), F.when(F.col("n_readings") == 1, F.col("least")).alias("chosen"))
 
 
-def comparable(reports: DataFrame, facts: Sequence[str]) -> DataFrame:
-    """One row: may these reports be compared, which they may if they agree in all facts?"""
-    return reports.agg(F.count(F.lit(1)).alias("n_reports"), (F.countDistinct(F.struct(*facts)) <= 1).alias("comparable"))
+def comparable(reports: DataFrame, facts: Sequence[str], groups: Sequence[str] = ()) -> DataFrame:
+    """One row (per group): may these reports be compared, which they may if they agree in all facts?"""
+    return reports.groupBy(*groups).agg(F.count(F.lit(1)).alias("n_reports"), (F.countDistinct(F.struct(*facts)) <= 1).alias("comparable"))
 
 
 def adjusted_gold(gold: DataFrame, drops: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -106,55 +111,175 @@ def adjusted_gold(gold: DataFrame, drops: DataFrame, overrides: DataFrame) -> Da
     return left.join(overrides.select("case_id", "id", "new_id"), ["case_id", "id"], "left").select("case_id", F.coalesce("new_id", "id").alias("id")).distinct()
 
 
+def accepted_gold(gold: DataFrame, drops: DataFrame, overrides: DataFrame, inverses: DataFrame) -> DataFrame:
+    """(case_id, id, accepted) after an audit: ``adjusted_gold`` with, for each id, all ids that count for it: itself and what is declared its inverse, in
+    either direction (``inverses``: id, inverse)."""
+    both = inverses.select("id", "inverse").unionByName(inverses.select(F.col("inverse").alias("id"), F.col("id").alias("inverse"))).groupBy("id").agg(F.collect_set("inverse").alias("more"))
+    j = adjusted_gold(gold, drops, overrides).join(both, "id", "left")
+    return j.select("case_id", "id", F.sort_array(F.array_union(F.array("id"), F.coalesce("more", F.array().cast("array<string>")))).alias("accepted"))
+
+
+def rescore_rankings(ranked: DataFrame, accepted: DataFrame, cuts: Sequence[int]) -> DataFrame:
+    """Per cut: cases, required ids, ids of which an accepted one is among the first so many of the stored ranking (case_id, id, rank), recall, and cases
+    complete. Nothing is retrieved again."""
+    best = accepted.select("case_id", "id", F.explode("accepted").alias("any")).join(ranked.select("case_id", F.col("id").alias("any"), "rank"), ["case_id", "any"], "left").groupBy("case_id", "id").agg(F.min("rank").alias("rank"))
+    grid = ranked.sparkSession.createDataFrame([(int(k),) for k in cuts], "k int")
+    per = best.join(F.broadcast(grid), F.lit(True)).groupBy("k", "case_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") <= F.col("k")).alias("h"))
+    return per.groupBy("k").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("n").alias("n_required"), F.sum("h").alias("n_found"), F.round(F.sum("h") / F.sum("n"), 6).alias("recall"), F.count_if(F.col("h") == F.col("n")).alias("n_complete"))
+
+
+def view_payload(candidates: DataFrame, question: str = "question_id", columns: Sequence[str] = ("semantic_id", "kind", "label")) -> DataFrame:
+    """(question, payload, n_candidates, n_chars, n_bytes, token_estimate): what a model is shown of each question's candidates, as JSON in order of the first
+    column, and how large that is. Candidates of one question are bounded by its retrieval budget."""
+    body = F.to_json(F.sort_array(F.collect_list(F.struct(*columns))))
+    p = candidates.groupBy(question).agg(body.alias("payload"), F.count(F.lit(1)).alias("n_candidates"))
+    return p.select(question, "payload", "n_candidates", F.length("payload").alias("n_chars"), F.octet_length("payload").alias("n_bytes"), token_estimate(F.col("payload")).alias("token_estimate"))
+
+
 def greedy_match(pairs: DataFrame, case: str = "case_id") -> DataFrame:
     """Expected against returned records per case, best score first (ties by ids), each used once: (case, expected, returned, score). ``pairs``: case,
     expected, returned, score. Order matters, so a case is matched by itself; a case is one request of tens of records."""
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        used_e, used_r, keep = set(), set(), []
-        for x in b.sort_values(["score", "expected", "returned"], ascending=[False, True, True]).itertuples():
-            if x.expected not in used_e and x.returned not in used_r:
-                used_e.add(x.expected)
-                used_r.add(x.returned)
-                keep.append(x.Index)
-        return b.loc[keep, [case, "expected", "returned", "score"]]
-
     kind = pairs.schema[case].dataType.simpleString()
-    return pairs.groupBy(case).applyInPandas(one, f"{case} {kind}, expected string, returned string, score double")
+    per = pairs.groupBy(case).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("order"), "expected", "returned", "score"))).alias("pairs"))
 
+    def one(r: dict) -> Iterator[tuple]:
+        used_e, used_r = set(), set()
+        for x in r["pairs"]:
+            if x["expected"] not in used_e and x["returned"] not in used_r:
+                used_e.add(x["expected"])
+                used_r.add(x["returned"])
+                yield r[case], x["expected"], x["returned"], x["score"]
 
-def span_ledger(matches: DataFrame, question: str = "question_id") -> DataFrame:
-    """Which matched spans of a question stand: longest first, then leftmost, none overlapping one that stands. Adds ``stands``. ``matches``: question,
-    form_id, start, length. Sequential within a question, whose matches are few."""
+    return _per_row(per, f"{case} {kind}, expected string, returned string, score double", one)
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        taken, stands = [], {}
-        for x in b.sort_values(["length", "start", "form_id"], ascending=[False, True, True]).itertuples():
-            ok = all(x.start >= e or x.start + x.length <= s for s, e in taken)
-            stands[x.Index] = ok
-            if ok:
-                taken.append((x.start, x.start + x.length))
-        return b.assign(stands=pd.Series(stands))[[question, "form_id", "start", "length", "stands"]]
 
-    kind = matches.schema[question].dataType.simpleString()
-    return matches.groupBy(question).applyInPandas(one, f"{question} {kind}, form_id string, start int, length int, stands boolean")
+def _per_row(df: DataFrame, fields: str, one: Callable[[dict], Iterable[tuple]]) -> DataFrame:
+    """Rows that ``one`` makes of each row. A row is one question with what belongs to it, tens of entries."""
+    names = [f.split()[0] for f in fields.split(", ")]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for r in b.to_dict("records") for x in one(r)], columns=names)
 
-def plan_options(slots: DataFrame, cap: int, question: str = "question_id") -> DataFrame:
-    """All combinations of one reading per slot, per question: (question, n_options, options, blocked). More than ``cap`` block the question whole:
-    a lossy list is no list. ``slots``: question, slot, reading."""
-    import itertools
+    return df.mapInPandas(run, fields)
 
-    def one(b: pd.DataFrame) -> pd.DataFrame:
-        lists = [sorted(set(g["reading"])) for _, g in sorted(b.groupby("slot"))]
-        n = 1
-        for x in lists:
-            n *= len(x)
-        options = ["|".join(c) for c in itertools.product(*lists)] if n <= cap else []
-        return pd.DataFrame({question: [b[question].iloc[0]], "n_options": [n], "options": [options], "blocked": [n > cap]})
 
+def span_ledger(matches: DataFrame, question: str = "question_id") -> DataFrame:
+    """Which matched spans of a question stand: longest first, then leftmost, none overlapping one that stands. Adds ``stands``. ``matches``: question,
+    form_id, start, length. Sequential within a question, whose matches are few."""
+    kind = matches.schema[question].dataType.simpleString()
+    per = matches.groupBy(question).agg(F.collect_list(F.struct("form_id", "start", "length")).alias("spans"))
+
+    def one(r: dict) -> Iterator[tuple]:
+        for s, ok in _standing(r["spans"]):
+            yield r[question], s["form_id"], s["start"], s["length"], ok
+
+    return _per_row(per, f"{question} {kind}, form_id string, start int, length int, stands boolean", one)
+
+
+def _standing(spans: Sequence) -> Iterator[tuple]:
+    taken: list[tuple[int, int]] = []
+    for s in sorted(spans, key=lambda s: (-s["length"], s["start"], s["form_id"])):
+        ok = all(s["start"] >= e or s["start"] + s["length"] <= b for b, e in taken)
+        if ok:
+            taken.append((s["start"], s["start"] + s["length"]))
+        yield s, ok
+
+
+def scan_forms(questions: DataFrame, forms: DataFrame) -> DataFrame:
+    """(question_id, question, spans) of every question: all occurrences of every form in it, case aside; spans is empty where none occurs. Forms meet
+    questions by an equi-join on the form's own text, of whose lengths there are few."""
+    low = forms.select("form_id", F.lower(F.trim("text")).alias("needle")).where(F.col("needle") != "").distinct()
+    lengths = sorted(r[0] for r in low.select(F.length("needle")).distinct().collect())  # at most as many as the longest form has letters
+    q = questions.where(F.col("question").isNotNull()).select("question_id", "question", F.lower("question").alias("__low"))
+    none = F.array().cast("array<struct<start:int,needle:string>>")
+
+    def pieces(k: int) -> Column:
+        at = F.sequence(F.lit(1), F.length("__low") - k + 1)
+        return F.when(F.length("__low") >= k, F.transform(at, lambda i: F.struct((i - 1).alias("start"), F.substring(F.col("__low"), i, F.lit(k)).alias("needle")))).otherwise(none)
+
+    places = q.select("question_id", F.inline(F.flatten(F.array(none, *[pieces(k) for k in lengths]))))
+    hits = places.join(low, "needle").groupBy("question_id").agg(F.collect_list(F.struct("form_id", "start", F.length("needle").alias("length"))).alias("spans"))
+    return q.drop("__low").join(hits, "question_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<form_id:string,start:int,length:int>>")))
+
+
+def _word_state(word: str) -> str:
+    w = word.strip(".,?!").lower()
+    if re.fullmatch(K.NUMBER + r"\D{0,2}", w):
+        return "number"
+    for state, table in (("direction", K.DIRECTIONS), ("comparison", K.COMPARISONS), ("aggregate", K.AGGREGATES)):
+        if any(w == f for forms in table.values() for f in forms):
+            return state
+    if w in K.CONNECTIVES or not w:
+        return "connective"
+    return "limit" if w in K.LIMIT_PREFIXES + K.LIMIT_COUNTERS else "negation" if w in K.NEGATIONS_ASCII + K.NEGATIONS + K.NEGATIONS_OUTSIDE_COMPARISON else "unknown"
+
+
+def question_ledger(scanned: DataFrame) -> DataFrame:
+    """(question_id, place, start, length, text, state, form_id, frame): every part of a question accounted for, in order. Overlapping forms are resolved as
+    in ``span_ledger``; a standing form has state form, each word between them the state that the span grammar gives it, else unknown. A
+    frame is a standing form with the words behind it; words before the first form are frame 0. ``scanned``: see ``scan_forms``."""
+    kind = scanned.schema["question_id"].dataType.simpleString()
+
+    def one(r: dict) -> Iterator[tuple]:
+        spans = sorted((s["start"], s["length"], s["form_id"]) for s, ok in _standing(r["spans"]) if ok)
+        parts, at = [], 0
+        for start, length, form in [*spans, (len(r["question"]), 0, None)]:
+            parts += [(at + m.start(), len(m[0]), _word_state(m[0]), None) for m in re.finditer(r"\S+", r["question"][at:start])]
+            if form is not None:
+                parts.append((start, length, "form", form))
+            at = max(at, start + length)
+        frame = 0
+        for place, (start, length, state, form) in enumerate(parts):
+            frame += state == "form"
+            yield r["question_id"], place, start, length, r["question"][start:start + length], state, form, frame
+
+    return _per_row(scanned, f"question_id {kind}, place int, start int, length int, text string, state string, form_id string, frame int", one)
+
+
+def case_ledger(ledger: DataFrame, scanned: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row per case of a corpus (question_id, anchors: expected form ids, states: expected states of its frames' words): anchors found, anchors swallowed by a
+    longer form that stands, parts unknown, states that collapsed (expected, but absent), and whether it passed, that is, none of these is amiss."""
+    per = ledger.groupBy("question_id").agg(F.collect_set(F.when(F.col("state") == "form", F.col("form_id"))).alias("stand"), F.collect_set("state").alias("seen"), F.count_if(F.col("state") == "unknown").alias("n_unknown"))
+    every = scanned.select("question_id", F.array_distinct(F.transform("spans", lambda s: s["form_id"])).alias("occur"))
+    none = F.array().cast("array<string>")
+    j = expected.join(per, "question_id", "left").join(every, "question_id", "left")
+    j = j.withColumns({c: F.coalesce(c, none) for c in ("stand", "seen", "occur")})
+    missing = F.array_except("anchors", "stand")
+    out = j.select("question_id", F.size("anchors").alias("n_anchors"), (F.size("anchors") - F.size(missing)).alias("n_found"), F.size(F.array_intersect(missing, F.col("occur"))).alias("n_swallowed"),
+                   F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"), F.sort_array(F.array_except("states", "seen")).alias("collapsed"))
+    return out.withColumn("passed", (F.col("n_found") == F.col("n_anchors")) & (F.col("n_swallowed") == 0) & (F.col("n_unknown") == 0) & (F.size("collapsed") == 0))
+
+
+@dataclass(frozen=True)
+class Caps:
+    """What one question may have at most; more blocks it whole, as a lossy list is no list."""
+
+    readings: int = 8  # of one slot
+    slots: int = 8
+    options: int = 32  # combinations, before impossible ones go
+    kept: int = 16  # combinations that may be
+
+
+def plan_options(slots: DataFrame, caps: Caps | int = Caps(), conflicts: DataFrame | None = None, question: str = "question_id") -> DataFrame:
+    """All combinations of one reading per slot, per question: (question, n_options, n_kept, options, blocked, reason). Combinations with two readings that can't
+    stand together (``conflicts``: reading, other, a few pairs) go, which loses nothing; a cap that is exceeded is named in ``reason`` and no
+    option comes out. A number as ``caps`` caps the combinations alone. ``slots``: question, slot, reading; null readings are none."""
     kind = slots.schema[question].dataType.simpleString()
-    return slots.groupBy(question).applyInPandas(one, f"{question} {kind}, n_options bigint, options array<string>, blocked boolean")
+    caps = Caps(2**31, 2**31, caps, caps) if isinstance(caps, int) else caps
+    pairs = {frozenset(r) for r in conflicts.select("reading", "other").distinct().collect()} if conflicts is not None else set()
+    per = slots.where(F.col("reading").isNotNull()).groupBy(question, "slot").agg(F.sort_array(F.collect_set("reading")).alias("readings")).groupBy(question).agg(F.sort_array(F.collect_list(F.struct("slot", "readings"))).alias("lists"))
+
+    def one(r: dict) -> Iterator[tuple]:
+        lists = [list(x["readings"]) for x in r["lists"]]
+        n = math.prod(len(x) for x in lists)
+        blocked = "readings" if any(len(x) > caps.readings for x in lists) else "slots" if len(lists) > caps.slots else "options" if n > caps.options else None
+        kept = [] if blocked else [c for c in itertools.product(*lists) if not any(frozenset(p) in pairs for p in itertools.combinations(c, 2))]
+        blocked = blocked or ("kept" if len(kept) > caps.kept else "impossible" if not kept else None)
+        yield r[question], n, len(kept), [] if blocked else ["|".join(c) for c in kept], blocked is not None, blocked
+
+    return _per_row(per, f"{question} {kind}, n_options bigint, n_kept bigint, options array<string>, blocked boolean, reason string", one)
 
 
 def redact(df: DataFrame, text: str, secrets: Sequence[str]) -> DataFrame:

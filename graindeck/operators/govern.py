@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from graindeck.operators import observe as O
 from graindeck.operators import select as S
+from graindeck.session import cut
 from graindeck.sources.tables import folded_key, own_subjects
 
 
@@ -113,8 +114,9 @@ def governed_top_k(observations: DataFrame, displays: DataFrame, order: Binding,
     n = S.positive_limit(n)
     o = selected(observations, order, as_of).select("subject_key", F.col("value").alias("order_value"), F.col("as_of").alias("order_as_of"), "source_id", F.col("source_row_id").alias("order_row"))
     d = selected(displays, display, as_of).select("subject_key", F.col("value").alias("display_value"), F.col("as_of").alias("display_as_of"), F.col("source_row_id").alias("display_row"), F.col("source_id").alias("display_source"))
-    both = own_subjects(o.join(d, "subject_key"), subjects)
-    e = S.evidence(both)
+    # written once: evidence, sources and ranking all read it
+    both = cut(own_subjects(o.join(d, "subject_key"), subjects), "governed")
+    e = S.evidence(both, provenance=("source_id", "order_row", "display_source", "display_row"))
     population = subjects.where((F.col("family_id") == order.family_id) & (F.col("subject_grain") == order.subject_grain)).agg(F.countDistinct(folded_key("subject_key")).alias("population"))
     used = both.select("source_id").union(both.select("display_source")).distinct()
     checked = used.join(sources.select("source_id", F.col("hash_matches").alias("ok"), F.col("sha256").alias("sha")), "source_id", "left")
@@ -127,7 +129,7 @@ def governed_top_k(observations: DataFrame, displays: DataFrame, order: Binding,
     one = one.withColumn("freshness", F.lit("exact_requested" if as_of else "latest_available")).withColumn("global_ranking_claim_allowed", (F.col("coverage") == "full") & F.col("snapshot_compatible") & F.col("sources_verified"))
     top = S.top_k(both, "order_value", "subject_key", n, descending)
     return top.select("subject_key", "order_value", "display_value", "order_as_of", "order_row", "display_row").join(
-        F.broadcast(one.select("universe", "population", "duplicates", "unknown_as_of", "as_of_mismatches", "snapshot_compatible", "sources_verified", "coverage", "freshness", "global_ranking_claim_allowed")), F.lit(True))
+        F.broadcast(one.select("universe", "population", "duplicates", "provenance_missing", "unknown_as_of", "as_of_mismatches", "snapshot_compatible", "sources_verified", "coverage", "freshness", "global_ranking_claim_allowed")), F.lit(True))
 
 
 def execute(top: DataFrame) -> tuple[str, list]:
@@ -136,12 +138,52 @@ def execute(top: DataFrame) -> tuple[str, list]:
     if not rows:
         return "as_of_unavailable_or_empty", []
     first = rows[0]
-    for code, bad in (("duplicate_subjects", first["duplicates"] > 0), ("snapshot_incompatible", not first["snapshot_compatible"]), ("source_not_verified", not first["sources_verified"])):
+    for code, bad in (("provenance_binding_unavailable", first["provenance_missing"] > 0), ("duplicate_subjects", first["duplicates"] > 0), ("snapshot_incompatible", not first["snapshot_compatible"]), ("source_not_verified", not first["sources_verified"])):
         if bad:
             return code, []
     return "ok", rows
 
 
+def bind_populations(requests: DataFrame, datasets: DataFrame) -> DataFrame:
+    """(request_id, outcome, population) of requests (request_id, family_id, subject_grain): bound only where exactly one dataset
+    binding (family_id, subject_grain, population) is declared for both and it names a population."""
+    d = datasets.select("family_id", "subject_grain", F.col("population").alias("p"), F.lit(1).alias("declared"))
+    g = requests.join(d, ["family_id", "subject_grain"], "left").groupBy("request_id").agg(F.count("declared").alias("n"), F.max("p").alias("population"))
+    bound = (F.col("n") == 1) & F.col("population").isNotNull()
+    return g.select("request_id", F.when(bound, "bound").otherwise("dataset_binding_unavailable").alias("outcome"), F.when(bound, F.col("population")).alias("population"))
+
+
+def ranking_evidence(selected: DataFrame, sources: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Per field (columns ``fields``): the evidence of a ranking of its selected observations (subject_key, as_of, source_id, source_row_id):
+    rows, subjects above one row, rows without source or row id, unknown dates, span of dates, and whether every source is verified."""
+    ok = sources.select("source_id", F.coalesce(F.col("hash_matches") & (F.length("sha256") > 0), F.lit(False)).alias("ok"))
+    per = selected.groupBy(*fields, "subject_key").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_id").isNull() | F.col("source_row_id").isNull()).alias("gaps"), F.count_if(F.col("as_of").isNull()).alias("unknown"), F.min("as_of").alias("lo"), F.max("as_of").alias("hi"))
+    rows = per.groupBy(*fields).agg(F.sum("n").alias("universe"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("gaps").alias("provenance_missing"), F.sum("unknown").alias("unknown_as_of"), F.min("lo").alias("as_of_min"), F.max("hi").alias("as_of_max"))
+    used = selected.select(*fields, "source_id").distinct().join(F.broadcast(ok), "source_id", "left")  # source loads, tens at any scale
+    checked = used.groupBy(*fields).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("sources_verified"))
+    return rows.join(checked, list(fields))
+
+
+def freshness(requested: Column, lo: Column, hi: Column, unknown: Column) -> Column:
+    """exact_requested or latest_available where all rows are of one known date (the requested one, if any), else mixed_effective_dates."""
+    single = (unknown == 0) & (lo == hi)
+    return F.when(single & requested.isNotNull() & (lo == requested), "exact_requested").when(single & requested.isNull(), "latest_available").otherwise("mixed_effective_dates")
+
+
+def outcome(requested: Column) -> Column:
+    """The first thing that stops a ranking, from the columns of ``ranking_evidence``; null if nothing does. ``requested``: the date asked for, or null."""
+    mixed = freshness(requested, F.col("as_of_min"), F.col("as_of_max"), F.col("unknown_as_of")) == "mixed_effective_dates"
+    return (F.when(F.coalesce("universe", F.lit(0)) == 0, "as_of_unavailable").when(F.col("provenance_missing") > 0, "provenance_binding_unavailable").when(F.col("duplicates") > 0, "selection_policy_unavailable")
+            .when(mixed, "snapshot_incompatible").when(~F.coalesce("sources_verified", F.lit(False)), "source_integrity_mismatch"))
+
+
+def applied_operations(stopped: Column, operation: Column, field_id: Column, direction: Column, limit: Column) -> Column:
+    """The record of what was done to a result: one operation with its field, direction and row limit; none where the request was stopped."""
+    one = F.struct(operation.alias("operation"), field_id.alias("field_id"), direction.alias("direction"), limit.cast("int").alias("row_limit"))
+    return F.when(stopped.isNull(), F.array(one)).otherwise(F.array().cast("array<struct<operation:string,field_id:string,direction:string,row_limit:int>>"))
+
+
 def coverage_state(observed: Column, population: Column, declared: Column) -> Column:
     """unknown without a population, unavailable without rows, full or partial by count where declared so, else observed."""
     return (F.when(population.isNull(), "unknown").when(F.coalesce(observed, F.lit(0)) == 0, "unavailable").when((declared == "full") & (observed >= population), "full")

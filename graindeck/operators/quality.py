@@ -104,3 +104,61 @@ def inventory(tables: dict[str, DataFrame], grains: dict[str, str]) -> DataFrame
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(grains.get(name)).alias("grain"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def source_row_ids(rows: DataFrame, keys: Sequence[str] = ("source_id",), row: str = "source_row_id") -> DataFrame:
+    """Per load: rows, different row ids, rows without one, and whether its ids are unique once re-delivered rows, equal in all columns, count once."""
+    once = rows.distinct().groupBy(*keys, row).agg(F.count(F.lit(1)).alias("n"))
+    g = once.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.count(row).alias("n_ids"), F.coalesce(F.sum(F.when(F.col(row).isNull(), F.col("n"))), F.lit(0)).alias("n_without"))
+    return g.withColumn("is_unique", (F.col("n_rows") == F.col("n_ids")) & (F.col("n_without") == 0))
+
+
+def field_catalogue(df: DataFrame, columns: Sequence[str], zeros: Sequence[str] = ("0", "0.0", "0.00", "0.000", "0.0000")) -> DataFrame:
+    """(column_name, n_rows, n_filled, n_distinct, n_zero_like, shortest, longest) of text columns: one pass, distinct values counted as two grouped steps."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.nullif(F.trim(F.col(c)), F.lit("")).alias("value")) for c in columns])
+    values = df.select(F.inline(cells)).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+    filled = F.col("value").isNotNull()
+    return values.groupBy("column_name").agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("n_filled"), F.count("value").alias("n_distinct"),
+                                             F.coalesce(F.sum(F.when(F.col("value").isin(list(zeros)), F.col("n"))), F.lit(0)).alias("n_zero_like"), F.min(F.length("value")).alias("shortest"), F.max(F.length("value")).alias("longest"))
+
+
+def catalogue_differences(recorded: DataFrame, now: DataFrame) -> DataFrame:
+    """(column_name, measure, recorded, now) where a table's catalogue of today isn't the recorded one; a column on one side only differs in all measures."""
+    measures = ["n_rows", "n_filled", "n_distinct", "n_zero_like", "shortest", "longest"]
+    long = lambda df, name: df.select("column_name", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("bigint").alias(name)) for m in measures])))
+    j = long(recorded, "recorded").join(long(now, "now"), ["column_name", "measure"], "full")
+    return j.where(~F.col("recorded").eqNullSafe(F.col("now"))).select("column_name", "measure", "recorded", "now")
+
+
+def binding_mismatches(bindings: DataFrame, terms: DataFrame, kinds: dict[str, list[str]], support: dict[str, list[str]]) -> DataFrame:
+    """(semantic_id, family_id, rule): where a catalog binding and the term it binds disagree: not_declared, kind, family, grain, unit, period, operation, currency_missing
+    (the term requires one, none is bound) and currency_undeclared (bound, but the term has no policy).
+
+    ``bindings``: semantic_id, binding_kind, family_id, subject_grain, unit_code, period_code, operations, currency_source; ``terms``: semantic_id, term_kind, families, grains,
+    term_unit, term_period, allowed, currency_policy. Grain, unit, period, operations and currency are checked of metrics and attributes; empty families bind any.
+    """
+    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
+    j = bindings.join(terms.withColumn("declared", F.lit(True)), "semantic_id", "left")
+    text = lambda c, d="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
+    measured, known = F.col("binding_kind").isin("metric", "attribute"), F.col("declared").isNotNull()
+    expected = as_map(kinds)[F.col("binding_kind")]
+    supported = F.exists("allowed", lambda o: as_map(support)[o].isNotNull() & ~F.arrays_overlap(as_map(support)[o], F.coalesce("operations", F.array().cast("array<string>"))))
+    rules = {
+        "not_declared": ~known, "kind": expected.isNotNull() & ~F.array_contains(expected, F.col("term_kind")), "family": (F.size("families") > 0) & ~F.array_contains("families", F.col("family_id")),
+        "grain": measured & ~F.array_contains("grains", F.col("subject_grain")), "unit": measured & (text("term_unit") != text("unit_code")), "period": (F.col("binding_kind") == "metric") & (text("term_period", "none") != text("period_code", "none")),
+        "operation": measured & supported, "currency_missing": measured & (text("currency_policy") != "") & (text("currency_source", "none") == "none"), "currency_undeclared": measured & (text("currency_policy") == "") & (text("currency_source", "none") != "none")}
+    hits = F.array_compact(F.array(*[F.when(F.coalesce(bad & (known | F.lit(r == "not_declared")), F.lit(False)), F.lit(r)) for r, bad in rules.items()]))
+    return j.select("semantic_id", "family_id", F.explode(hits).alias("rule")).distinct()
+
+
+def relation_mismatches(observed: DataFrame, declared: DataFrame, terms: DataFrame, paths: DataFrame) -> DataFrame:
+    """(subject, rule): relation kinds observed in data but not declared, predicates that are no term, and join paths that don't exist. ``declared``: relation_kind, forward_id,
+    inverse_id, path_ids (an array); a kind declared without a forward predicate is one that can't be executed, and is checked no further."""
+    kinds = observed.select("relation_kind").distinct()
+    unknown = kinds.join(declared.select("relation_kind"), "relation_kind", "left_anti").select(F.col("relation_kind").alias("subject"), F.lit("relation_undeclared").alias("rule"))
+    used = declared.join(kinds, "relation_kind", "left_semi").where(F.col("forward_id").isNotNull())
+    predicates = used.select("path_ids", F.explode(F.array_compact(F.array("forward_id", "inverse_id"))).alias("subject"))
+    known = predicates.join(terms.select(F.col("semantic_id").alias("subject")).distinct().withColumn("t", F.lit(True)), "subject", "left")
+    absent = known.where(F.col("t").isNull()).select("subject", F.lit("predicate_undeclared").alias("rule"))
+    lost = known.where(F.col("t").isNotNull()).select("subject", F.explode("path_ids").alias("path_id")).join(paths.select("path_id"), "path_id", "left_anti").select("subject", F.lit("unknown_path").alias("rule"))
+    return unknown.unionByName(absent).unionByName(lost).distinct()

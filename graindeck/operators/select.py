@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,16 +45,17 @@ def top_k(df: DataFrame, value: str, key: str, n: int, descending: bool = True)
     return df.orderBy(v, F.col(key).asc()).limit(positive_limit(n))
 
 
-def evidence(selected: DataFrame, subject: str = "subject_key") -> DataFrame:
+def evidence(selected: DataFrame, subject: str = "subject_key", provenance: Sequence[str] = ("source_id",)) -> DataFrame:
     """One row over all selected observations before any cut: universe, span of both dates, unknown and unequal dates, distinct subjects
-    above one row, and the distinct sources, of which there are few (a null source counts as one)."""
+    above one row, rows that lack one of the ``provenance`` columns, and the distinct sources, of which there are few (a null source counts as one)."""
+    gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in provenance])
     by_source = selected.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).agg(
         F.sort_array(F.collect_set("source_id")).alias("sources"), F.count_if(F.col("source_id").isNull()).alias("null_sources"))
     per = selected.groupBy(subject).agg(
         F.count(F.lit(1)).alias("n"), F.min("order_as_of").alias("a"), F.max("order_as_of").alias("b"), F.min("display_as_of").alias("c"), F.max("display_as_of").alias("d"),
-        F.count_if(F.col("order_as_of").isNull() | F.col("display_as_of").isNull()).alias("u"), F.count_if(~F.col("order_as_of").eqNullSafe(F.col("display_as_of"))).alias("m"))
+        F.count_if(F.col("order_as_of").isNull() | F.col("display_as_of").isNull()).alias("u"), F.count_if(~F.col("order_as_of").eqNullSafe(F.col("display_as_of"))).alias("m"), F.count_if(gap).alias("g"))
     one = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("universe"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.min("a").alias("order_as_of_min"), F.max("b").alias("order_as_of_max"),
-                  F.min("c").alias("display_as_of_min"), F.max("d").alias("display_as_of_max"), F.coalesce(F.sum("u"), F.lit(0)).alias("unknown_as_of"), F.coalesce(F.sum("m"), F.lit(0)).alias("as_of_mismatches"))
+                  F.min("c").alias("display_as_of_min"), F.max("d").alias("display_as_of_max"), F.coalesce(F.sum("u"), F.lit(0)).alias("unknown_as_of"), F.coalesce(F.sum("m"), F.lit(0)).alias("as_of_mismatches"), F.coalesce(F.sum("g"), F.lit(0)).alias("provenance_missing"))
     return one.join(F.broadcast(by_source), F.lit(True))  # one row each
 
 

@@ -1,6 +1,8 @@
 """Queries of governed execution, capability resolution and data quality (groups J, L, N)."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -8,11 +10,12 @@ from graindeck.operators import aggregate as A
 from graindeck.operators import govern as G
 from graindeck.operators import quality as Q
 from graindeck.operators import relate as R
-from graindeck.plans.registry import Register
+from graindeck.plans.registry import Register, by_key
 from graindeck.sources.tables import folded_key, folded_subjects, own_subjects
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
+METRICS = by_key("metric_observation")
 FAMILY, GRAIN = "overseas_etp", "product"
 ORDER = G.Binding("met:return_3m", FAMILY, GRAIN, "metric_observation", "metric_id", "met:return_3m", "numeric_value", ("order", "filter", "aggregate"), zero_semantics="excluded")
 DISPLAY = G.Binding("met:nav_per_unit", FAMILY, GRAIN, "metric_observation", "metric_id", "met:nav_per_unit", "numeric_value", ("order",))
@@ -20,15 +23,15 @@ DISPLAY = G.Binding("met:nav_per_unit", FAMILY, GRAIN, "metric_observation", "me
 
 def _selected(metric: str, more: str = "") -> str:
     return (f"SELECT * FROM (SELECT subject_key, numeric_value, effective_as_of, source_id, source_row_id, row_number() OVER (PARTITION BY subject_key ORDER BY effective_as_of DESC NULLS LAST, source_row_id) AS r "
-            f"FROM (SELECT DISTINCT * FROM metric_observation) WHERE metric_id = '{metric}' AND value_status = 'valid' AND numeric_value IS NOT NULL AND subject_key IS NOT NULL {more}) WHERE r = 1")
+            f"FROM (SELECT DISTINCT * FROM {METRICS}) WHERE metric_id = '{metric}' AND value_status = 'valid' AND numeric_value IS NOT NULL AND subject_key IS NOT NULL {more}) WHERE r = 1")
 
 
-def _evidence(as_of: str | None) -> str:
+def _evidence(as_of: str | None, order: str = 'met:return_3m', display: str = 'met:nav_per_unit', family: str = FAMILY) -> str:
     cond = f"AND effective_as_of = DATE '{as_of}'" if as_of else ""
     want = f"AND min(o_date) = DATE '{as_of}'" if as_of else ""
-    return f"""WITH o AS ({_selected('met:return_3m', 'AND numeric_value <> 0 ' + cond)}), d AS ({_selected('met:nav_per_unit', cond)}),
+    return f"""WITH o AS ({_selected(order, 'AND numeric_value <> 0 ' + cond)}), d AS ({_selected(display, cond)}),
  b AS (SELECT o.subject_key, o.numeric_value AS order_value, d.numeric_value AS display_value, o.effective_as_of AS o_date, d.effective_as_of AS d_date, o.source_row_id AS order_row, d.source_row_id AS display_row, o.source_id AS s1, d.source_id AS s2 FROM o JOIN d USING (subject_key)),
- e AS (SELECT count(*) AS universe, (SELECT count(DISTINCT subject_key) FROM subject WHERE family_id = '{FAMILY}' AND subject_grain = '{GRAIN}') AS population, count(*) - count(DISTINCT subject_key) AS duplicates,
+ e AS (SELECT count(*) AS universe, (SELECT count(DISTINCT subject_key) FROM subject WHERE family_id = '{family}' AND subject_grain = '{GRAIN}') AS population, count(*) - count(DISTINCT subject_key) AS duplicates, count(*) FILTER (WHERE s1 IS NULL OR s2 IS NULL OR order_row IS NULL OR display_row IS NULL) AS provenance_missing,
   count(*) FILTER (WHERE o_date IS NULL OR d_date IS NULL) AS unknown_as_of, count(*) FILTER (WHERE o_date IS DISTINCT FROM d_date) AS as_of_mismatches,
   coalesce(count(*) FILTER (WHERE o_date IS NULL OR d_date IS NULL) = 0 AND count(*) FILTER (WHERE o_date IS DISTINCT FROM d_date) = 0 AND min(o_date) = max(o_date) {want}, false) AS snapshot_compatible,
   coalesce((SELECT bool_and(coalesce(hash_matches, false) AND length(coalesce(sha256, '')) > 0) FROM (SELECT s1 AS s FROM b UNION SELECT s2 FROM b) u LEFT JOIN data_source ON source_id = s), false) AS sources_verified FROM b)
@@ -36,9 +39,9 @@ def _evidence(as_of: str | None) -> str:
  FROM (SELECT * FROM b ORDER BY order_value DESC NULLS LAST, subject_key LIMIT 10), e"""
 
 
-def _top(t, as_of: str | None) -> DataFrame:
+def _top(t, as_of: str | None, order: G.Binding = ORDER, display: G.Binding = DISPLAY) -> DataFrame:
     obs = t("metric_observation")
-    return G.governed_top_k(obs, obs, ORDER, DISPLAY, t("data_source"), t("subject"), 10, as_of)
+    return G.governed_top_k(obs, obs, order, display, t("data_source"), t("subject"), 10, as_of)
 
 
 @register(_evidence(None))
@@ -49,10 +52,17 @@ def j5_governed_topk(t) -> DataFrame:
 
 @register(_evidence("2026-08-03"))
 def j6_snapshot_check(t) -> DataFrame:
-    """The same under one requested date."""
+    """The same under one requested date, on which few subjects have both values, or none."""
     return _top(t, "2026-08-03")
 
 
+@register(_evidence("2026-08-03", "met:return_3y", "met:return_3y", "public_fund"))
+def j6_one_date(t) -> DataFrame:
+    """A field ranked and shown under one requested date."""
+    b = G.Binding("met:return_3y", "public_fund", GRAIN, "metric_observation", "metric_id", "met:return_3y", "numeric_value", ("order",), zero_semantics="excluded")
+    return _top(t, "2026-08-03", b, replace(b, zero_semantics="included"))
+
+
 _BINDINGS = "SELECT metric_id AS semantic_id, family_id, min(subject_grain) AS subject_grain, CASE WHEN dimension = 'share' THEN ['order', 'filter', 'aggregate'] WHEN dimension = 'amount' THEN ['order', 'filter'] ELSE ['order'] END AS operations FROM (SELECT DISTINCT metric_id, family_id, subject_grain, dimension FROM metric_observation JOIN metric_catalog USING (metric_id)) GROUP BY metric_id, family_id, dimension"
 
 
@@ -87,7 +97,7 @@ def j8_source_integrity(t) -> DataFrame:
     return t("data_source").join(n, "source_id", "left").select("source_id", F.coalesce(F.col("hash_matches") & (F.length("sha256") > 0), F.lit(False)).alias("verified"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
-_STATE = "SELECT metric_id, family_id, count(DISTINCT subject_key) AS observed, count(*) FILTER (WHERE effective_as_of IS NULL) AS unknown, min(effective_as_of) AS lo, max(effective_as_of) AS hi FROM metric_observation GROUP BY ALL"
+_STATE = f"SELECT metric_id, family_id, count(DISTINCT subject_key) AS observed, count(*) FILTER (WHERE effective_as_of IS NULL) AS unknown, min(effective_as_of) AS lo, max(effective_as_of) AS hi FROM {METRICS} GROUP BY ALL"
 
 
 def _states(t) -> DataFrame:
@@ -208,13 +218,18 @@ def n1_uniqueness_suite(t) -> DataFrame:
     return Q.uniqueness_suite({n: (t(n.strip()), k) for n, k in _KEYS.items()})
 
 
-_REFS = {"metric_to_subject": ("metric_observation", "subject_key", "subject", "subject_key"), "map_to_subject": ("product_portfolio_map", "subject_key", "subject", "subject_key"), "map_to_portfolio": ("product_portfolio_map", "portfolio_key", "portfolio", "portfolio_key"),
+_REFS = {"metric_to_subject": ("metric_observation", "subject_key", "subject", "subject_key"), "attribute_to_subject": ("attribute_observation", "subject_key", "subject", "subject_key"), "holding_to_portfolio": ("holding_observation", "portfolio_key", "portfolio", "portfolio_key"), "map_to_subject": ("product_portfolio_map", "subject_key", "subject", "subject_key"), "map_to_portfolio": ("product_portfolio_map", "portfolio_key", "portfolio", "portfolio_key"),
          "holding_to_security": ("holding_observation", "security_key", "security_master", "security_key"), "holding_to_source": ("holding_observation", "source_id", "data_source", "source_id"), "lineitem_to_orders": ("lineitem", "l_orderkey", "orders", "o_orderkey")}
 
 
-@register(" UNION ALL ".join(f"SELECT '{n}' AS path, count(*) AS n_dangling FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)" for n, (c, k, p, pk) in _REFS.items()))
+def _folded(k: str) -> str:
+    return rf"lower(regexp_replace({k}, '\s', '', 'g'))" if k in ("subject_key", "portfolio_key") else k
+
+
+@register(" UNION ALL ".join(f"SELECT '{n}' AS path, count(*) AS n_dangling FROM {c} WHERE {k} IS NOT NULL AND {_folded(k)} NOT IN (SELECT {_folded(pk)} FROM {p} WHERE {pk} IS NOT NULL)" for n, (c, k, p, pk) in _REFS.items()))
 def n2_references(t) -> DataFrame:
-    return Q.reference_suite({n: (t(c), k, t(p), pk) for n, (c, k, p, pk) in _REFS.items()})
+    of = lambda name, k: t(name).withColumn(k, folded_key(k)) if k in ("subject_key", "portfolio_key") else t(name)
+    return Q.reference_suite({n: (of(c, k), k, of(p, pk), pk) for n, (c, k, p, pk) in _REFS.items()})
 
 
 @register("SELECT count(*) AS n_observed, count(*) AS n_covered, 0 AS n_missing, true AS complete FROM (SELECT DISTINCT metric_id, family_id, subject_grain FROM metric_observation)")

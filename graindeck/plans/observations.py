@@ -29,10 +29,10 @@ def a10_metadata(t) -> DataFrame:
 
 @register("SELECT attribute_id, source_row_id, label_value AS as_text, TRY_CAST(TRY_CAST(nullif(trim(label_value), '') AS DOUBLE) AS DOUBLE) AS as_double, "
           "CAST(round(TRY_CAST(nullif(trim(label_value), '') AS DECIMAL(38,9))) AS BIGINT) AS as_bigint, TRY_CAST(nullif(trim(label_value), '') AS DECIMAL(18,4))::DOUBLE AS as_numeric "
-          "FROM attribute_observation WHERE attribute_id IN ('att:risk_grade', 'att:unit_par', 'att:issue_spread')")
+          "FROM attribute_observation")
 def b1_typed_projection(t) -> DataFrame:
-    """Raw text of three attributes cast as each declared type."""
-    a = t("attribute_observation").where(F.col("attribute_id").isin("att:risk_grade", "att:unit_par", "att:issue_spread"))
+    """Raw text of every attribute cast as each declared type."""
+    a = t("attribute_observation")
     label = F.col("label_value")
     return a.select("attribute_id", "source_row_id", label.alias("as_text"), O.typed(label, "double precision").alias("as_double"), O.typed(label, "bigint").alias("as_bigint"),
                     O.typed(label, "numeric(18,4)").cast("double").alias("as_numeric"))
@@ -284,9 +284,9 @@ def h15_l2_normalise(t) -> DataFrame:
     return t("embeddings").select("vec_id", unit(F.col("embedding")).alias("v")).select("vec_id", F.round(dot(F.col("v"), F.col("v")), 6).alias("norm2"))
 
 
-@register("SELECT a.vec_id, round(list_dot_product(list_transform(a.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 5) AS score FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q")
+@register("SELECT q.vec_id AS query_id, a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q")
 def h16_dot_product(t) -> DataFrame:
-    """Every row with each of the stated queries; the SQL takes one query."""
+    """Every row with each of the stated queries."""
     from graindeck.operators.retrieve import search_blocks
 
     e = t("embeddings").select("vec_id", "embedding")

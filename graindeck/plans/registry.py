@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from graindeck.sources.tables import table
 
+def by_key(name: str) -> str:
+    """SQL of a table whose subject_key is in the spelling that ``subject`` has (folded where it isn't listed)."""
+    fold = r"lower(regexp_replace({}, '\s', '', 'g'))"
+    return (f"(SELECT m.* REPLACE (coalesce(o.own, {fold.format('m.subject_key')}) AS subject_key) FROM {name} m LEFT JOIN (SELECT {fold.format('subject_key')} AS folded, min(subject_key) AS own FROM subject GROUP BY 1) o "
+            f"ON o.folded = {fold.format('m.subject_key')})")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 

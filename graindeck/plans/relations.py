@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from graindeck.operators import aggregate as A
 from graindeck.operators import relate as R
 from graindeck.operators import select as S
-from graindeck.plans.registry import Register
+from graindeck.plans.registry import Register, by_key
 from graindeck.sources.tables import folded_key, folded_subjects, own_subjects
 
 register = Register()
 QUERIES, ORACLES = register.queries, register.oracles
+METRICS = by_key("metric_observation")
 PF = r"lower(regexp_replace(portfolio_key, '\s', '', 'g'))"
 
 
@@ -42,9 +43,9 @@ def c3_left_normalised_key(t) -> DataFrame:
     return h.join(p, "k", "left").groupBy("family_id", "portfolio_id_scheme").agg(F.sum("n").alias("n"))
 
 
-@register("SELECT c.family_id, c.subject_grain, c.n, s.total FROM (SELECT family_id, subject_grain, count(DISTINCT subject_key) AS n FROM metric_observation WHERE metric_id = 'met:total_fee' GROUP BY ALL) c LEFT JOIN (SELECT family_id, subject_grain, count(*) AS total FROM subject GROUP BY ALL) s USING (family_id, subject_grain)")
+@register(f"SELECT c.family_id, c.subject_grain, c.n, s.total FROM (SELECT family_id, subject_grain, count(DISTINCT subject_key) AS n FROM {METRICS} WHERE metric_id = 'met:total_fee' GROUP BY ALL) c LEFT JOIN (SELECT family_id, subject_grain, count(*) AS total FROM subject GROUP BY ALL) s USING (family_id, subject_grain)")
 def c4_two_key_left(t) -> DataFrame:
-    c = t("metric_observation").where(F.col("metric_id") == "met:total_fee").groupBy("family_id", "subject_grain").agg(F.countDistinct("subject_key").alias("n"))
+    c = folded_subjects(t("metric_observation")).where(F.col("metric_id") == "met:total_fee").groupBy("family_id", "subject_grain").agg(F.countDistinct("subject_key").alias("n"))
     return c.join(t("subject").groupBy("family_id", "subject_grain").agg(F.count(F.lit(1)).alias("total")), ["family_id", "subject_grain"], "left")
 
 
@@ -83,9 +84,11 @@ def c10_semi_dedup(t) -> DataFrame:
     return R.holding_any(t("subject"), _map(t), _holdings(t), F.col("currency") == "JPY").select("subject_key", "family_id")
 
 
-@register("SELECT subject_key, metric_id, source_row_id FROM metric_observation WHERE subject_key IN (SELECT subject_key FROM subject WHERE display_name IS NULL)")
+@register(f"SELECT subject_key, metric_id, source_row_id FROM {METRICS} WHERE subject_key IN (SELECT subject_key FROM subject WHERE display_name IS NULL)")
 def c11_in_list_semi(t) -> DataFrame:
-    return t("metric_observation").join(t("subject").where(F.col("display_name").isNull()).select("subject_key"), "subject_key", "left_semi").select("subject_key", "metric_id", "source_row_id")
+    nameless = t("subject").where(F.col("display_name").isNull()).select(folded_key("subject_key").alias("__key"), F.col("subject_key").alias("__own"))
+    m = t("metric_observation").select(folded_key("subject_key").alias("__key"), "metric_id", "source_row_id")
+    return m.join(nameless, "__key").select(F.col("__own").alias("subject_key"), "metric_id", "source_row_id")
 
 
 @register(f"""SELECT f.family_id, (SELECT count(*) FROM subject s WHERE s.family_id = f.family_id) AS n_subjects, (SELECT count(*) FROM portfolio p WHERE p.family_id = f.family_id) AS n_portfolios,
@@ -191,13 +194,13 @@ def c21_overlap_join(t) -> DataFrame:
 # ---- D: aggregates
 
 
-@register("SELECT subject_key, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources FROM metric_observation WHERE subject_key IS NOT NULL GROUP BY 1")
+@register(f"SELECT subject_key, count(*) AS n_rows, count(DISTINCT source_id) AS n_sources FROM {METRICS} WHERE subject_key IS NOT NULL GROUP BY 1")
 def d1_entity_rollup(t) -> DataFrame:
     m = folded_subjects(t("metric_observation")).where(F.col("subject_key").isNotNull()).groupBy("subject_key", "source_id").agg(F.count(F.lit(1)).alias("n"))
     return own_subjects(m.groupBy("subject_key").agg(F.sum("n").alias("n_rows"), F.count("source_id").alias("n_sources")), t("subject"))
 
 
-@register("SELECT subject_key, arg_min(raw_text_value, source_row_id || metric_id) AS first_text FROM metric_observation WHERE subject_key IS NOT NULL GROUP BY 1")
+@register(f"SELECT subject_key, arg_min(raw_text_value, source_row_id || metric_id) AS first_text FROM {METRICS} WHERE subject_key IS NOT NULL GROUP BY 1")
 def d2_arg_min_first(t) -> DataFrame:
     m = folded_subjects(t("metric_observation")).where(F.col("subject_key").isNotNull())
     return own_subjects(m.groupBy("subject_key").agg(A.first_by("raw_text_value", F.concat("source_row_id", "metric_id")).alias("first_text")), t("subject"))
@@ -208,7 +211,7 @@ def d3_any_value(t) -> DataFrame:
     return t("holding_observation").where(F.col("security_key").isNotNull()).groupBy("security_key").agg(A.some_value("security_name_raw").alias("some_name"), A.some_value("currency").alias("some_currency"))
 
 
-_PROFILED = ["raw_text_value", "unit_code", "currency_code", "value_status"]
+_PROFILED = ["subject_key", "subject_grain", "family_id", "metric_id", "raw_text_value", "unit_code", "currency_code", "period_code", "as_of_status", "value_status", "source_id", "source_row_id"]  # every text column
 
 
 @register(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(nullif(trim({c}), '')) AS n_nonblank, count(*) FILTER (WHERE nullif(trim({c}), '') IS NOT NULL AND TRY_CAST(trim({c}) AS DOUBLE) IS NULL) AS n_castfail, count(*) FILTER (WHERE {c} <> trim({c})) AS n_padded, count(*) FILTER (WHERE TRY_CAST(trim({c}) AS DOUBLE) = 0) AS n_zero FROM metric_observation" for c in _PROFILED))
@@ -216,16 +219,16 @@ def d4_column_profile(t) -> DataFrame:
     return A.column_statistics(t("metric_observation"), _PROFILED)
 
 
-@register("SELECT metric_id, count(DISTINCT subject_key) FILTER (WHERE value_status = 'valid') AS n_valid, count(DISTINCT subject_key) FILTER (WHERE value_status = 'zero_excluded') AS n_zero, count(DISTINCT subject_key) FILTER (WHERE value_status = 'parse_failed') AS n_failed FROM metric_observation GROUP BY 1")
+@register(f"SELECT metric_id, count(DISTINCT subject_key) FILTER (WHERE value_status = 'valid') AS n_valid, count(DISTINCT subject_key) FILTER (WHERE value_status = 'zero_excluded') AS n_zero, count(DISTINCT subject_key) FILTER (WHERE value_status = 'parse_failed') AS n_failed FROM {METRICS} GROUP BY 1")
 def d5_status_distincts(t) -> DataFrame:
     c = A.status_coverage(folded_subjects(t("metric_observation")), "metric_id", [])
     return c.select("metric_id", F.col("n_valid_subjects").alias("n_valid"), F.col("n_zero_subjects").alias("n_zero"), F.col("n_failed_subjects").alias("n_failed"))
 
 
-_COVER = """SELECT metric_id, family_id, subject_grain, count(*) AS n_rows, count(DISTINCT subject_key) AS n_subjects, count(DISTINCT subject_key) FILTER (WHERE value_status = 'valid') AS n_valid_subjects,
+_COVER = f"""SELECT metric_id, family_id, subject_grain, count(*) AS n_rows, count(DISTINCT subject_key) AS n_subjects, count(DISTINCT subject_key) FILTER (WHERE value_status = 'valid') AS n_valid_subjects,
  count(DISTINCT subject_key) FILTER (WHERE value_status = 'zero_excluded') AS n_zero_subjects, count(DISTINCT subject_key) FILTER (WHERE value_status = 'parse_failed') AS n_failed_subjects, max(n) AS max_rows_per_subject,
  min(effective_as_of) AS as_of_min, max(effective_as_of) AS as_of_max, count(*) FILTER (WHERE effective_as_of IS NULL) AS n_unknown_as_of
- FROM (SELECT *, count(*) OVER (PARTITION BY metric_id, family_id, subject_grain, subject_key) AS n FROM metric_observation) GROUP BY ALL"""
+ FROM (SELECT *, count(*) OVER (PARTITION BY metric_id, family_id, subject_grain, subject_key) AS n FROM {METRICS}) GROUP BY ALL"""
 
 
 @register(f"SELECT c.*, s.subject_total, greatest(coalesce(s.subject_total, 0) - c.n_subjects, 0) AS missing_subjects FROM ({_COVER}) c LEFT JOIN (SELECT family_id, subject_grain, count(*) AS subject_total FROM subject GROUP BY ALL) s USING (family_id, subject_grain)")
@@ -268,13 +271,14 @@ def d11_group_counts(t) -> DataFrame:
     return t("metric_observation").groupBy("family_id", "value_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT metric_id, round(avg(numeric_value), 4) AS mean, min(numeric_value) AS least, max(numeric_value) AS most, count(numeric_value) AS n FROM metric_observation WHERE value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value) AND numeric_value <> 0 AND metric_id IN ('met:holder_count', 'met:leverage', 'met:settle_days', 'met:coupon_per_year') GROUP BY 1")
+@register("SELECT metric_id, coalesce(unit_code, '') AS unit_code, coalesce(currency_code, '') AS currency_code, round(avg(numeric_value), 4) AS mean, round(sum(numeric_value), 2) AS total, min(numeric_value) AS least, max(numeric_value) AS most, count(numeric_value) AS n FROM metric_observation WHERE value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value) AND numeric_value <> 0 GROUP BY ALL")
 def d12_measure_agg(t) -> DataFrame:
+    """Every metric as recorded, per unit and currency as written: values of different units are never added up."""
     from graindeck.sources.tables import finite
 
-    m = t("metric_observation").where((F.col("value_status") == "valid") & finite("numeric_value") & (F.col("numeric_value") != 0) & F.col("metric_id").isin("met:holder_count", "met:leverage", "met:settle_days", "met:coupon_per_year"))
-    v = F.col("numeric_value")
-    return m.groupBy("metric_id").agg(F.round(F.avg(v), 4).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"))
+    m = t("metric_observation").where((F.col("value_status") == "valid") & finite("numeric_value") & (F.col("numeric_value") != 0))
+    v, written = F.col("numeric_value"), [F.coalesce(c, F.lit("")).alias(c) for c in ("unit_code", "currency_code")]
+    return m.groupBy("metric_id", *written).agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.sum(v), 2).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"))
 
 
 @register(f"SELECT {PF} AS portfolio_key, count(*) AS n_rows, count(DISTINCT security_key) AS n_securities FROM holding_observation WHERE security_key IS NOT NULL AND portfolio_key IS NOT NULL GROUP BY 1 HAVING count(*) > count(DISTINCT security_key)")
@@ -283,11 +287,12 @@ def d13_duplicate_holders(t) -> DataFrame:
     return h.groupBy("portfolio_key").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_securities")).where(F.col("n_rows") > F.col("n_securities"))
 
 
-@register("SELECT count(*) - count(DISTINCT subject_key) AS unselected_duplicates FROM (SELECT subject_key FROM metric_observation WHERE metric_id = 'met:return_1y' AND value_status = 'valid' AND isfinite(numeric_value) ORDER BY numeric_value DESC NULLS LAST, source_row_id, subject_key LIMIT 100)")
+@register(f"SELECT count(*) - count(DISTINCT subject_key) AS unselected_duplicates FROM (SELECT subject_key FROM {METRICS} WHERE metric_id = 'met:return_1y' AND value_status = 'valid' AND isfinite(numeric_value) ORDER BY numeric_value DESC NULLS LAST, source_row_id, subject_key LIMIT 100)")
 def d14_unselected_duplicates(t) -> DataFrame:
     from graindeck.sources.tables import finite
 
     m = t("metric_observation").where((F.col("metric_id") == "met:return_1y") & (F.col("value_status") == "valid") & finite("numeric_value"))
+    m = folded_subjects(m)
     top = m.orderBy(F.col("numeric_value").desc_nulls_last(), "source_row_id", "subject_key").limit(100)
     return top.agg((F.count(F.lit(1)) - F.countDistinct("subject_key")).alias("unselected_duplicates"))
 
@@ -321,9 +326,9 @@ def d18_profile_long(t) -> DataFrame:
     return t("holding_observation").agg(*aggs).select(F.inline(cells))
 
 
-@register("SELECT round(avg(n), 6) AS mean, median(n) AS middle, max(n) AS most FROM (SELECT subject_key, count(*) AS n FROM metric_observation GROUP BY 1)")
+@register(f"SELECT round(avg(n), 6) AS mean, median(n) AS middle, max(n) AS most FROM (SELECT subject_key, count(*) AS n FROM {METRICS} GROUP BY 1)")
 def d19_distribution(t) -> DataFrame:
-    n = t("metric_observation").groupBy("subject_key").agg(F.count(F.lit(1)).alias("n"))
+    n = folded_subjects(t("metric_observation")).groupBy("subject_key").agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("middle"), F.max("n").alias("most"))
 
 
@@ -372,7 +377,7 @@ def d26_uniqueness(t) -> DataFrame:
 
 # ---- E, F: windows and top-k
 
-_LATEST = "SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY effective_as_of DESC NULLS LAST, source_row_id) AS r FROM (SELECT DISTINCT * FROM metric_observation WHERE metric_id = '{}' AND value_status = 'valid' AND isfinite(numeric_value) AND subject_key IS NOT NULL)"
+_LATEST = f"SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY effective_as_of DESC NULLS LAST, source_row_id) AS r FROM (SELECT DISTINCT * FROM {METRICS} WHERE metric_id = '{{}}' AND value_status = 'valid' AND isfinite(numeric_value) AND subject_key IS NOT NULL)"
 
 
 def _valid(t, metric: str) -> DataFrame:
@@ -398,9 +403,9 @@ def e3_bounded_sample(t) -> DataFrame:
     return S.bounded_sample(h, ["portfolio_key"], [F.col("holding_key")], 3)
 
 
-@register("SELECT metric_id, max(n) AS most FROM (SELECT metric_id, count(*) OVER (PARTITION BY metric_id, subject_key) AS n FROM metric_observation) GROUP BY 1")
+@register(f"SELECT metric_id, max(n) AS most FROM (SELECT metric_id, count(*) OVER (PARTITION BY metric_id, subject_key) AS n FROM {METRICS}) GROUP BY 1")
 def e4_partition_count(t) -> DataFrame:
-    return t("metric_observation").groupBy("metric_id", "subject_key").agg(F.count(F.lit(1)).alias("n")).groupBy("metric_id").agg(F.max("n").alias("most"))
+    return folded_subjects(t("metric_observation")).groupBy("metric_id", "subject_key").agg(F.count(F.lit(1)).alias("n")).groupBy("metric_id").agg(F.max("n").alias("most"))
 
 
 @register(f"SELECT count(*) AS universe, min(effective_as_of) AS lo, max(effective_as_of) AS hi, count(*) FILTER (WHERE effective_as_of IS NULL) AS unknown, list_sort(list(DISTINCT source_id)) AS sources FROM ({_LATEST.format('met:return_3m')}) WHERE r = 1")
@@ -444,18 +449,21 @@ def f2_rank_without_selection(t) -> DataFrame:
     return S.top_k(_valid(t, "met:return_3m").select("subject_key", "numeric_value"), "numeric_value", "subject_key", 20)
 
 
-@register("SELECT vec_id, round(list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]), 5) AS score FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) q ORDER BY list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) DESC, vec_id LIMIT 20")
+_DOT = "SELECT q.vec_id AS query_id, e.vec_id, e.label, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"
+
+
+@register(f"SELECT query_id, vec_id, round(s, 5) AS score FROM ({_DOT}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 20")
 def f4_vector_topk(t) -> DataFrame:
-    """The first 20 rows for each of the stated queries; the SQL takes one query."""
+    """The first 20 rows for each of the stated queries."""
     from graindeck.operators.retrieve import search_blocks
 
     e = t("embeddings").select("vec_id", "embedding")
     return search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", top_k=20).select("query_id", "vec_id", "score")
 
 
-@register("SELECT label, vec_id, round(s, 5) AS score FROM (SELECT label, arg_min(vec_id, (-s, vec_id)) AS vec_id, max(s) AS s FROM (SELECT e.label, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.v::DOUBLE[]) AS s FROM embeddings e, (SELECT embedding AS v FROM embeddings ORDER BY vec_id LIMIT 1) q) GROUP BY 1) ORDER BY s DESC, label LIMIT 5")
+@register(f"SELECT query_id, label, vec_id, round(s, 5) AS score FROM (SELECT query_id, label, arg_min(vec_id, (-s, vec_id)) AS vec_id, max(s) AS s FROM ({_DOT}) GROUP BY query_id, label) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label) <= 5")
 def f5_topk_after_dedup(t) -> DataFrame:
-    """The cut applies to semantic ids, not to their forms, for each of the stated queries; the SQL takes one query."""
+    """The cut applies to semantic ids, not to their forms, for each of the stated queries."""
     from graindeck.operators.retrieve import search_blocks
 
     e = t("embeddings").select("vec_id", "label", "embedding")

@@ -51,11 +51,15 @@ def _word_forms(t) -> DataFrame:
 
 _Q = f"SELECT min(p_partkey) AS question_id, p_name AS question, {_NORMAL.format('p_name')} AS question_normal FROM part GROUP BY p_name"
 _V = f"SELECT role || ':' || text AS form_id, 't:' || lower(text) AS semantic_id, role, text, {_NORMAL.format('text')} AS normal FROM (SELECT DISTINCT 'label' AS role, p_name AS text FROM part UNION SELECT DISTINCT 'alias', unnest(string_split(p_name, ' ')) FROM part) WHERE text <> ''"
-_TIER = f"SELECT question_id, form_id, semantic_id, role, text, normal, question_normal, CASE WHEN trim(question) = text THEN 'exact' WHEN question_normal = normal THEN 'normalized' WHEN contains(question_normal, normal) THEN 'phrase' END AS tier FROM ({_Q}) q, ({_V}) v WHERE trim(question) = text OR question_normal = normal OR contains(question_normal, normal)"
+_WHOLE = "CASE WHEN trim(question) = text THEN 'exact' WHEN question_normal = normal THEN 'normalized' WHEN contains(question_normal, normal) THEN 'phrase' END"
+_CONTAINED = f"SELECT question_id, form_id, semantic_id, role, text, normal, question_normal, {_WHOLE} AS tier FROM ({_Q}) q, ({_V}) v WHERE trim(question) = text OR question_normal = normal OR contains(question_normal, normal)"
+# the length of the longest fragment of a form, of six tenths of it at least, that stands in the question
+_FRAGMENT = "list_max(list_filter(range(greatest(2, ceil(0.6 * length(normal))::BIGINT), length(normal)), lambda k: len(list_filter(range(1, length(normal) - k + 2), lambda i: contains(question_normal, substr(normal, i, k)))) > 0))"
+_TIER = f"SELECT *, CASE WHEN tier = 'substring' THEN fragment / length(normal) ELSE 1.0 END AS score FROM (SELECT *, coalesce({_WHOLE}, CASE WHEN fragment IS NOT NULL THEN 'substring' END) AS tier FROM (SELECT *, CASE WHEN NOT contains(question_normal, normal) THEN {_FRAGMENT} END AS fragment FROM ({_Q}) q, ({_V}) v)) WHERE tier IS NOT NULL"
 
 
 def _matched(t) -> DataFrame:
-    """All four tiers; the SQL below states the first three only."""
+    """All four tiers."""
     return R.match_pairs(R.candidate_pairs(_questions(t), _word_forms(t)))
 
 
@@ -70,13 +74,34 @@ def i3_tiers(t) -> DataFrame:
     return _matched(t).select("question_id", "form_id", "tier")
 
 
-@register(f"SELECT question_id, form_id, CASE WHEN tier = 'phrase' THEN 'substring' ELSE tier END AS tier FROM ({_TIER})")
+# a phrase is shadowed if each of its places lies within a place of a longer form that the question grounds
+_PLACES = "SELECT question_id, form_id, tier, length(normal) AS n, unnest(list_filter(range(1, length(question_normal) - length(normal) + 2), lambda i: substr(question_normal, i, length(normal)) = normal)) AS spot FROM t WHERE tier <> 'substring'"
+_SHADOWED = f"""WITH t AS ({{}}), p AS ({_PLACES}), s AS (SELECT a.question_id, a.form_id FROM (SELECT DISTINCT question_id, form_id, n, spot FROM p WHERE tier = 'phrase') a LEFT JOIN p b ON b.question_id = a.question_id AND b.n > a.n AND b.spot <= a.spot AND a.spot + a.n <= b.spot + b.n GROUP BY 1, 2, a.spot HAVING count(b.form_id) = 0)
+ SELECT t.question_id, t.form_id, CASE WHEN t.tier = 'phrase' AND NOT EXISTS (SELECT 1 FROM s WHERE s.question_id = t.question_id AND s.form_id = t.form_id) THEN 'substring' ELSE t.tier END AS tier FROM t"""
+
+
+@register(_SHADOWED.format(_TIER))
 def i4_shadowed(t) -> DataFrame:
-    """Every word stands inside its whole name, so each phrase is shadowed by it."""
+    """Names as questions hold their words inside the whole name, so each of these phrases is shadowed by it."""
     return R.downgrade_shadowed(_matched(t)).select("question_id", "form_id", "tier")
 
 
-@register(f"SELECT question_id, semantic_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id, semantic_id ORDER BY CASE tier WHEN 'exact' THEN 1 WHEN 'normalized' THEN 2 ELSE 3 END, length(normal) DESC, form_id) AS r FROM ({_TIER})) WHERE r = 1")
+_LINES = "SELECT p_partkey AS question_id, p_name || ' and ' || string_split(p_name, ' ')[1] AS question FROM part"
+_PLANTED = f"SELECT question_id, form_id, semantic_id, role, text, normal, question_normal, {_WHOLE} AS tier FROM (SELECT question_id, question, {_NORMAL.format('question')} AS question_normal FROM ({_LINES})) q, ({_V}) v WHERE contains(question_normal, normal)"
+
+
+@register(_SHADOWED.format(_PLANTED) + " WHERE t.tier <> 'substring'")
+def i4_shadowed_or_free(t) -> DataFrame:
+    """A name and its first word again: that word also stands free of the name and stays a phrase, the others are shadowed."""
+    name = F.col("p_name")
+    q = t("part").select(F.col("p_partkey").alias("question_id"), F.concat(name, F.lit(" and "), F.split(name, " ")[0]).alias("question"))
+    q = q.withColumn("question_normal", T.retrieval_normal(F.col("question")))
+    m = R.match_pairs(R.candidate_pairs(q, _word_forms(t))).where(F.col("tier") != "substring")
+    return R.downgrade_shadowed(m).select("question_id", "form_id", "tier")
+
+
+@register(f"SELECT question_id, semantic_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY k, -score, -length(normal), form_id) AS place FROM (SELECT *, CASE tier WHEN 'exact' THEN 1 WHEN 'normalized' THEN 2 WHEN 'phrase' THEN 3 ELSE 4 END AS k FROM ({_TIER})) "
+          "QUALIFY row_number() OVER (PARTITION BY question_id, semantic_id ORDER BY k, -score, -length(normal), form_id) = 1) WHERE place IS NOT NULL QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY place) <= 50")
 def i5_best_per_term(t) -> DataFrame:
     return R.best_per_term(_matched(t)).select("question_id", "semantic_id", "tier")
 
@@ -84,15 +109,16 @@ def i5_best_per_term(t) -> DataFrame:
 _QV = "SELECT e.vec_id, e.label, q.vec_id AS query_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q WHERE e.vec_id <> q.vec_id"
 
 
-def _scores(t) -> DataFrame:
+def _scores(t, threshold: float) -> DataFrame:
     e = t("embeddings").select("vec_id", "label", "embedding")
-    s = R.search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding").where(F.col("vec_id") != F.col("query_id"))
+    # scores are rounded to five digits after the search: what rounds up to the threshold is searched too
+    s = R.search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", threshold - 1e-5).where((F.col("vec_id") != F.col("query_id")) & (F.col("score") >= threshold))
     return s.join(e.select("vec_id", "label"), "vec_id")
 
 
 @register(f"SELECT query_id, semantic_id, entry, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, semantic_id) AS rank FROM (SELECT query_id, label AS semantic_id, arg_min(vec_id, (-score, vec_id)) AS entry, max(score) AS score FROM ({_QV}) WHERE score >= 0.05 GROUP BY ALL)) WHERE rank <= 5")
 def i6_embedding_search(t) -> DataFrame:
-    s = _scores(t).select("query_id", F.col("label").alias("semantic_id"), F.col("vec_id").alias("entry"), "score")
+    s = _scores(t, 0.05).select("query_id", F.col("label").alias("semantic_id"), F.col("vec_id").alias("entry"), "score")
     return R.embedding_candidates(s, R.Settings(threshold=0.05, top_k=5))
 
 
@@ -140,14 +166,14 @@ def i14_inner_product_topk(t) -> DataFrame:
     return R.search_blocks(e, e.where(F.col("vec_id") % 50 == 0), "vec_id", "embedding", top_k=10)
 
 
-@register(f"SELECT question_id, semantic_id, max(length(normal)) AS longest, count(*) AS matches FROM ({_TIER}) GROUP BY ALL")
+@register(f"SELECT question_id, semantic_id, max(length(normal)) AS longest, count(*) AS matches FROM ({_CONTAINED}) GROUP BY ALL")
 def i17_lexical_probe(t) -> DataFrame:
     return _contained(t).groupBy("question_id", "semantic_id").agg(F.max(F.length("normal")).alias("longest"), F.count(F.lit(1)).alias("matches"))
 
 
-@register("SELECT DISTINCT x AS term FROM (SELECT 'n' || n_nationkey AS x FROM nation WHERE n_nationkey < 4 UNION ALL SELECT 'r' || n_regionkey FROM nation WHERE n_nationkey < 4)")
+@register("SELECT DISTINCT x AS term FROM (SELECT 'n' || n_nationkey AS x FROM nation UNION ALL SELECT 'r' || n_regionkey FROM nation)")
 def i18_ownership_closure(t) -> DataFrame:
-    n = t("nation").where(F.col("n_nationkey") < 4)
+    n = t("nation")
     own = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("term"))
     return own.unionByName(n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("term"))).distinct()
 
@@ -328,7 +354,7 @@ _BEST = f"SELECT query_id, label, max(score) AS score FROM ({_QV}) GROUP BY ALL"
           "SELECT threshold, top_k, round(coalesce(sum(hit), 0) / (SELECT count(*) FROM q), 6) AS recall, round(coalesce(sum(rr), 0) / (SELECT count(*) FROM q), 6) AS mrr, round(coalesce(sum(n), 0) / (SELECT count(*) FROM q), 6) AS mean_candidates, round(coalesce(sum(o), 0) / (SELECT count(*) FROM q), 6) AS mean_competing FROM g LEFT JOIN (SELECT threshold AS t, top_k AS k, query_id, max((label = own)::INT) AS hit, max(CASE WHEN label = own THEN 1.0 / rank END) AS rr, count(*) AS n, count(*) FILTER (WHERE label <> own) AS o FROM g, b WHERE score >= threshold AND rank <= top_k GROUP BY ALL) p ON p.t = g.threshold AND p.k = g.top_k GROUP BY ALL")
 def m1_cross_form_sweep(t) -> DataFrame:
     own = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    s = _scores(t).join(own, "query_id").select("query_id", "query_label", F.col("label").alias("semantic_id"), "score")
+    s = _scores(t, 0.0).join(own, "query_id").select("query_id", "query_label", F.col("label").alias("semantic_id"), "score")
     return E.cross_form_sweep(s, [0.0, 0.1, 0.2], [1, 5])
 
 
@@ -399,7 +425,7 @@ def m18_span_ledger(t) -> DataFrame:
 @register()
 def m19_plan_options(t) -> DataFrame:
     s = t("events").select(F.col("user_id").alias("question_id"), F.col("event_type").alias("slot"), F.floor(F.col("value") / 25).cast("string").alias("reading")).distinct()
-    return E.plan_options(s, 64)
+    return E.plan_options(s)
 
 
 @register("SELECT p_name, n_keys, CASE WHEN r > 1 THEN 'ambiguous' ELSE 'collapsed' END AS outcome, CASE WHEN r = 1 THEN least_key END AS chosen FROM (SELECT p_name, count(DISTINCT p_partkey) AS n_keys, count(DISTINCT (p_brand, p_size > 25)) AS r, min(p_partkey) AS least_key FROM part GROUP BY 1) WHERE n_keys > 1")
@@ -408,9 +434,10 @@ def m20_homonym(t) -> DataFrame:
     return E.homonyms(p, "p_name", "p_partkey", ["p_brand", "large"])
 
 
-@register("SELECT count(*) AS n_reports, count(DISTINCT (source_kind, hash_matches)) <= 1 AS comparable FROM data_source WHERE source_name = 'Bond master sheet'")
+@register("SELECT source_name, count(*) AS n_reports, count(DISTINCT (source_kind, hash_matches)) <= 1 AS comparable FROM data_source GROUP BY 1")
 def m12_comparability(t) -> DataFrame:
-    return E.comparable(t("data_source").where(F.col("source_name") == "Bond master sheet"), ["source_kind", "hash_matches"])
+    """The loads of every feed as its reports."""
+    return E.comparable(t("data_source"), ["source_kind", "hash_matches"], ["source_name"])
 
 
 @register("SELECT doc_id, length(text) AS n_chars, octet_length(encode(text)) AS n_bytes, (length(text) - o + ceil(o / 4.0))::BIGINT AS token_estimate FROM (SELECT *, length(regexp_replace(text, '[\\p{Hangul}\\p{Han}\\p{Hiragana}\\p{Katakana}]', '', 'g')) AS o FROM documents) WHERE text IS NOT NULL")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR = None
+_USED: set[str] = set()
 
 
 def build(master: str = "local[8]", memory: str = "12g", partitions: int = 16, **conf: str) -> SparkSession:
@@ -44,17 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN_DIR
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """Where this application keeps its tables; deleted when it ends."""
+    at = f"{shared_dir(spark)}/graindeck/{spark.sparkContext.applicationId}"
+    if at not in _USED:
+        _USED.add(at)
+        path, conf = spark._jvm.org.apache.hadoop.fs.Path(at), spark._jsc.hadoopConfiguration()
+        atexit.register(_delete, path, conf)
+    return at
+
+
+def _delete(path, conf) -> None:
+    try:
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the JVM went first: nothing is left that could delete
+        pass
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. The tables
+    of an application live in a folder of its own, until it ends or ``purge`` is called."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/graindeck/{name}-{uuid.uuid4().hex[:12]}"
+    at = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def purge(spark: SparkSession) -> None:
-    """Delete the tables that ``cut`` wrote to the shared folder, once no result that reads them is wanted any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/graindeck")
+    """Delete the tables that ``cut`` wrote in this application, once no result that reads them is wanted any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,40 @@ def load_vectors(spark: SparkSession, path: str, key: str, vector: str, registry
     return df
 
 
+def write_vector_sidecar(df: DataFrame, path: str, key: str, vector: str, registry_hash: str, bound: int = 5_000_000) -> dict:
+    """The vectors of an index as one little-endian float32 file in order of key, with the keys and a manifest in JSON beside it. For
+    indexes that a single reader maps into memory: streamed through the driver, more than ``bound`` vectors are refused (``write_vectors`` takes any number)."""
+    h, keys, width, tmp = hashlib.sha256(), [], None, f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+    try:
+        with open(tmp, "wb") as f:
+            for k, v in df.select(key, vector).orderBy(key).toLocalIterator():
+                width = len(v) if width is None else width
+                if len(v) != width or len(keys) >= bound or (keys and keys[-1] == k):
+                    raise ValueError("vectors must be of one width, have keys of their own, and be few enough")
+                raw = np.asarray(v, "<f4").tobytes()
+                f.write(raw)
+                h.update(raw)
+                keys.append(k)
+        os.replace(tmp, path)
+    finally:
+        Path(tmp).unlink(missing_ok=True)
+    manifest = {"kind": "vector_sidecar", "version": 1, "dtype": "<f4", "rows": len(keys), "width": width or 0, "registry_hash": registry_hash, "sha256": h.hexdigest(), "keys": keys}
+    replace_text(f"{path}.json", json.dumps(manifest, ensure_ascii=False))
+    return manifest
+
+
+def read_vector_sidecar(path: str, registry_hash: str) -> tuple[list, np.ndarray]:
+    """Keys and mapped vectors of a sidecar; a file that isn't what its manifest says is refused."""
+    m = json.loads(Path(f"{path}.json").read_text(encoding="utf-8"))
+    for name, want in (("kind", "vector_sidecar"), ("version", 1), ("dtype", "<f4"), ("registry_hash", registry_hash)):
+        if m.get(name) != want:
+            raise ValueError(f"{name} is {m.get(name)!r}, not {want!r}")
+    if os.path.getsize(path) != 4 * m["rows"] * m["width"] or hashlib.sha256(Path(path).read_bytes()).hexdigest() != m["sha256"] or len(m["keys"]) != m["rows"]:
+        raise ValueError("the vectors aren't those of the manifest")
+    shape = (m["rows"], m["width"])
+    return m["keys"], np.memmap(path, "<f4", "r", shape=shape) if m["rows"] else np.zeros(shape, "<f4")
+
+
 @contextmanager
 def build_lock(root: str) -> Iterator[None]:
     """One build at a time: a lock file that must not exist yet; a second build fails at once."""
@@ -120,7 +156,7 @@ def publish(root: str, tables: dict[str, DataFrame], validate: Callable[[dict[st
             written = {name: spark.read.parquet(str(at / name)) for name in tables}
             if problems := validate(written):
                 raise ValueError("; ".join(problems))
-            facts = {name: {"rows": d.count(), "columns": d.columns, "files": _digest(at / name)} for name, d in written.items()}
+            facts = {name: {"rows": d.count(), "columns": d.columns, "files": _digest(spark, at / name)} for name, d in written.items()}
             replace_text(str(at / "manifest.json"), json.dumps({"build_id": build, "tables": facts}))
             replace_text(str(Path(root) / "CURRENT"), build)
         except BaseException:
@@ -129,15 +165,30 @@ def publish(root: str, tables: dict[str, DataFrame], validate: Callable[[dict[st
     return build
 
 
-def _digest(folder: Path) -> str:
-    h = hashlib.sha256()
-    for p in sorted(folder.rglob("*.parquet")):
-        h.update(p.name.encode() + str(p.stat().st_size).encode())
-    return h.hexdigest()
+def _digest(spark: SparkSession, folder: Path) -> str:
+    """A digest of the content of a table's files, each hashed by a task that reads it in pieces."""
+    files = [str(p.relative_to(folder)) for p in sorted(folder.rglob("*.parquet"))]
+    root = str(folder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name in b["name"]:
+                h = hashlib.sha256()
+                with open(f"{root}/{name}", "rb") as f:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+                out.append(h.hexdigest())
+            yield b.assign(digest=out)
+
+    df = spark.createDataFrame([(f,) for f in files], "name string").repartition(max(1, len(files)))
+    seen = sorted((r["name"], r["digest"]) for r in df.mapInPandas(run, "name string, digest string").collect())  # a line per file
+    return hashlib.sha256(json.dumps(seen).encode()).hexdigest()
 
 
 def open_generation(spark: SparkSession, root: str, build_id: str | None = None) -> dict[str, DataFrame]:
-    """The published generation; with ``build_id`` (of a registry made with it) only that one, a mixed pair is refused."""
+    """The published generation; with ``build_id`` (of a registry made with it) only that one, a mixed pair is refused, and so are tables
+    whose content isn't what was published."""
     current = (Path(root) / "CURRENT").read_text().strip()
     if build_id is not None and build_id != current:
         raise ValueError(f"the store is of build {current}, the registry of {build_id}")
@@ -146,6 +197,6 @@ def open_generation(spark: SparkSession, root: str, build_id: str | None = None)
     if manifest["build_id"] != current:
         raise ValueError("manifest of another build")
     for name, facts in manifest["tables"].items():
-        if _digest(at / name) != facts["files"]:
+        if _digest(spark, at / name) != facts["files"]:
             raise ValueError(f"{name} was changed after it was published")
     return {name: spark.read.parquet(str(at / name)) for name in manifest["tables"]}
