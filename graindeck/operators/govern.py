@@ -161,8 +161,8 @@ def ranking_evidence(selected: DataFrame, sources: DataFrame, fields: Sequence[s
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_id").isNull() | F.col("source_row_id").isNull()).alias("gaps"), F.count_if(F.col("as_of").isNull()).alias("unknown"), F.min("as_of").alias("lo"), F.max("as_of").alias("hi"))
     rows = per.groupBy(*fields).agg(F.sum("n").alias("universe"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("gaps").alias("provenance_missing"), F.sum("unknown").alias("unknown_as_of"), F.min("lo").alias("as_of_min"), F.max("hi").alias("as_of_max"))
     used = selected.select(*fields, "source_id").distinct().join(F.broadcast(ok), "source_id", "left")  # source loads, tens at any scale
-    checked = used.groupBy(*fields).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("sources_verified"))
-    return rows.join(checked, list(fields))
+    checked = used.groupBy(*[F.col(f).alias("__" + f) for f in fields]).agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("sources_verified"))
+    return rows.join(checked, [F.col(f).eqNullSafe(F.col("__" + f)) for f in fields]).drop(*["__" + f for f in fields])
 
 
 def freshness(requested: Column, lo: Column, hi: Column, unknown: Column) -> Column:

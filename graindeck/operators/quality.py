@@ -137,7 +137,7 @@ def binding_mismatches(bindings: DataFrame, terms: DataFrame, kinds: dict[str, l
     ``bindings``: semantic_id, binding_kind, family_id, subject_grain, unit_code, period_code, operations, currency_source; ``terms``: semantic_id, term_kind, families, grains,
     term_unit, term_period, allowed, currency_policy. Grain, unit, period, operations and currency are checked of metrics and attributes; empty families bind any.
     """
-    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))])
+    as_map = lambda m: F.create_map(*[x for k, v in m.items() for x in (F.lit(k), F.array(*[F.lit(o) for o in v]))]).cast("map<string,array<string>>")
     j = bindings.join(terms.withColumn("declared", F.lit(True)), "semantic_id", "left")
     text = lambda c, d="": F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(d))
     measured, known = F.col("binding_kind").isin("metric", "attribute"), F.col("declared").isNotNull()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graindeck.functions import spans as K
 from graindeck.functions import text as T
+from graindeck.session import cut
 
 # Kinds that must name what they want, kinds that nothing reads yet, and codes that leave a requirement ambiguous.
 NEEDS_OUTPUT = ["attribute_lookup"]
@@ -101,22 +102,19 @@ def _related(asked: DataFrame, view: DataFrame, entities: DataFrame, relations:
 
 def _read(rows: DataFrame, fields: DataFrame) -> DataFrame:
     """Issues of quoted slots that don't read as an execution value, or whose field doesn't permit the operation."""
-    f = fields.select("request_id", "ref", F.col("unit"), F.col("operations")).distinct()
-    low = lambda c: F.lower(F.trim(T.span_normal(c)))
-
-    def slot(ref: Column, text: Column, read: Column | None, operation: str, more: Sequence[tuple[str, Column]] = ()) -> DataFrame:
-        s = rows.where(ref.isNotNull()).select(*KEY, ref.alias("ref"), low(text).alias("text"), *[low(c).alias(n) for n, c in more])
-        s = s.join(f, REF, "left")
-        return s.select(*KEY, K.permitted(read, F.col("operations"), operation)["refusal"].alias("refusal"))
-
-    c = F.col("text")
-    parts = [slot(F.col("ordering.ref"), F.col("ordering.direction"), K.read_direction(c), "order"), slot(F.col("aggregation.ref"), F.col("aggregation.function"), K.read_aggregate(c), "aggregate")]
-    cond = rows.select(*KEY, F.explode("conditions").alias("c")).select(*KEY, F.col("c.ref").alias("ref"), low(F.col("c.comparison")).alias("text"), low(F.col("c.value")).alias("value")).join(f, REF, "left")
-    parts.append(cond.select(*KEY, K.permitted(K.read_comparison(c), F.col("operations"), "filter")["refusal"].alias("refusal")))
-    parts.append(cond.select(*KEY, K.read_value(F.col("value"), F.col("unit"))["refusal"].alias("refusal")))
-    parts.append(rows.where(~_blank(F.col("limit_span"))).select(*KEY, K.read_limit(low(F.col("limit_span")))["refusal"].alias("refusal")))
-    every = reduce(DataFrame.unionByName, parts)
-    return every.where(F.col("refusal").isNotNull()).select(*KEY, F.lit("canonicalization_refused").alias("code"))
+    one = lambda slot, ref, text, value: F.struct(F.lit(slot).alias("slot"), ref.alias("ref"), text.alias("text"), value.alias("value"))
+    none = F.lit(None).cast("string")
+    single = F.array(one("order", F.col("ordering.ref"), F.col("ordering.direction"), none), one("aggregate", F.col("aggregation.ref"), F.col("aggregation.function"), none), one("limit", F.lit(""), F.col("limit_span"), none))
+    every = F.concat(F.transform("conditions", lambda c: one("filter", c["ref"], c["comparison"], c["value"])), F.filter(single, lambda x: x["ref"].isNotNull() & ~((x["slot"] == "limit") & _blank(x["text"]))))
+    low = lambda c: F.lower(F.trim(T.span_normal(F.col(c))))
+    slots = rows.select(*KEY, F.inline(every)).withColumns({"text": low("text"), "value": low("value")})
+    known = fields.groupBy(*REF).agg(F.first("unit").alias("unit"), F.first("operations").alias("operations"))  # one row of the view per reference
+    slots = cut(slots.join(known, REF, "left"), "slots")  # the readings below name each text often
+    text, operations = F.col("text"), F.col("operations")
+    refusals = {"order": [K.permitted(K.read_direction(text), operations, "order")], "aggregate": [K.permitted(K.read_aggregate(text), operations, "aggregate")], "limit": [K.read_limit(text)],
+                "filter": [K.permitted(K.read_comparison(text), operations, "filter"), K.read_value(F.col("value"), F.col("unit"))]}
+    refused = reduce(lambda rest, k: F.when(F.col("slot") == k, F.coalesce(*[r["refusal"] for r in refusals[k]])).otherwise(rest), refusals, none)
+    return slots.where(refused.isNotNull()).select(*KEY, F.lit("canonicalization_refused").alias("code"))
 
 
 def validate(requirements: DataFrame, questions: DataFrame, view: DataFrame, entities: DataFrame, relations: DataFrame, ancestors: DataFrame, families: DataFrame) -> DataFrame:
@@ -139,6 +137,7 @@ def validate(requirements: DataFrame, questions: DataFrame, view: DataFrame, ent
     issues += [_issues(m, (_blank(F.col("source_span")), "missing_source_span")), _issues(quoted, (F.coalesce(placed, F.lit("not_in_question")) == "not_in_question", "span_alignment_failed"))]
     # what it is about
     targets, wrong = _referenced(m.select(*KEY, F.explode("targets").alias("ref")), view, "dataset")
+    targets, wrong = cut(targets, "targets"), cut(wrong, "targets-unknown")  # each is read by several checks
     issues.append(wrong)
     complete = m.join(wrong.select(*KEY).distinct(), KEY, "left_anti")
     output = F.exists("fields", lambda x: x["role"] == "output") | F.col("relation").isNotNull()
@@ -148,10 +147,13 @@ def validate(requirements: DataFrame, questions: DataFrame, view: DataFrame, ent
         "requirement_incomplete")))
     # its fields, its relation, and what the server can read
     fields, wrong = _referenced(m.select(*KEY, F.inline(_all_fields())), view, "field")
+    fields = cut(fields, "fields")
     bindings, unbound = _bound(fields, targets)
     issues += [wrong, unbound, _issues(m, (kind.isin(NO_CANONICALIZER), "canonicalizer_unavailable"))]
     kinds = ancestors.select("node", "ancestor").unionByName(ancestors.select("node", F.col("node").alias("ancestor"))).unionByName(ancestors.select(F.col("ancestor").alias("node"), "ancestor"))
-    kinds = kinds.unionByName(entities.select(F.col("class_id").alias("node"), F.col("class_id").alias("ancestor"))).distinct()
+    for known in (entities.select(F.col("class_id").alias("node")), targets.select(F.col("semantic_id").alias("node"))):
+        kinds = kinds.unionByName(known.withColumn("ancestor", F.col("node")))
+    kinds = kinds.distinct()
     related, stopped = _related(m.where(F.col("relation").isNotNull()).select(*KEY, "relation.*"), view, entities, relations, kinds, targets, families)
     issues += [stopped, _read(m, fields)]
     codes = reduce(DataFrame.unionByName, issues).groupBy(*KEY).agg(F.sort_array(F.collect_set("code")).alias("codes"))

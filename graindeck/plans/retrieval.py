@@ -246,27 +246,35 @@ def k4_aggregate(t) -> DataFrame:
 
 
 _NUMS = f"regexp_extract_all(text, '({K.NUMBER})', 1)"
-_BAD = f"len(list_filter(regexp_extract_all(text, '([0-9][0-9,.]*|[0-9,.]*[0-9])', 1), lambda r: NOT regexp_matches(r, '^{K.NUMBER}$'))) > 0"
-_LSHAPE = f"^(?:(?:{'|'.join(K.LIMIT_PREFIXES)})\\s*)?([-+])?\\s*({K.NUMBER})\\s*([천만억조])?\\s*({'|'.join(K.LIMIT_COUNTERS)})?$"
-_W = f"TRY_CAST(replace(regexp_extract(text, '{_LSHAPE}', 2), ',', '') AS DECIMAL(38,9))"
+_BAD = f"len(list_filter(regexp_split_to_array(text, '[^0-9,.]+'), lambda r: regexp_matches(r, '[0-9]') AND NOT regexp_matches(r, '^{K.NUMBER}$'))) > 0"
+
+
+def _peeled_sql(lead: list[str]) -> str:
+    """Sign, number, magnitude and rest of each span, taken off one after the other."""
+    first = "CASE " + " ".join(f"WHEN starts_with(text, '{w}') THEN '{w}'" for w in sorted(lead, key=len, reverse=True)) + " ELSE '' END" if lead else "''"
+    signs = ", ".join(f"'{m}'" for m in K.MAGNITUDES)
+    return (f"SELECT *, ltrim(substr(text, length({first}) + 1)) AS b1, CASE WHEN left(b1, 1) IN ('-', '+') THEN left(b1, 1) ELSE '' END AS sign, ltrim(substr(b1, length(sign) + 1)) AS b2, regexp_extract(b2, '^{K.NUMBER}') AS written, replace(written, ',', '') AS number, "
+            f"ltrim(substr(b2, length(written) + 1)) AS b3, CASE WHEN left(b3, 1) IN ({signs}) THEN left(b3, 1) ELSE '' END AS magnitude, trim(substr(b3, length(magnitude) + 1)) AS rest FROM {_SPAN_ROWS}")
+
+
+_W = "TRY_CAST(number AS DECIMAL(38,9))"
 
 
 @register(f"SELECT span_id, CASE WHEN refusal IS NULL THEN CAST({_W} AS BIGINT) END AS value, refusal FROM (SELECT *, CASE WHEN {_negated_sql(None)} THEN 'negated_expression_unsupported' WHEN regexp_matches(text, '%|퍼센트') THEN 'limit_is_proportion' WHEN regexp_matches(text, '{_rx(K.alternatives(K.LIMIT_PERIODS))}') THEN 'limit_unsupported' "
-          f"WHEN regexp_matches(text, '{_rx(K.alternatives(K.LIMIT_RANGES))}') THEN 'limit_unsupported' WHEN {_BAD} THEN 'limit_unsupported' WHEN len({_NUMS}) = 0 THEN 'limit_unsupported' WHEN len({_NUMS}) > 1 THEN 'limit_ambiguous' WHEN NOT regexp_matches(text, '{_LSHAPE}') THEN 'limit_unsupported' "
-          f"WHEN regexp_extract(text, '{_LSHAPE}', 1) <> '' THEN 'limit_not_positive' WHEN regexp_extract(text, '{_LSHAPE}', 3) <> '' THEN 'limit_unsupported' WHEN regexp_extract(text, '{_LSHAPE}', 4) = '' AND regexp_matches(replace(regexp_extract(text, '{_LSHAPE}', 2), ',', ''), '^[0-9]{{4}}$') THEN 'limit_unsupported' "
-          f"WHEN {_W} IS NULL OR {_W} <> floor({_W}) OR {_W} <= 0 THEN 'limit_not_positive' END AS refusal FROM {_SPAN_ROWS})")
+          f"WHEN regexp_matches(text, '{_rx(K.alternatives(K.LIMIT_RANGES))}') THEN 'limit_unsupported' WHEN {_BAD} THEN 'limit_unsupported' WHEN len({_NUMS}) = 0 THEN 'limit_unsupported' WHEN len({_NUMS}) > 1 THEN 'limit_ambiguous' WHEN number = '' OR rest NOT IN ('', {', '.join(repr(c) for c in K.LIMIT_COUNTERS)}) THEN 'limit_unsupported' "
+          f"WHEN sign <> '' THEN 'limit_not_positive' WHEN magnitude <> '' THEN 'limit_unsupported' WHEN rest = '' AND regexp_matches(number, '^[0-9]{{4}}$') THEN 'limit_unsupported' "
+          f"WHEN {_W} IS NULL OR {_W} <> floor({_W}) OR {_W} <= 0 THEN 'limit_not_positive' END AS refusal FROM ({_peeled_sql(K.LIMIT_PREFIXES)}))")
 def k5_limit(t) -> DataFrame:
     return _read(t, K.read_limit(F.col("text")))
 
 
-_VSHAPE = f"^([-+])?\\s*({K.NUMBER})\\s*([천만억조])?\\s*(.*)$"
-_MK = f"trim(regexp_extract(text, '{_VSHAPE}', 4))"
 _ALLM = ", ".join(repr(m) for ms in K.UNIT_MARKERS.values() for m in ms)
+_SIZES = " ".join(f"WHEN '{m}' THEN {n}" for m, n in K.MAGNITUDES.items())
 
 
-@register(f"SELECT span_id, CASE WHEN refusal IS NULL THEN round((CASE regexp_extract(text, '{_VSHAPE}', 1) WHEN '-' THEN -1 ELSE 1 END) * CAST(replace(regexp_extract(text, '{_VSHAPE}', 2), ',', '') AS DOUBLE) * (CASE regexp_extract(text, '{_VSHAPE}', 3) WHEN '천' THEN 1000 WHEN '만' THEN 10000 WHEN '억' THEN 100000000 WHEN '조' THEN 1000000000000 ELSE 1 END), 6) END AS value, refusal "
-          f"FROM (SELECT *, CASE WHEN {_negated_sql(None)} THEN 'negated_expression_unsupported' WHEN {_BAD} THEN 'value_unsupported' WHEN len({_NUMS}) <> 1 THEN 'value_unsupported' WHEN NOT regexp_matches(text, '{_VSHAPE}') THEN 'value_unsupported' "
-          f"WHEN {_MK} <> '' AND {_MK} IN ({_ALLM}) AND {_MK} NOT IN ('%', '퍼센트') THEN 'value_unit_mismatch' WHEN {_MK} <> '' AND {_MK} NOT IN ({_ALLM}) THEN 'value_unsupported' END AS refusal FROM {_SPAN_ROWS})")
+@register(f"SELECT span_id, CASE WHEN refusal IS NULL THEN round((CASE sign WHEN '-' THEN -1 ELSE 1 END) * CAST(number AS DOUBLE) * (CASE magnitude {_SIZES} ELSE 1 END), 6) END AS value, refusal "
+          f"FROM (SELECT *, CASE WHEN {_negated_sql(None)} THEN 'negated_expression_unsupported' WHEN {_BAD} THEN 'value_unsupported' WHEN len({_NUMS}) <> 1 THEN 'value_unsupported' WHEN number = '' THEN 'value_unsupported' "
+          f"WHEN rest <> '' AND rest IN ({_ALLM}) AND rest NOT IN ('%', '퍼센트') THEN 'value_unit_mismatch' WHEN rest <> '' AND rest NOT IN ({_ALLM}) THEN 'value_unsupported' END AS refusal FROM ({_peeled_sql([])}))")
 def k6_typed_value(t) -> DataFrame:
     """Spans as values of a field in percent."""
     r = _read(t, K.read_value(F.col("text"), F.lit("percent_observed")))

@@ -211,3 +211,28 @@ def test_gates_and_encodings(spark):
     assert G.selection_policy(1) == "unique_per_subject" and G.selection_policy(3) == "latest_effective_as_of"
     with pytest.raises(G.Refused):
         G.selection_policy(None)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_candidates_hold_every_match(spark, seed):
+    """Whatever matches among all pairs of questions and forms is among the candidates of the equi-join."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda a, b: "".join(rng.choice("ab c가_") for _ in range(rng.randrange(a, b)))
+    forms = [(f"f{i}", f"t{i % 9}", rng.choice(["label", "alias", "id", "definition"]), word(1, 9)) for i in range(60)] + [("e1", "t", "label", "_"), ("e2", "t", "alias", " ")]
+    f = spark.createDataFrame(forms, "form_id string, semantic_id string, role string, text string").withColumn("normal", T.retrieval_normal(F.col("text")))
+    q = spark.createDataFrame([(i, word(0, 14)) for i in range(40)] + [(98, "_"), (99, "")], "question_id int, question string").withColumn("question_normal", T.retrieval_normal(F.col("question")))
+    key = lambda df: sorted((r.question_id, r.form_id, r.tier) for r in df.select("question_id", "form_id", "tier").collect())
+    every = key(R.match_pairs(q.crossJoin(f)))
+    assert key(R.match_pairs(R.candidate_pairs(q, f))) == every and len({t for *_, t in every}) == 4
+
+
+def test_payload_and_ledgers_of_nothing(spark):
+    q = spark.createDataFrame([], "question_id bigint, question string")
+    f = spark.createDataFrame([], "form_id string, text string")
+    s = E.scan_forms(q, f)
+    assert s.count() == 0 and E.question_ledger(s).count() == 0
+    one = E.scan_forms(spark.createDataFrame([(1, "top 3, nothing else"), (2, ""), (3, None)], "question_id bigint, question string"), f)
+    assert [(r.text, r.state) for r in E.question_ledger(one).orderBy("place").collect()] == [("top", "direction"), ("3,", "number"), ("nothing", "unknown"), ("else", "unknown")]
+    assert E.plan_options(spark.createDataFrame([], "question_id bigint, slot string, reading string")).count() == 0

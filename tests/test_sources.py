@@ -111,3 +111,47 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert {r.user_id: r.value for r in spark.table("latest_q").collect()} == {1: 4.0, 2: 3.0}
     assert spark.table("window_q").count() >= 0
+
+
+def test_a_change_of_equal_size_is_seen(spark, tmp_path):
+    root = str(tmp_path / "store")
+    build = sinks.publish(root, {"t": spark.range(50).toDF("id")})
+    assert sinks.open_generation(spark, root, build)["t"].count() == 50
+    part = max((tmp_path / "store" / f"gen-{build}" / "t").glob("*.parquet"), key=lambda p: p.stat().st_size)
+    raw = bytearray(part.read_bytes())
+    raw[len(raw) // 2] ^= 1
+    part.write_bytes(bytes(raw))
+    with pytest.raises(ValueError, match="changed"):
+        sinks.open_generation(spark, root, build)
+
+
+def test_vector_sidecar(spark, tmp_path):
+    path = str(tmp_path / "index.f32")
+    df = spark.createDataFrame([("b", [1.0, 2.0]), ("a", [0.5, -3.0])], "k string, v array<double>")
+    m = sinks.write_vector_sidecar(df, path, "k", "v", "reg")
+    keys, vectors = sinks.read_vector_sidecar(path, "reg")
+    assert keys == ["a", "b"] and vectors.tolist() == [[0.5, -3.0], [1.0, 2.0]] and (m["rows"], m["width"]) == (2, 2)
+    for bad in ([("a", [1.0]), ("b", [1.0, 2.0])], [("a", [1.0]), ("a", [2.0])]):
+        with pytest.raises(ValueError):
+            sinks.write_vector_sidecar(spark.createDataFrame(bad, "k string, v array<double>"), str(tmp_path / "bad.f32"), "k", "v", "reg")
+    with pytest.raises(ValueError):
+        sinks.read_vector_sidecar(path, "another")
+    raw = bytearray(open(path, "rb").read())
+    raw[0] ^= 1
+    open(path, "wb").write(bytes(raw))
+    with pytest.raises(ValueError):
+        sinks.read_vector_sidecar(path, "reg")
+
+
+def test_an_application_deletes_its_own_tables_only(spark):
+    import os
+
+    from graindeck import session
+
+    session.cut(spark.range(3), "mine")
+    own = session._own_folder(spark).removeprefix("file://")
+    other = os.path.join(os.path.dirname(own), "app-of-another")
+    os.makedirs(other, exist_ok=True)
+    assert os.listdir(own)
+    session.purge(spark)
+    assert not os.path.exists(own) and os.path.exists(other)
