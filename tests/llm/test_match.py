@@ -97,3 +97,39 @@ def test_empty(spark):
     ref = spark.createDataFrame(_master(3), MASTER)
     assert match.match_holdings(none, ref).count() == 0
     assert match.match_holdings(spark.createDataFrame([("h", None, "X", "Y", "Z")], HOLD), spark.createDataFrame([], MASTER)).count() == 0
+
+
+@pytest.mark.parametrize("most", [4, 12, 64])
+def test_words_one_slip_apart_share_a_key(spark, most):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(most), []
+    for _ in range(150):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 14)))
+        p = rng.randrange(len(w) - 1)
+        rows.append((w, rng.choice([w, w[:p] + "z" + w[p + 1:], w[:p] + w[p + 1:], w[:p] + "z" + w[p:], w[:p] + w[p + 1] + w[p] + w[p + 2:]])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", F.arrays_overlap(match.slip_keys("t", F.col("a"), most=most), match.slip_keys("t", F.col("b"), most=most)).alias("meet"))
+    near = got.where(match.near_code(F.col("a"), F.col("b")) & (F.length("b") > 0))
+    assert near.count() > 100 and near.where("NOT meet").count() == 0
+
+
+def test_codes_of_one_prefix_meet_few_others(spark):
+    """20,000 codes that share their first five and last signs: the pairs that keys bring grow with the codes, not with their square."""
+    from pyspark.sql import functions as F
+
+    codes = spark.range(20_000).select(F.concat(F.lit("US912"), F.lpad((F.col("id") * 49).cast("string"), 6, "0"), F.lit("7")).alias("code"))
+    keyed = codes.withColumn("key", F.explode(match.slip_keys("c", F.col("code"))))
+    assert keyed.alias("a").join(keyed.alias("b"), "key").count() < 60 * 20_000
+
+
+def test_too_many_frequent_words_are_refused(spark):
+    names = spark.createDataFrame([("alpha beta",), ("gamma delta",)], "n string")
+    assert match.frequent_words(names, "n") == ["alpha", "beta", "delta", "gamma"]
+    with pytest.raises(ValueError):
+        match.frequent_words(names, "n", bound=3)
+
+
+def test_a_word_written_apart():
+    assert match.name_key("Alfa Ship Works Inc", WORDS) == match.name_key("Alfa Shipworks", WORDS)
+    assert match.name_key("Alfa Net Works Ltd", WORDS) == match.name_key("Alfa Networks", WORDS)

@@ -134,3 +134,33 @@ def test_mix_of_nothing(spark):
     for docs, targets in (([], [("a", 1.0, 1)]), ([(1, "a", 5)], []), ([(1, None, 5), (2, "a", 0)], [("a", 1.0, 1)])):
         out, shares = _mix(spark, docs, targets)
         assert out.count() == 0 and all(r.n_tokens == 0 for r in shares.collect())
+
+
+def test_counts_per_shard_add_up():
+    """Shares of every shard are drawn, their totals are given, and a task finds its own shards without the others."""
+    totals = np.array([700, 250, 49, 1])
+    every = list(mix.shard_counts(totals, 64, 0, 99, 5))
+    assert [s for s, *_ in every] == list(range(16)) and (sum(c for _, c, _ in every) == totals).all()
+    assert all(c.sum() == (64 if s < 15 else 40) and (c >= 0).all() for s, c, _ in every)
+    before = np.zeros(4, int)
+    for _, c, b in every:
+        assert (b == before).all()
+        before = before + c
+    assert [(s, c.tolist()) for s, c, _ in mix.shard_counts(totals, 64, 7, 9, 5)] == [(s, c.tolist()) for s, c, _ in every[7:9]]
+    assert len({tuple(c) for _, c, _ in every[:15]}) > 3  # drawn, not dealt evenly
+
+
+@pytest.mark.parametrize("exact_below", [1, 10**8])
+def test_draws_are_hypergeometric(exact_below):
+    counts = np.array([6_000, 3_000, 1_000])
+    got = np.array([mix.draw(counts, 2_500, np.random.default_rng(i), exact_below) for i in range(400)])
+    assert (got.sum(1) == 2_500).all() and (got >= 0).all() and (got <= counts).all()
+    assert np.allclose(got.mean(0), counts / 4, rtol=0.02) and 0.8 < got[:, 0].std() / (2_500 * 0.6 * 0.4 * 0.75) ** 0.5 < 1.2
+
+
+def test_shards_of_more_items_than_tasks(spark):
+    items = spark.createDataFrame([(i, i * 7 % 50) for i in range(900)], "id bigint, n bigint")
+    specs = spark.createDataFrame([("a", 64)], "spec_id string, capacity_tokens int")
+    out = pack.pack(items, "id", "n", specs, shard_items=20)  # 45 shards, 4 tasks
+    assert out.rdd.getNumPartitions() <= 4 and out.select("container_id").distinct().count() > 300
+    assert out.groupBy("container_id").sum("n_tokens").where("`sum(n_tokens)` > 64").count() == 0 and out.count() == 900

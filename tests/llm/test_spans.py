@@ -90,3 +90,45 @@ def test_winnow_picks_in_every_span(span):
     h = np.random.default_rng(span).integers(0, 50, 400).astype(np.uint64)
     got = set(spans.winnow(h, span).tolist())
     assert got == {j + int(np.argmin(h[j:j + span])) for j in range(len(h) - span + 1)}
+
+
+@pytest.mark.parametrize("bits", [4, 10])
+def test_short_hashes_only_make_more_to_confirm(spark, bits):
+    """With hashes of a few bits nearly every window collides: the text itself decides."""
+    docs = texts(5)
+    df = spark.createDataFrame(docs, DOC)
+    pairs, parts = brute(docs, 20)
+    assert {tuple(r) for r in spans.document_pairs(df, wanted=20, bits=bits).collect()} == pairs
+    rows, _ = spans.shared_windows(df, wanted=20, bits=bits)
+    more, _ = spans.shared_windows(df, wanted=20)
+    assert sorted((r.class_id, r.pos) for r in rows.collect()) == sorted((r.class_id, r.pos) for r in more.collect())
+
+
+def test_a_passage_of_many_texts_is_kept_as_a_set(spark):
+    rng = random.Random(3)
+    word = lambda k: "".join(chr(0x4E00 + rng.randrange(2_000)) for _ in range(k))
+    passage = word(60)
+    docs = [(i, word(30) + passage + word(30)) for i in range(300)]
+    df = spark.createDataFrame(docs, DOC)
+    windows, texts_, _ = spans.windows_of(df, "doc_id", "text", 20, None, 2_000_000, 64)
+    sets = spans.passage_sets(windows, texts_, 20)
+    assert sets.where("size = 300").count() == 300 and sets.count() < 1_000
+    assert {r.largest_set for r in spans.document_classes(df, wanted=20).collect()} == {300}
+    members = spark.createDataFrame([(1, i, 2_500) for i in range(2_500)], "g int, id int, n int")
+    assert spans._expanded(members, ["g"], "id", "n").distinct().count() == 2_500 * 2_499 // 2  # three parts
+
+
+def test_longest_levels(spark):
+    """Doublings of the wanted length that shared runs reach, against brute force."""
+    docs = texts(11, n=30)
+    long = "".join(random.Random(2).choice("xyz ") for _ in range(500))
+    docs += [(200, "q" + long[:170]), (201, long[5:165] + "w"), (202, long[:45])]
+    want = {}
+    for i, t in docs:
+        others = [o for j, o in docs if j != i and o]
+        level, n = 0, 20
+        while any(t[p:p + n] in o for o in others for p in range(len(t or "") - n + 1)):
+            level, n = n, 2 * n
+        want[i] = level
+    got = {r.doc_id: r.longest_level for r in spans.shared_parts(spark.createDataFrame(docs, DOC), wanted=20).collect()}
+    assert got == want and max(want.values()) >= 160

@@ -79,3 +79,20 @@ def test_golden_record_and_support(spark):
 
 def test_golden_of_nothing(spark):
     assert golden.found(*_tables(spark, [])).count() == 0 and golden.golden(*_tables(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_heavy_subjects_give_the_same(spark, seed):
+    rows = [r for r in {(x[0], x[1], x[2]): x for x in _rows(seed)}.values()]
+    rows += rows[:20]
+    m, src, _ = _tables(spark, rows)
+    a, b = (sorted(map(str, golden.records(m, src, n).collect())) for n in (10**9, 3))
+    assert a == b and len(a) > 2
+
+
+def test_more_entries_than_ranks(spark):
+    """Two hundred rows of one pair: the first in the order wins, though all later ones agree on another value."""
+    d = dt.date(2026, 1, 1)
+    rows = [("S:A", "m", f"r{i:03}", 7.0 if i else 1.0, "x", None, None, "valid", d, "s1") for i in range(200)]
+    r = golden.golden(*_tables(spark, rows)).first()
+    assert (r.numeric_value, r.numeric_value_row) == (1.0, "r000") and r.numeric_value_support == pytest.approx(1 / 200)
