@@ -271,14 +271,15 @@ def d11_group_counts(t) -> DataFrame:
     return t("metric_observation").groupBy("family_id", "value_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT metric_id, coalesce(unit_code, '') AS unit_code, coalesce(currency_code, '') AS currency_code, round(avg(numeric_value), 4) AS mean, round(sum(numeric_value), 2) AS total, min(numeric_value) AS least, max(numeric_value) AS most, count(numeric_value) AS n FROM metric_observation WHERE value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value) AND numeric_value <> 0 GROUP BY ALL")
+@register("SELECT metric_id, coalesce(unit_code, '') AS unit_code, coalesce(currency_code, '') AS currency_code, sum(numeric_value::DECIMAL(38,6))::DOUBLE / count(numeric_value) AS mean, sum(numeric_value::DECIMAL(38,6))::DOUBLE AS total, min(numeric_value) AS least, max(numeric_value) AS most, count(numeric_value) AS n FROM metric_observation WHERE value_status = 'valid' AND numeric_value IS NOT NULL AND isfinite(numeric_value) AND numeric_value <> 0 GROUP BY ALL")
 def d12_measure_agg(t) -> DataFrame:
-    """Every metric as recorded, per unit and currency as written: values of different units are never added up."""
+    """Every metric as recorded, per unit and currency as written: values of different units are never added up. Sums are exact, to a millionth."""
     from graindeck.sources.tables import finite
 
     m = t("metric_observation").where((F.col("value_status") == "valid") & finite("numeric_value") & (F.col("numeric_value") != 0))
+    total = F.sum(F.col("numeric_value").cast("decimal(28,6)")).cast("double")
     v, written = F.col("numeric_value"), [F.coalesce(c, F.lit("")).alias(c) for c in ("unit_code", "currency_code")]
-    return m.groupBy("metric_id", *written).agg(F.round(F.avg(v), 4).alias("mean"), F.round(F.sum(v), 2).alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"))
+    return m.groupBy("metric_id", *written).agg((total / F.count(v)).alias("mean"), total.alias("total"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(v).alias("n"))
 
 
 @register(f"SELECT {PF} AS portfolio_key, count(*) AS n_rows, count(DISTINCT security_key) AS n_securities FROM holding_observation WHERE security_key IS NOT NULL AND portfolio_key IS NOT NULL GROUP BY 1 HAVING count(*) > count(DISTINCT security_key)")
