@@ -68,12 +68,23 @@ def join_cardinality(parent: DataFrame, parent_key: str, child: DataFrame, child
 
 def containment(texts: DataFrame, text: str, forms: DataFrame, form: str, bound: int = 1_000_000) -> DataFrame:
     """(all columns of both): texts that contain a form as a substring. A theta join; forms, a vocabulary of checked size, are broadcast
-    and more than ``bound`` are refused (use ``containment_of_words`` for those)."""
+    and more than ``bound`` are refused (use ``containment_any`` for those)."""
     if forms.count() > bound:
-        raise ValueError(f"more than {bound} forms: match by word instead")
+        raise ValueError(f"more than {bound} forms: use containment_any")
     return texts.join(F.broadcast(forms), F.contains(F.col(text), F.col(form)))
 
 
+def containment_any(texts: DataFrame, key: str, text: str, forms: DataFrame, form: str, most: int = 12) -> DataFrame:
+    """(key, form): the same for any number of forms, each pair once. Texts and forms meet in an equi-join on stretches as long as the shortest
+    form (``most`` at most), a form's being its beginning, and each pair is checked on the whole. Empty forms stand nowhere; ``key`` is unique."""
+    f = forms.select(F.col(form).alias("form")).where(F.length("form") > 0).distinct()
+    k = min(f.agg(F.min(F.length("form"))).first()[0] or 1, most)
+    t = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= k)
+    starts = F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring(F.col("text"), i, F.lit(k)))
+    pairs = t.select("key", F.explode(F.array_distinct(starts)).alias("start")).join(f.withColumn("start", F.substring("form", 1, k)), "start").select("key", "form")
+    return pairs.join(t, "key").where(F.contains(F.col("text"), F.col("form"))).select(F.col("key").alias(key), F.col("form").alias(form))
+
+
 def containment_of_words(texts: DataFrame, text: str, forms: DataFrame, form: str, words: int = 3) -> DataFrame:
     """Texts that contain a form of up to ``words`` words as whole words: an equi-join on the text's word runs, for any number of forms."""
     tokens = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")

@@ -203,7 +203,8 @@ def l12_registry_mismatch(t) -> DataFrame:
     return R.mismatches(t("attribute_catalog").select("attribute_id"), b, "attribute_id", [])
 
 
-_KEYS = {"subject": ["subject_key"], "portfolio": ["portfolio_key"], "product_portfolio_map": ["map_id"], "security_master": ["security_key"], "security_master ": ["isin"], "data_source": ["source_id"], "holding_observation": ["holding_key"], "documents": ["doc_id"], "attribute_observation": ["attribute_id", "source_row_id"]}
+_KEYS = {"subject": ["subject_key"], "portfolio": ["portfolio_key"], "product_portfolio_map": ["map_id"], "security_master": ["security_key"], "security_master ": ["isin"], "data_source": ["source_id"], "holding_observation": ["holding_key"], "documents": ["doc_id"], "attribute_observation": ["attribute_id", "source_row_id"],
+         "metric_observation": ["metric_id", "source_row_id"], "metric_catalog": ["metric_id"], "attribute_catalog": ["attribute_id"], "unit_reference": ["unit_id"], "currency_rate": ["currency_code"], "source_target": ["source"], "pack_spec": ["spec_id"]}
 
 
 def _unique(name: str, key: list[str]) -> str:

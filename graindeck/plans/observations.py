@@ -264,7 +264,10 @@ def h12_overlapping_occurrences(t) -> DataFrame:
     return t("part").select("p_partkey", F.size(T.occurrences(F.col("p_name"), F.lit("e"))).alias("n_e"))
 
 
-@register()
+_SIZE = "list_max(list_filter(range(greatest(2, ceil(0.3 * length(form))::BIGINT), length(form)), lambda k: len(list_filter(range(1, length(form) - k + 2), lambda i: contains(question, substr(form, i, k)))) > 0))"
+
+
+@register(f"SELECT p_partkey, CASE WHEN k IS NOT NULL THEN substr(form, list_min(list_filter(range(1, length(form) - k + 2), lambda i: contains(question, substr(form, i, k)))), k) END AS fragment FROM (SELECT *, {_SIZE} AS k FROM (SELECT a.p_partkey, a.p_name AS form, b.p_name AS question FROM part a JOIN part b ON a.p_partkey = b.p_partkey + 1))")
 def h13_longest_fragment(t) -> DataFrame:
     """The longest fragment of each part's name that the name of the part before it contains."""
     p = t("part").select("p_partkey", "p_name")
@@ -312,7 +315,11 @@ def h21_loose_literal(t) -> DataFrame:
     return m.groupBy("raw_text_value", T.loose_literal(F.col("raw_text_value")).alias("literal")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register()
+# HMAC written out: the key padded to 64 bytes, xored with 0x36 and 0x5c
+_PADS = ["".join(f"\\x{b ^ pad:02X}" for b in b"bench-salt".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@register(f"SELECT metric_id, 'fd_' || left(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode('fd') || '\\x00'::BLOB || encode(metric_id)))), 32) AS ref, true AS well_formed FROM metric_catalog")
 def h17_h18_opaque_references(t) -> DataFrame:
     """Opaque references of metrics and whether they are well formed."""
     from graindeck.functions.references import is_reference, reference

@@ -134,6 +134,13 @@ def c15_containment(t) -> DataFrame:
     return R.containment(d.select("doc_id", "text"), "text", forms, "form").groupBy("form").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+@register("SELECT f.form, count(*) AS n_documents FROM (SELECT DISTINCT issuer_name AS form FROM security_master WHERE length(issuer_name) > 0) f JOIN documents d ON contains(d.text, f.form) GROUP BY 1")
+def c15_containment_any(t) -> DataFrame:
+    """Issuers named in documents: the vocabulary grows with the data."""
+    pairs = R.containment_any(t("documents"), "doc_id", "text", t("security_master").select(F.col("issuer_name").alias("form")), "form")
+    return pairs.groupBy("form").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
 @register("WITH w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS w FROM documents) SELECT f.form, count(*) AS n_documents FROM (SELECT unnest(['fund', 'bond', 'risk', 'glossary', 'price']) AS form) f JOIN w ON w.w = f.form GROUP BY 1")
 def c15_containment_of_words(t) -> DataFrame:
     """Vocabulary words in documents as an equi-join, for vocabularies of any size."""
@@ -473,13 +480,20 @@ def f5_topk_after_dedup(t) -> DataFrame:
     return S.bounded_sample(best, ["query_id"], [F.col("score").desc(), F.col("label")], 5).withColumn("score", F.round("score", 5))
 
 
-@register()
+@register("SELECT term, r <= 10 AS admitted, CASE WHEN r <= 10 THEN 'admitted' ELSE 'over_budget' END AS reason FROM (SELECT metric_id AS term, row_number() OVER (ORDER BY (dimension = 'share')::INT, length(metric_id) DESC, metric_id) AS r FROM metric_catalog)")
 def f8_budgeted_admission(t) -> DataFrame:
-    """Metrics owned by their dimension, admitted under a budget."""
+    """Metrics admitted under a budget."""
     m = t("metric_catalog").select((F.col("dimension") == "share").cast("int").alias("tier"), F.length("metric_id").alias("longest"), F.lit(1).alias("matches"), F.col("metric_id").alias("term"), F.lit(None).cast("string").alias("owner"))
     return S.admit(m, 10)
 
 
+@register("SELECT * FROM (VALUES ('owner', true, 'admitted'), ('late', true, 'admitted'), ('owned', true, 'admitted'), ('early', false, 'owner_not_admitted'), ('last', false, 'over_budget')) v(term, admitted, reason)")
+def f8_owned_admission(t) -> DataFrame:
+    """Three seats: one term whose owner comes before it, one whose owner comes after it, one that comes too late."""
+    rows = [(1, 9, 1, "early", "late"), (1, 8, 1, "owner", None), (1, 7, 1, "owned", "owner"), (1, 6, 1, "late", None), (2, 9, 1, "last", None)]
+    return S.admit(t("region").sparkSession.createDataFrame(rows, "tier int, longest int, matches int, term string, owner string"), 3)
+
+
 @register("SELECT family_id, subject_key FROM (SELECT family_id, subject_key, row_number() OVER (PARTITION BY family_id ORDER BY subject_key) AS r FROM subject) WHERE r <= 5")
 def f9_sample_head(t) -> DataFrame:
     return S.bounded_sample(t("subject").select("family_id", "subject_key"), ["family_id"], [F.col("subject_key")], 5)

@@ -310,7 +310,7 @@ def k11_record_parse(t) -> DataFrame:
     return df.select("line_id", Rec.parse_line(F.col("line")).alias("p")).select("line_id", "p.token", "p.problem")
 
 
-@register()
+@register("SELECT * FROM (VALUES (1, 1, 'REQ', NULL), (1, 2, 'COND', NULL), (1, 3, 'BAD', 'missing_value'), (1, 4, 'REQ', 'duplicate_key'), (1, 5, '', 'empty_token'), (1, 6, 'END', NULL), (2, 1, 'REQ', NULL), (2, 2, 'END', 'end_before_last_line'), (2, 3, 'REQ', 'no_end')) v(request_id, line_no, token, problem)")
 def k12_multi_line_records(t) -> DataFrame:
     df = t("region").sparkSession.createDataFrame([(1, "\n".join(LINES)), (2, "REQ|id=a\nEND\nREQ|id=b")], "request_id bigint, body string")
     return Rec.parse_records(df, "request_id", "body").select("request_id", "line_no", "token", "problem")
