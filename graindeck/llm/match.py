@@ -169,6 +169,8 @@ def rules() -> list[tuple[str, Column, Column, Column | None]]:
     tagged = lambda tag, *parts: F.concat_ws("|", F.lit(tag), *parts)
     length = F.length("isin")
     name_fits = (F.levenshtein("squashed", F.substring(c("m_squashed"), F.lit(1), F.length("squashed"))) <= F.when(c("squashed").rlike("^[a-z]"), 2).otherwise(1))
+    # written "Group, Name" and cut off, a name ends within its first word
+    first_cut = (F.length("first") >= 3) & F.startswith(c("m_first"), c("first")) & (c("rest") == c("m_rest"))
     code_open = c("isin").isNull() | c("m_isin").isNull() | isin_agrees(c("isin"), c("m_isin"))
     ticker_open = c("ticker").isNull() | c("m_ticker").isNull() | (c("ticker") == c("m_ticker")) | (c("tail") == c("m_tail")) | c("ticker_elsewhere")
     open_ids = F.coalesce(code_open, F.lit(True)) & F.coalesce(ticker_open, F.lit(True))
@@ -185,7 +187,7 @@ def rules() -> list[tuple[str, Column, Column, Column | None]]:
         ("isin_near", F.when(length.isin(11, 12), slip_keys("c", c("isin"))).otherwise(none),
          F.when(F.length("m_isin") == 12, slip_keys("c", c("m_isin"))).otherwise(none), near_code(c("isin"), c("m_isin"))),
         ("ticker_name", some(c("ticker").isNotNull() & c("squashed").isNotNull(), tagged("t", c("ticker")), tagged("9", F.coalesce(c("tail"), c("ticker")))),
-         some(c("m_ticker").isNotNull(), tagged("t", c("m_ticker")), tagged("9", F.coalesce(c("m_tail"), c("m_ticker")))), name_fits),
+         some(c("m_ticker").isNotNull(), tagged("t", c("m_ticker")), tagged("9", F.coalesce(c("m_tail"), c("m_ticker")))), name_fits | F.coalesce(first_cut, F.lit(False))),
         ("name", some(c("core").isNotNull(), tagged("n", c("squashed"), c("kind"))), some(c("m_core").isNotNull(), tagged("n", c("m_squashed"), c("m_kind"))), open_ids),
         ("name_near", F.when(first_ok, slip_keys("d", c("first"), c("rest"))).otherwise(none),
          F.when(c("m_first").rlike("^[a-z]{4,}$"), slip_keys("d", c("m_first"), c("m_rest"))).otherwise(none),
