@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +20,24 @@ GROUNDING = ["exact", "normalized", "phrase"]
 
 @dataclass(frozen=True)
 class Settings:
-    """Retrieval settings, each with what it was chosen on."""
+    """Retrieval settings. What each value was chosen on is recorded beside it (``bases``: name to text); a value that differs from the default without a
+    recorded basis shows as set by hand."""
 
     min_substring_chars: int = 2
     substring_ratio: float = 0.6
     max_candidates: int = 50
     threshold: float = 0.5
     top_k: int = 20
-    basis: str = "defaults; tune with the sweep of evaluate.py"
+    basis: str = "default; tune with the sweep of evaluate.py"
+    bases: tuple[tuple[str, str], ...] = ()
+
+    def recorded(self) -> list[tuple[str, str, str]]:
+        """(name, value, basis) of every setting."""
+        known, default = dict(self.bases), {f.name: f.default for f in fields(self)}
+        if unknown := set(known) - set(default):
+            raise ValueError(f"no settings: {sorted(unknown)}")
+        names = [n for n in default if n not in ("basis", "bases")]
+        return [(n, str(getattr(self, n)), known.get(n) or (self.basis if getattr(self, n) == default[n] else "set by hand")) for n in names]
 
 
 def surface_forms(terms: DataFrame) -> DataFrame:
@@ -187,13 +197,15 @@ def question_status(questions: DataFrame, merged: DataFrame, ambiguous: DataFram
     return out.select(question, status.alias("status"), F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"))
 
 
-def index_usable(forms: DataFrame, index: DataFrame, registry_hash: str, index_hash: str) -> DataFrame:
-    """(problem, n): why an index can't serve a vocabulary; empty if it can. Embeddable forms must be covered exactly."""
+def index_usable(forms: DataFrame, index: DataFrame, registry_hash: str, index_hash: str, provider: str = "", index_provider: str = "") -> DataFrame:
+    """(problem, n): why an index can't serve a vocabulary; empty if it can. Embeddable forms must be covered exactly, by vectors of one width, made
+    from this registry by the provider (model and version) that will embed the questions."""
     wanted = forms.where(F.col("role").isin([r for r, (_, e) in ROLES.items() if e])).select("form_id")
     missing = wanted.join(index.select("form_id"), "form_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).withColumn("problem", F.lit("missing_forms"))
     unknown = index.select("form_id").join(wanted, "form_id", "left_anti").agg(F.count(F.lit(1)).alias("n")).withColumn("problem", F.lit("unknown_forms"))
     widths = index.select(F.size("vector").alias("w")).groupBy("w").count().agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("n")).withColumn("problem", F.lit("unequal_widths"))
     out = missing.unionByName(unknown).unionByName(widths)
-    if registry_hash != index_hash:
-        out = out.unionByName(forms.sparkSession.createDataFrame([(1, "other_registry")], "n bigint, problem string"))
+    for problem, same in (("other_registry", registry_hash == index_hash), ("other_provider", provider == index_provider)):
+        if not same:
+            out = out.unionByName(forms.sparkSession.createDataFrame([(1, problem)], "n bigint, problem string"))
     return out.where(F.col("n") > 0).select("problem", "n")

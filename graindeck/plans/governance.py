@@ -239,6 +239,13 @@ def n3_coverage_complete(t) -> DataFrame:
     return Q.completeness(m, A.status_coverage(m, "metric_id"), ["metric_id", "family_id", "subject_grain"])
 
 
+@register("WITH o AS (SELECT DISTINCT metric_id, family_id, subject_grain FROM metric_observation), c AS (SELECT DISTINCT metric_id, family_id, subject_grain FROM metric_observation WHERE value_status = 'parse_failed') SELECT (SELECT count(*) FROM o) AS n_observed, (SELECT count(*) FROM c) AS n_covered, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM c)) AS n_missing, (SELECT count(*) FROM (SELECT * FROM o EXCEPT SELECT * FROM c)) = 0 AS complete")
+def n3_coverage_gaps(t) -> DataFrame:
+    """Coverage made from the failed rows alone, which leaves groups out."""
+    m = t("metric_observation")
+    return Q.completeness(m, A.status_coverage(m.where(F.col("value_status") == "parse_failed"), "metric_id"), ["metric_id", "family_id", "subject_grain"])
+
+
 @register("SELECT coalesce(hash_matches::VARCHAR, 'unknown') AS hash_matches, count(*) AS n FROM data_source GROUP BY 1")
 def n6_hash_summary(t) -> DataFrame:
     return Q.hash_summary(t("data_source"))

@@ -160,6 +160,48 @@ def i11_i13_index_usable(t) -> DataFrame:
     return R.index_usable(forms, index, "registry-a", "registry-b")
 
 
+@register("SELECT 'missing_forms' AS problem, count(*) FILTER (WHERE vec_id % 10 = 3) AS n FROM embeddings UNION ALL SELECT 'unknown_forms', count(*) FILTER (WHERE vec_id % 10 = 7) FROM embeddings UNION ALL SELECT 'unequal_widths', 1 UNION ALL SELECT 'other_provider', 1")
+def i11_i13_vectors_usable(t) -> DataFrame:
+    """The table's vectors as an index of a vocabulary: every tenth form has none, every tenth vector no form, one vector is short, and another model made them."""
+    e = t("embeddings").select(F.col("vec_id").cast("string").alias("form_id"), (F.col("vec_id") % 10).alias("r"), F.when(F.col("vec_id") == 0, F.slice("embedding", 1, 2)).otherwise(F.col("embedding")).alias("vector"))
+    forms = e.where(F.col("r") != 7).select("form_id", F.lit("label").alias("role"))
+    return R.index_usable(forms, e.where(F.col("r") != 3).select("form_id", "vector"), "registry", "registry", "model-b/1", "model-a/1")
+
+
+@register("SELECT * FROM (VALUES ('min_substring_chars', '2', 'default; tune with the sweep of evaluate.py'), ('substring_ratio', '0.6', 'default; tune with the sweep of evaluate.py'), ('max_candidates', '10', 'set by hand'), ('threshold', '0.2', 'recall of m1_cross_form_sweep'), ('top_k', '20', 'default; tune with the sweep of evaluate.py')) v(name, value, basis)")
+def i16_settings(t) -> DataFrame:
+    s = R.Settings(max_candidates=10, threshold=0.2, bases=(("threshold", "recall of m1_cross_form_sweep"),))
+    return t("region").sparkSession.createDataFrame(s.recorded(), "name string, value string, basis string")
+
+
+# names that several parts share, and a question that names nothing
+_NQ = f"SELECT min(p_partkey) AS question_id, p_name AS question, {_NORMAL.format('p_name')} AS question_normal FROM part GROUP BY p_name UNION ALL SELECT -1, 'zzz', 'zzz'"
+_NV = f"SELECT DISTINCT 'p' || p_partkey AS semantic_id, p_name AS text, {_NORMAL.format('p_name')} AS normal FROM part"
+_NAMED = f"SELECT question_id, normal, arg_min(text, (length(text), text)) AS display, list_sort(list(DISTINCT semantic_id)) AS ids FROM ({_NQ}) q, ({_NV}) v WHERE contains(question_normal, normal) GROUP BY question_id, normal"
+
+
+def _named(t) -> tuple[DataFrame, DataFrame]:
+    p = t("part").where(F.col("p_name").isNotNull())
+    q = p.groupBy(F.col("p_name").alias("question")).agg(F.min("p_partkey").cast("bigint").alias("question_id")).unionByName(p.sparkSession.createDataFrame([(-1, "zzz")], "question_id bigint, question string"))
+    q = q.withColumn("question_normal", T.retrieval_normal(F.col("question")))
+    f = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("semantic_id"), F.lit("label").alias("role"), F.col("p_name").alias("text"), T.retrieval_normal(F.col("p_name")).alias("normal"))
+    # one form per different text, so that a name many parts share meets a question once
+    once = f.select("role", "text", "normal").distinct().withColumn("form_id", F.col("text"))
+    m = R.match_pairs(R.candidate_pairs(q, once)).where(F.col("tier") != "substring")
+    return q, m.join(f.select("semantic_id", "text"), "text")
+
+
+@register(f"SELECT * FROM ({_NAMED}) WHERE len(ids) > 1")
+def i8_ambiguous_names(t) -> DataFrame:
+    return R.ambiguities(_named(t)[1])
+
+
+@register(f"SELECT q.question_id, CASE WHEN count(n.normal) = 0 THEN 'unresolved' WHEN max(len(ids)) > 1 THEN 'ambiguous' ELSE 'candidates' END AS status, coalesce(sum(len(ids)), 0)::BIGINT AS n_candidates FROM ({_NQ}) q LEFT JOIN ({_NAMED}) n USING (question_id) GROUP BY 1")
+def i9_question_status(t) -> DataFrame:
+    q, m = _named(t)
+    return R.question_status(q, m.withColumn("groundable", F.lit(True)), R.ambiguities(m))
+
+
 @register("SELECT e.vec_id, q.vec_id AS query_id, round(list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q QUALIFY rank <= 10")
 def i14_inner_product_topk(t) -> DataFrame:
     e = t("embeddings").select("vec_id", "embedding")
