@@ -31,7 +31,7 @@ FIRST_NUMBER = r"^([^0-9]*)[0-9][0-9,]*(\.[0-9]+)?"
 #: Costs of the model: spread of the level's logarithm (its variance doubles in LEVEL_DAYS), of a change of unit, and of changing to another unit than the common one.
 SPREAD, LEVEL_DAYS, SWITCH, RARE = 0.35, 30.0, 3.0, 1.0
 #: Devices times states times states that a step of the decoder has in memory at once.
-STEP_CELLS = 1 << 21
+STEP_CELLS = 1 << 19
 
 
 def metric_recordings(metrics: DataFrame, catalog: DataFrame, sources: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ class Decoder:
 
     def read(self, t: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
         """What each row states, the state that is, the logarithm of its value and its day."""
-        if len(self.seen) > 1 << 18:
+        if len(self.seen) > 1 << 16:
             self.seen.clear()
         said, seen = [], self.seen
         for row in zip(*(t[f].to_pylist() for f in ("amount", "unit", "currency", "text", "note"))):
