@@ -85,14 +85,15 @@ def _weights(spark: SparkSession, d: str) -> DataFrame:
 def p3_portfolio_totals(spark: SparkSession, d: str) -> DataFrame:
     """Rows, total weight in percent and distinct resolved securities of each portfolio; re-delivered rows count once."""
     h = _weights(spark, d).select(folded_key("portfolio_key").alias("key"), "holding_key", "security_key", "weight_percent").where(F.col("key").isNotNull())
-    out = skew.per_key(h, "key", "holding_key", "weight_percent", "security_key")
+    delivered = table(spark, d, "holding_observation").select(folded_key("portfolio_key").alias("key"))  # re-delivered rows too: close enough to tell heavy keys
+    out = skew.per_key(h, "key", "holding_key", "weight_percent", "security_key", counted=delivered)
     return with_own_spelling(out, "key", table(spark, d, "portfolio"), "portfolio_key", "portfolio_key").select(
         "portfolio_key", "n_rows", F.round("total_weight", 4).alias("total_weight_percent"), F.col("n_items").alias("n_securities"))
 
 
 def p3_family_totals(spark: SparkSession, d: str) -> DataFrame:
     """The same per family."""
-    out = skew.per_key(_weights(spark, d).select("family_id", "holding_key", "security_key", "weight_percent"), "family_id", "holding_key", "weight_percent", "security_key")
+    out = skew.per_key(_weights(spark, d).select("family_id", "holding_key", "security_key", "weight_percent"), "family_id", "holding_key", "weight_percent", "security_key", counted=table(spark, d, "holding_observation").select("family_id"))
     return out.select("family_id", "n_rows", F.round("total_weight", 2).alias("total_weight_percent"), F.col("n_items").alias("n_securities"))
 
 

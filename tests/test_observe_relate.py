@@ -100,6 +100,18 @@ def test_containment(spark):
         R.containment(t, "text", f, "form", bound=2)
 
 
+@pytest.mark.parametrize("seed, most", [(1, 12), (2, 2), (3, 1)])
+def test_containment_of_any_vocabulary(spark, seed, most):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda a, b: "".join(rng.choice("ab가 ") for _ in range(rng.randrange(a, b)))
+    texts, forms = [(i, word(0, 25)) for i in range(80)] + [(99, None)], [word(1, 6) for _ in range(40)] + ["", "no such"]
+    got = R.containment_any(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame([(f,) for f in forms + forms[:3]], "form string"), "form", most).collect()
+    assert sorted(map(tuple, got)) == sorted({(i, f) for i, t in texts for f in forms if f and t and f in t})
+    assert R.containment_any(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame([], "form string"), "form").count() == 0
+
+
 def test_mismatches(spark):
     a, b = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string"), spark.createDataFrame([(2, "z"), (3, None), (4, "w")], "k int, v string")
     assert {tuple(r) for r in R.mismatches(a, b, "k", ["v"]).collect()} == {(1, "missing_right"), (4, "missing_left"), (2, "v")}
