@@ -150,7 +150,7 @@ _ISIN5 = """WITH s AS (SELECT security_key, regexp_replace(upper(isin), '[^0-9A-
 
 
 _WINDOWS = "SELECT doc_id, i, substr(text, i, 200) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)"
-_LEVELS = "SELECT doc_id, max(l) AS level FROM (SELECT doc_id, l, h, count(DISTINCT doc_id) OVER (PARTITION BY l, h) AS n FROM (SELECT DISTINCT doc_id, l, md5(substr(text, i, l)) AS h FROM (SELECT doc_id, text, l, unnest(range(1, length(text) - l + 2)) AS i FROM documents, (SELECT 200 << k AS l FROM range(0, 14) t(k)) WHERE length(text) >= l))) WHERE n > 1 GROUP BY 1"
+_LEVELS = "SELECT doc_id, max(l) AS level FROM (SELECT doc_id, l, h, count(DISTINCT doc_id) OVER (PARTITION BY l, h) AS n FROM (SELECT DISTINCT doc_id, l, hash(substr(text, i, l)) AS h FROM (SELECT doc_id, text, l, unnest(range(1, length(text) - l + 2)) AS i FROM documents, (SELECT 200 << k AS l FROM range(0, 14) t(k)) WHERE length(text) >= l))) WHERE n > 1 GROUP BY 1"
 _PARTS = f"""WITH w AS ({_WINDOWS}), g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT doc_id) > 1), h AS (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM w JOIN g USING (s)),
  p AS (SELECT doc_id, sum(least(coalesce(gap, 200), 200)) AS shared, count(*) FILTER (WHERE gap IS NULL OR gap > 200) AS n FROM h GROUP BY 1)
  SELECT doc_id, coalesce(length(text), 0) AS n_chars, coalesce(shared, 0)::BIGINT AS shared_chars, CASE WHEN length(text) > 0 THEN coalesce(shared, 0)::DOUBLE / length(text) ELSE 0 END AS shared_part, coalesce(n, 0) AS n_spans, coalesce(level, 0) AS longest_level
