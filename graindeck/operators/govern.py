@@ -72,6 +72,11 @@ def selection_policy(max_rows_per_subject: int | None) -> str:
     return "unique_per_subject" if max_rows_per_subject == 1 else "latest_effective_as_of"
 
 
+def policy_of(most_rows: Column) -> Column:
+    """``selection_policy`` of a column: null where a field has no rows to select from."""
+    return F.when(most_rows == 1, "unique_per_subject").when(most_rows > 1, "latest_effective_as_of")
+
+
 def resolution_funnel(bindings: DataFrame, requests: DataFrame) -> DataFrame:
     """(request_id, outcome): for many requests (semantic_id, family_id, subject_grain, operation) at once, resolved or the first stage that
     fails. ``bindings``: semantic_id, family_id, subject_grain, operations. One aggregate over one join; bindings are a registry."""

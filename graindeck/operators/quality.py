@@ -59,10 +59,16 @@ def conflict_records(pairs: DataFrame, key: str, left: str, right: str, group: s
 
 def shapes(triples: DataFrame, rules: Sequence[dict]) -> DataFrame:
     """(node, shape, problem) over triples (s, p, o, o_type): for nodes of ``target`` class, how often ``path`` stands (min, max), its values
-    (``in``), their datatype, the class of what they point at, or any one of several paths (``any_of``). One aggregate per shape."""
+    (``in``), their datatype, the class of what they point at, any one of several paths (``any_of``), or any one of several constraints (``or``: a list of
+    such rules, of which a node must break less than all). One aggregate per shape or alternative."""
     kinds = triples.where(F.col("p") == "rdf:type").select(F.col("s").alias("node"), F.col("o").alias("class"))
     out = None
     for r in rules:
+        if "or" in r:
+            broken = shapes(triples, [{**a, "name": str(i), "target": r["target"]} for i, a in enumerate(r["or"])])
+            one = broken.groupBy("node").agg(F.countDistinct("shape").alias("n")).where(F.col("n") == len(r["or"])).select("node", F.lit(r["name"]).alias("shape"), F.lit("no_alternative").alias("problem"))
+            out = one if out is None else out.unionByName(one)
+            continue
         nodes = kinds.where(F.col("class") == r["target"]).select("node").distinct()
         paths = r.get("any_of", [r["path"]] if "path" in r else [])
         t = triples.where(F.col("p").isin(paths)).select(F.col("s").alias("node"), "o", "o_type")

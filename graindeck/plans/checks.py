@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graindeck.functions import records as Rec
 from graindeck.operators import evaluate as E
 from graindeck.operators import govern as G
 from graindeck.operators import quality as Q
@@ -118,6 +119,14 @@ def _latest(t, *more: str) -> DataFrame:
     return best.withColumnRenamed("kept_row", "source_row_id")
 
 
+@register(f"SELECT metric_id, family_id, CASE WHEN max(n) = 1 THEN 'unique_per_subject' ELSE 'latest_effective_as_of' END AS policy FROM (SELECT metric_id, family_id, subject_key, count(*) AS n FROM (SELECT DISTINCT * FROM {METRICS}) WHERE subject_key IS NOT NULL AND period_code IS NOT NULL GROUP BY ALL) GROUP BY 1, 2")
+def j3_selection_policy(t) -> DataFrame:
+    """How observations of each metric and family that has a period are selected, from the most rows of one subject; re-delivered rows count once."""
+    m = folded_subjects(t("metric_observation")).where(F.col("subject_key").isNotNull() & F.col("period_code").isNotNull()).distinct()
+    n = m.groupBy("metric_id", "family_id", "subject_key").agg(F.count(F.lit(1)).alias("n")).groupBy("metric_id", "family_id").agg(F.max("n").alias("n"))
+    return n.select("metric_id", "family_id", G.policy_of(F.col("n")).alias("policy"))
+
+
 _STOP = "CASE WHEN provenance_missing > 0 THEN 'provenance_binding_unavailable' WHEN duplicates > 0 THEN 'selection_policy_unavailable' WHEN as_of IS NULL OR unknown_as_of > 0 OR lo <> hi OR lo <> as_of THEN 'snapshot_incompatible' WHEN NOT sources_verified THEN 'source_integrity_mismatch' END"
 
 
@@ -138,6 +147,13 @@ def j10_freshness(t) -> DataFrame:
     return e.select("metric_id", "family_id", "universe", G.freshness(F.lit(None).cast("date"), F.col("as_of_min"), F.col("as_of_max"), F.col("unknown_as_of")).alias("freshness"))
 
 
+@register(f"SELECT metric_id, family_id, asked, CASE stopped WHEN 'snapshot_incompatible' THEN 'The values are not of one date.' ELSE 'The question can''t be answered from the data.' END AS reason FROM (SELECT metric_id, family_id, as_of AS asked, {_STOP} AS stopped FROM ({_EVIDENCE.format(', as_of', _LATEST.format(', effective_as_of'))})) WHERE stopped IS NOT NULL")
+def j12_failure_reasons(t) -> DataFrame:
+    """What a caller may read about every ranking that was stopped: no code, table or id."""
+    e = G.ranking_evidence(_latest(t, "asked"), t("data_source"), ["metric_id", "family_id", "asked"]).withColumn("stopped", G.outcome(F.col("asked"))).where(F.col("stopped").isNotNull())
+    return e.select("metric_id", "family_id", "asked", Rec.safe_reason(F.col("stopped")).alias("reason"))
+
+
 # ---- L12: rules of bindings and relations
 
 # semantic_id, binding_kind, family_id, subject_grain, unit_code, period_code, operations, currency_source

@@ -257,14 +257,15 @@ def n7_conflict_records(t) -> DataFrame:
     return Q.conflict_records(j, "map_id", "display_name", "external_product_name", "official_product_name", "official_value_kept")
 
 
-@register("SELECT security_key AS node, 'SecurityShape' AS shape, 'too_few' AS problem FROM security_master WHERE isin IS NULL AND ticker IS NULL UNION ALL SELECT security_key, 'TypeShape', 'bad_value' FROM security_master WHERE security_type <> 'equity' UNION ALL SELECT security_key, 'TickerShape', 'too_few' FROM security_master WHERE ticker IS NULL")
+@register("SELECT security_key AS node, 'SecurityShape' AS shape, 'too_few' AS problem FROM security_master WHERE isin IS NULL AND ticker IS NULL UNION ALL SELECT security_key, 'TypeShape', 'bad_value' FROM security_master WHERE security_type <> 'equity' UNION ALL SELECT security_key, 'TickerShape', 'too_few' FROM security_master WHERE ticker IS NULL UNION ALL SELECT security_key, 'CodeOrBondShape', 'no_alternative' FROM security_master WHERE isin IS NULL AND NOT coalesce(security_type = 'bond', false)")
 def n8_shapes(t) -> DataFrame:
-    """Conformance of securities as triples: an identifier of some kind, a type of a list, a ticker."""
+    """Conformance of securities as triples: an identifier of some kind, a type of a list, a ticker, an ISIN unless a bond."""
     s = t("security_master")
     lit = F.lit
     cells = F.array(F.struct(lit("rdf:type").alias("p"), lit("Security").alias("o")), F.struct(lit("isin").alias("p"), F.col("isin").alias("o")), F.struct(lit("ticker").alias("p"), F.col("ticker").alias("o")), F.struct(lit("type").alias("p"), F.col("security_type").alias("o")))
     triples = s.select(F.col("security_key").alias("s"), F.inline(cells)).where(F.col("o").isNotNull()).withColumn("o_type", lit("xsd:string"))
-    return Q.shapes(triples, [{"name": "SecurityShape", "target": "Security", "any_of": ["isin", "ticker"], "min": 1}, {"name": "TypeShape", "target": "Security", "path": "type", "in": ["equity"]}, {"name": "TickerShape", "target": "Security", "path": "ticker", "min": 1, "max": 1}])
+    return Q.shapes(triples, [{"name": "SecurityShape", "target": "Security", "any_of": ["isin", "ticker"], "min": 1}, {"name": "TypeShape", "target": "Security", "path": "type", "in": ["equity"]}, {"name": "TickerShape", "target": "Security", "path": "ticker", "min": 1, "max": 1},
+                              {"name": "CodeOrBondShape", "target": "Security", "or": [{"path": "isin", "min": 1}, {"path": "type", "in": ["bond"], "min": 1}]}])
 
 
 @register("SELECT metric_id AS semantic_id, 'period' AS missing FROM metric_catalog WHERE period_code IS NULL UNION ALL SELECT metric_id, 'unit' FROM metric_catalog WHERE common_unit IS NULL")

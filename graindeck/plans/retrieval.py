@@ -139,6 +139,14 @@ def i7_merge_paths(t) -> DataFrame:
     return _merged(t).select("question_id", "semantic_id", "groundable", "rule_rank", "similarity", "vector_rank", "position")
 
 
+@register("SELECT n_nationkey AS question_id, n_regionkey AS semantic_id, 'unavailable' AS vector_path, NULL::DOUBLE AS similarity, 1 AS position FROM nation WHERE n_nationkey % 3 <> 0")
+def i10_path_isolation(t) -> DataFrame:
+    """The rule path alone, the vector path not being there: its results stay and say so."""
+    n = t("nation").where(F.col("n_nationkey") % 3 != 0)
+    rule = n.select(F.col("n_nationkey").alias("question_id"), F.col("n_regionkey").alias("semantic_id"), F.lit("exact").alias("tier"), F.lit(1).alias("rank"), F.lit(1.0).alias("score"))
+    return R.merge_paths(rule, None).select("question_id", "semantic_id", "vector_path", "similarity", "position")
+
+
 @register("SELECT 1 AS question_id, lower(regexp_replace(p_brand, '[\\s_]+', '', 'g')) AS normal, arg_min(p_brand, (length(p_brand), p_brand)) AS display, list_sort(list(DISTINCT 'p' || p_partkey)) AS ids FROM part GROUP BY ALL HAVING count(DISTINCT p_partkey) > 1")
 def i8_ambiguity(t) -> DataFrame:
     """Brands that name several parts."""
