@@ -193,12 +193,14 @@ def shared_windows(docs: DataFrame, doc: str = "doc_id", text: str = "text", wan
     ``first_length`` is the length of the first level, half of ``wanted`` by default; each level doubles it. Ids must be
     integers; rows without one take no part. Null texts and texts shorter than ``wanted`` share nothing. ``small_rows``: positions (12 bytes each) up to which the
     repeated windows of a level are broadcast to the scan of the texts; beyond it they are joined. ``bits`` of the hashes are used; fewer
-    give the same result and more to confirm.
+    give the same result and more to confirm: where a window of each set of texts is the same in all of them, h is the hash, by which the set's
+    other windows go; where some set fails, every window is confirmed and h is the digest.
     """
     rows, texts, members = windows_of(docs, doc, text, wanted, first_length, small_rows, bits)
-    found = _digests(_around(cut(rows, "span-windows"), texts, small_rows), wanted).withColumnRenamed("d", "h")
-    found = cut(found, "span-confirmed")
-    return cut(found.join(_repeated(found), "h", "left_semi"), "span-shared"), members
+    rows = cut(rows, "span-windows")
+    if _proven(rows, texts, wanted, small_rows)[-1].first() is not None:
+        rows = cut(_digests(_around(rows, texts, small_rows), wanted).withColumnRenamed("d", "h"), "span-confirmed")
+    return cut(rows.join(_repeated(rows), "h", "left_semi"), "span-shared"), members
 
 
 SET = ["size", "p", "q"]
@@ -212,6 +214,16 @@ def _sets(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return one, named.drop("__pos")
 
 
+def _proven(windows: DataFrame, texts: DataFrame, wanted: int, small_rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(h, size, p, q) of the windows that stand in several texts; per set and text the digest d of the set's window of the least hash; and the
+    sets whose texts differ in it."""
+    one, named = _sets(windows)
+    sets = cut(one.join(named, "h").groupBy(*SET, "class_id").agg(F.min_by("pos", "h").alias("pos")), "span-sets")
+    near = cut(sets.groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near")), "span-witnesses")
+    proof = cut(sets.join(_digests(_with_texts(near, texts, small_rows), wanted), ["class_id", "pos"]), "span-proofs")
+    return named, proof, cut(proof.groupBy(*SET).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("lo") != F.col("hi")).select(*SET), "span-doubts")
+
+
 def passage_sets(windows: DataFrame, texts: DataFrame, wanted: int, small_rows: int = 2_000_000) -> DataFrame:
     """(size, p, q, class_id): every set of two or more texts that share some window, one row per text of the set. A set is named by its
     size and two combined hashes of its members; neighbouring windows of a passage stand in the same texts and give one set.
@@ -219,12 +231,7 @@ def passage_sets(windows: DataFrame, texts: DataFrame, wanted: int, small_rows:
     The window of the least hash of each set is confirmed in all its texts. Where that shows texts that differ, the set is
     parted: all its windows are named anew by their digests.
     """
-    one, named = _sets(windows)
-    sets = cut(one.join(named, "h").groupBy(*SET, "class_id").agg(F.min_by("pos", "h").alias("pos")), "span-sets")
-    near = cut(sets.groupBy("class_id").agg(F.sort_array(F.collect_set("pos")).alias("near")), "span-witnesses")
-    seen = _digests(_with_texts(near, texts, small_rows), wanted)
-    proof = cut(sets.join(seen, ["class_id", "pos"]), "span-proofs")
-    doubt = cut(proof.groupBy(*SET).agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where(F.col("lo") != F.col("hi")).select(*SET), "span-doubts")
+    named, proof, doubt = _proven(windows, texts, wanted, small_rows)
     if doubt.first() is None:
         return proof.select(*SET, "class_id")
     again = windows.join(named.join(doubt, SET, "left_semi").select("h"), "h", "left_semi")
@@ -278,7 +285,7 @@ def longer_windows(windows: DataFrame, wanted: int) -> DataFrame:
         has = level.select("class_id").distinct().withColumn("level", F.lit(wanted).cast("bigint"))
         found = has if found is None else found.unionByName(has)
         later = level.select("class_id", (F.col("pos") - wanted).alias("pos"), F.col("h").alias("__later"))
-        both = level.join(later, ["class_id", "pos"]).select(F.unhex(F.md5(F.concat("h", "__later"))).alias("h"), "class_id", "pos")
+        both = level.join(later, ["class_id", "pos"]).select(F.unhex(F.md5(F.concat_ws("|", F.hex("h"), F.hex("__later")))).alias("h"), "class_id", "pos")
         both = cut(both, "span-doubled")
         level, wanted = cut(both.join(_repeated(both), "h", "left_semi"), "span-longer"), 2 * wanted
         if level.first() is None:
