@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from graindeck.functions import spans as K
 from graindeck.functions.text import covers, token_estimate
+from graindeck.session import parallelism
 
 
 def cross_form_sweep(scores: DataFrame, thresholds: Sequence[float], cuts: Sequence[int]) -> DataFrame:
@@ -187,11 +188,12 @@ def _standing(spans: Sequence) -> Iterator[tuple]:
         yield s, ok
 
 
-def scan_forms(questions: DataFrame, forms: DataFrame) -> DataFrame:
+def scan_forms(questions: DataFrame, forms: DataFrame, bound: int = 100_000) -> DataFrame:
     """(question_id, question, spans) of every question: all occurrences of every form in it, case aside; spans is empty where none occurs. Forms meet
-    questions by an equi-join on the form's own text, of whose lengths there are few."""
+    questions by an equi-join on the form's own text, of whose lengths there are few. Forms are counted and broadcast, more than ``bound`` are joined.
+    Spark takes the places for as small as the questions that they are made of, so no join may choose its side by itself, and questions are dealt out first."""
     low = forms.select("form_id", F.lower(F.trim("text")).alias("needle")).where(F.col("needle") != "").distinct()
-    lengths = sorted(r[0] for r in low.select(F.length("needle")).distinct().collect())  # at most as many as the longest form has letters
+    sizes = {r[0]: r[1] for r in low.groupBy(F.length("needle")).agg(F.count(F.lit(1))).collect()}  # at most as many as the longest form has letters
     q = questions.where(F.col("question").isNotNull()).select("question_id", "question", F.lower("question").alias("__low"))
     none = F.array().cast("array<struct<start:int,needle:string>>")
 
@@ -199,9 +201,11 @@ def scan_forms(questions: DataFrame, forms: DataFrame) -> DataFrame:
         at = F.sequence(F.lit(1), F.length("__low") - k + 1)
         return F.when(F.length("__low") >= k, F.transform(at, lambda i: F.struct((i - 1).alias("start"), F.substring(F.col("__low"), i, F.lit(k)).alias("needle")))).otherwise(none)
 
-    places = q.select("question_id", F.inline(F.flatten(F.array(none, *[pieces(k) for k in lengths]))))
-    hits = places.join(low, "needle").groupBy("question_id").agg(F.collect_list(F.struct("form_id", "start", F.length("needle").alias("length"))).alias("spans"))
-    return q.drop("__low").join(hits, "question_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<form_id:string,start:int,length:int>>")))
+    dealt = q.repartition(parallelism(q.sparkSession), "question_id")
+    places = dealt.select("question_id", F.inline(F.flatten(F.array(none, *[pieces(k) for k in sorted(sizes)]))))
+    met = places.join(low.hint("broadcast" if sum(sizes.values()) <= bound else "merge"), "needle")
+    hits = met.groupBy("question_id").agg(F.collect_list(F.struct("form_id", "start", F.length("needle").alias("length"))).alias("spans"))
+    return q.drop("__low").join(hits.hint("merge"), "question_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<form_id:string,start:int,length:int>>")))
 
 
 def _word_state(word: str) -> str:

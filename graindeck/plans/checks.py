@@ -247,18 +247,29 @@ def m11_rescored_gold(t) -> DataFrame:
     return E.rescore_rankings(ranked, E.accepted_gold(gold, drops, overrides, inverses), [1, 2])
 
 
+def _names(t) -> DataFrame:
+    """Names of parts, each once: what is said of a question goes by its wording, so it is found once for a name and given to all parts that bear it."""
+    return t("part").where(F.col("p_name").isNotNull()).select("p_name").distinct()
+
+
+def _of_every_part(t, found: DataFrame) -> DataFrame:
+    """Rows by name (question_id) for every part of the name."""
+    parts = t("part").select("p_partkey", F.col("p_name").alias("question_id"))
+    return parts.join(found.hint("merge"), "question_id").withColumn("question_id", F.col("p_partkey")).select(*found.columns)
+
+
 def _scanned(t) -> DataFrame:
     """Questions made of a part's name, a limit, a foreign word and the name's first word again; forms are names and their words."""
-    p = t("part").where(F.col("p_name").isNotNull())
-    q = p.select(F.col("p_partkey").alias("question_id"), F.concat("p_name", F.lit(" top 5 zzz highest, "), F.split("p_name", " ")[0]).alias("question"))
-    names = p.select(F.col("p_name").alias("text")).distinct()
+    p = _names(t)
+    q = p.select(F.col("p_name").alias("question_id"), F.concat("p_name", F.lit(" top 5 zzz highest, "), F.split("p_name", " ")[0]).alias("question"))
+    names = p.select(F.col("p_name").alias("text"))
     words = p.select(F.explode(F.split("p_name", " ")).alias("text")).distinct()
     return E.scan_forms(q, names.unionByName(words).distinct().select(F.concat(F.lit("f:"), "text").alias("form_id"), "text"))
 
 
 @register("SELECT p_partkey AS question_id, place, text, state, frame FROM (SELECT p_partkey, p_name, string_split(p_name, ' ')[1] AS w FROM part WHERE p_name IS NOT NULL), LATERAL (SELECT * FROM (VALUES (0, p_name, 'form', 1), (1, 'top', 'direction', 1), (2, '5', 'number', 1), (3, 'zzz', 'unknown', 1), (4, 'highest,', 'direction', 1), (5, w, 'form', 2)) v(place, text, state, frame))")
 def m18_question_ledger(t) -> DataFrame:
-    return E.question_ledger(_scanned(t)).select("question_id", "place", "text", "state", "frame")
+    return _of_every_part(t, E.question_ledger(_scanned(t))).select("question_id", "place", "text", "state", "frame")
 
 
 @register("SELECT p_partkey AS question_id, 3 AS n_anchors, CASE WHEN array_length(string_split(p_name, ' ')) > 1 THEN 2 ELSE 3 END AS n_found, CASE WHEN array_length(string_split(p_name, ' ')) > 1 THEN 1 ELSE 0 END AS n_swallowed, 1 AS n_unknown, 'comparison' AS collapsed, false AS passed FROM part WHERE p_name IS NOT NULL")
@@ -267,8 +278,9 @@ def m26_case_ledger(t) -> DataFrame:
     s = _scanned(t)
     form = lambda c: F.concat(F.lit("f:"), c)
     words = F.split("p_name", " ")
-    expected = t("part").where(F.col("p_name").isNotNull()).select(F.col("p_partkey").alias("question_id"), F.array(form(F.col("p_name")), form(words[0]), form(F.element_at(words, -1))).alias("anchors"), F.array(F.lit("direction"), F.lit("comparison")).alias("states"))
-    return E.case_ledger(E.question_ledger(s), s, expected).withColumn("collapsed", F.array_join("collapsed", ","))
+    expected = _names(t).select(F.col("p_name").alias("question_id"), F.array(form(F.col("p_name")), form(words[0]), form(F.element_at(words, -1))).alias("anchors"), F.array(F.lit("direction"), F.lit("comparison")).alias("states"))
+    found = E.case_ledger(E.question_ledger(s), s, expected).withColumn("collapsed", F.array_join("collapsed", ","))
+    return _of_every_part(t, found)
 
 
 _SLOTS = "SELECT user_id AS question_id, event_type AS slot, event_type || floor(value / 25)::BIGINT AS reading FROM events WHERE user_id % 3 <> 0 OR value < 25"

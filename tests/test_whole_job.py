@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from graindeck.operators import evaluate as E
 from graindeck.operators import relate
 
 NAMES = ["large widget", "red widget", "red wide", "Large Widget", "blue bolt"]
@@ -129,3 +131,27 @@ def test_spellings_of_a_subject_are_one(spark, tmp_path):
 def test_closure_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a int, b int")
     assert relate.closure(chain, "a", "b").count() == 300 * 301 // 2
+
+
+@pytest.fixture(scope="module")
+def many_parts(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("many")
+    _write(spark, d, part=([(i, ["red bolt", "old red rod", "gear"][i % 3]) for i in range(90)] + [(90, None)], "p_partkey bigint, p_name string"))
+    return str(d)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bound, kind", [(100_000, "BroadcastHashJoin"), (2, "SortMergeJoin")])
+def test_case_ledger_never_broadcasts_places(spark, many_parts, bound, kind):
+    """The places of a question are many times the question, which Spark's estimate doesn't know."""
+    q = spark.read.parquet(f"{many_parts}/part.parquet").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"))
+    s = E.scan_forms(q, spark.createDataFrame([(w, w) for w in ("red", "red rod", "bolt", "gear")], "form_id string, text string"), bound)
+    assert "BuildLeft" not in _plan(s) and kind in _plan(s)
+    got = {r.question_id: sorted((x.start, x.form_id) for x in r.spans) for r in s.collect()}
+    want = {0: [(0, "red"), (4, "bolt")], 1: [(4, "red"), (4, "red rod")], 2: [(0, "gear")]}
+    assert got == {i: want[i % 3] for i in range(90)}
+    cases = {r.question_id: (r.n_anchors, r.n_found, r.n_swallowed, r.collapsed) for r in entry.queries()["m26_case_ledger"](spark, many_parts).collect()}
+    assert cases == {i: (3, 3, 0, "comparison") if i % 3 == 2 else (3, 2, 1, "comparison") for i in range(90)}
