@@ -155,3 +155,14 @@ def test_case_ledger_never_broadcasts_places(spark, many_parts, bound, kind):
     assert got == {i: want[i % 3] for i in range(90)}
     cases = {r.question_id: (r.n_anchors, r.n_found, r.n_swallowed, r.collapsed) for r in entry.queries()["m26_case_ledger"](spark, many_parts).collect()}
     assert cases == {i: (3, 3, 0, "comparison") if i % 3 == 2 else (3, 2, 1, "comparison") for i in range(90)}
+
+
+def test_question_ledger_of_repeated_names(spark, many_parts):
+    """Every part gets the ledger of its name, and what is joined to it is no broadcast."""
+    df = entry.queries()["m18_question_ledger"](spark, many_parts)
+    assert "BuildLeft" not in _plan(df)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.question_id, []).append((r.place, r.text, r.state, r.frame))
+    want = lambda n: [(0, n, "form", 1), (1, "top", "direction", 1), (2, "5", "number", 1), (3, "zzz", "unknown", 1), (4, "highest,", "direction", 1), (5, n.split()[0], "form", 2)]
+    assert {k: sorted(v) for k, v in got.items()} == {i: want(["red bolt", "old red rod", "gear"][i % 3]) for i in range(90)}
