@@ -85,16 +85,19 @@ def containment_any(texts: DataFrame, key: str, text: str, forms: DataFrame, for
     return pairs.join(t, "key").where(F.contains(F.col("text"), F.col("form"))).select(F.col("key").alias(key), F.col("form").alias(form))
 
 
-def containment_of_words(texts: DataFrame, text: str, forms: DataFrame, form: str, words: int = 3) -> DataFrame:
-    """Texts that contain a form of up to ``words`` words as whole words: an equi-join on the text's word runs, for any number of forms."""
-    tokens = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
+def containment_of_words(texts: DataFrame, text: str, forms: DataFrame, form: str, words: int = 3, bound: int = 100_000) -> DataFrame:
+    """Texts that contain a form of up to ``words`` words as whole words: an equi-join on the text's word runs, for any number of forms. Forms are counted and
+    broadcast, more than ``bound`` are joined. A text is split once: bound to a variable, as an expression inside a lambda is worked out for every element."""
 
-    def runs_of(n: int) -> Column:
+    def runs_of(tokens: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
-    runs = [runs_of(n) for n in range(1, words + 1)]
-    keyed = texts.withColumn("__w", F.explode(F.array_distinct(F.flatten(F.array(*runs)))))
-    return keyed.join(forms.withColumn("__w", F.lower(form)), "__w").drop("__w")
+    split = F.array(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"))
+    runs = F.flatten(F.transform(split, lambda tokens: F.flatten(F.array(tokens, *[runs_of(tokens, n) for n in range(2, words + 1)]))))
+    keyed = texts.withColumn("__w", F.explode(F.array_distinct(runs)))
+    wanted = forms.withColumn("__w", F.lower(form))
+    few = forms.limit(bound + 1).count() <= bound
+    return keyed.join(wanted.hint("broadcast" if few else "merge"), "__w").drop("__w")
 
 
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:

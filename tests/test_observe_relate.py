@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,17 @@ def test_selection(spark):
     assert {(r.id, r.path) for r in S.ordered_union([a, b], "id").collect()} == {(1, 0), (2, 0), (3, 1)}
     c = spark.createDataFrame([(0, 5, 1, "ds", None), (1, 4, 1, "f1", "ds"), (1, 3, 1, "f2", "gone"), (1, 2, 1, "f3", "ds")], "tier int, longest int, matches int, term string, owner string")
     assert {r.term: r.reason for r in S.admit(c, 2).collect()} == {"ds": "admitted", "f1": "admitted", "f2": "owner_not_admitted", "f3": "over_budget"}
+
+
+def test_words_of_long_texts_in_one_split(spark):
+    """A text is split once, not once for each of its words; forms are broadcast, or joined where they are many."""
+    import time
+
+    n = 30_000
+    t = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)) + " Fund, of FUNDS"), (2, "no"), (3, None), (4, "")], "id int, text string")
+    f = spark.createDataFrame([("fund",), ("Of funds",), ("w7 w8 w9",), ("w7 w9",), ("no",)], "form string")
+    for words, bound in ((3, 10), (3, 2), (1, 10)):
+        began = time.time()
+        got = {(r.id, r.form) for r in R.containment_of_words(t, "text", f, "form", words, bound).select("id", "form").collect()}
+        assert got == {(1, "fund"), (2, "no")} | ({(1, "Of funds"), (1, "w7 w8 w9")} if words == 3 else set())
+        assert time.time() - began < 40
