@@ -1,8 +1,10 @@
 """Joins between grains: products, portfolios, holdings and securities, without letting duplicates inflate a count."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,15 +76,77 @@ def containment(texts: DataFrame, text: str, forms: DataFrame, form: str, bound:
     return texts.join(F.broadcast(forms), F.contains(F.col(text), F.col(form)))
 
 
-def containment_any(texts: DataFrame, key: str, text: str, forms: DataFrame, form: str, most: int = 12) -> DataFrame:
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def _stretch_hashes(points: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every stretch of ``length`` code points."""
+    n, out = len(points) - length + 1, np.uint64(0)
+    for i in range(length):
+        out = _mixed((out + points[i : i + n] + np.uint64(1)) * np.uint64(0xA0761D6478BD642F))
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _proposed(texts: DataFrame, k: int, reach: int, known: np.ndarray | None) -> DataFrame:
+    """(key, start, tail) of ``texts`` (key, text): stretches of ``k`` characters with up to ``reach`` in all, of those whose hash is among ``known``, or of
+    all where that is None; each once for a text. One pass over the characters, as a substring in the JVM counts from the text's beginning."""
+    bits = min(26, max(16, 5 + len(known).bit_length())) if known is not None else 0
+    schema = f"key {texts.schema['key'].dataType.simpleString()}, start string, tail string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if known is not None:
+            first = np.zeros(1 << bits, bool)
+            first[(known >> np.uint64(64 - bits)).astype(np.int64)] = True
+        for b in batches:
+            rows, tails, held = [], [], 0
+            for row, text in enumerate(b.column(1).to_pylist()):
+                at: Iterable[int] = range(len(text) - k + 1)
+                if known is not None:
+                    h = _stretch_hashes(_points(text), k)
+                    at = np.flatnonzero(first[(h >> np.uint64(64 - bits)).astype(np.int64)])
+                    at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]].tolist() if len(known) else []
+                found = {text[i : i + reach] for i in at}
+                rows += [row] * len(found)
+                tails += found
+                held += len(found) * reach
+                if held > 1 << 23:
+                    yield packed(b, rows, tails)
+                    rows, tails, held = [], [], 0
+            yield packed(b, rows, tails)
+
+    def packed(b: pa.RecordBatch, rows: list[int], tails: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array([x[:k] for x in tails], pa.string()), pa.array(tails, pa.string())], names=["key", "start", "tail"])
+
+    return texts.mapInArrow(run, schema)
+
+
+def containment_any(texts: DataFrame, key: str, text: str, forms: DataFrame, form: str, most: int = 12, reach: int = 64, bound: int = 2_000_000) -> DataFrame:
     """(key, form): the same for any number of forms, each pair once. Texts and forms meet in an equi-join on stretches as long as the shortest
-    form (``most`` at most), a form's being its beginning, and each pair is checked on the whole. Empty forms stand nowhere; ``key`` is unique."""
+    form (``most`` at most), a form's being its beginning; the ``reach`` characters there tell whether the form follows, and only longer forms are checked
+    on the whole text. Forms are counted: up to ``bound`` beginnings are known to the workers by their hash, and other stretches of a text aren't joined.
+    Empty forms stand nowhere; ``key`` is unique."""
     f = forms.select(F.col(form).alias("form")).where(F.length("form") > 0).distinct()
-    k = min(f.agg(F.min(F.length("form"))).first()[0] or 1, most)
+    shortest, longest, n = f.agg(F.min(F.length("form")), F.max(F.length("form")), F.count(F.lit(1))).first()
+    k = min(shortest or 1, most)
+    reach = max(k, min(reach, longest or 1))
+    f = f.withColumn("start", F.substring("form", 1, k))
+    known = None
+    if n <= bound:
+        starts = f.select("start").distinct().toLocalIterator()
+        known = np.unique(np.array([_stretch_hashes(_points(r[0]), k)[0] for r in starts], np.uint64))
     t = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") >= k)
-    starts = F.transform(F.sequence(F.lit(1), F.length("text") - k + 1), lambda i: F.substring(F.col("text"), i, F.lit(k)))
-    pairs = t.select("key", F.explode(F.array_distinct(starts)).alias("start")).join(f.withColumn("start", F.substring("form", 1, k)), "start").select("key", "form")
-    return pairs.join(t, "key").where(F.contains(F.col("text"), F.col("form"))).select(F.col("key").alias(key), F.col("form").alias(form))
+    pairs = _proposed(t, k, reach, known).hint("merge").join(f, "start")
+    near = pairs.where(F.startswith("tail", F.col("form"))).select("key", "form").distinct()
+    if (longest or 0) > reach:
+        far = pairs.where((F.length("form") > reach) & F.startswith("form", F.col("tail"))).select("key", "form").distinct()
+        near = near.unionByName(far.join(t.hint("merge"), "key").where(F.contains(F.col("text"), F.col("form"))).select("key", "form"))
+    return near.select(F.col("key").alias(key), F.col("form").alias(form))
 
 
 def containment_of_words(texts: DataFrame, text: str, forms: DataFrame, form: str, words: int = 3, bound: int = 100_000) -> DataFrame:

@@ -163,3 +163,14 @@ def test_words_of_long_texts_in_one_split(spark):
         got = {(r.id, r.form) for r in R.containment_of_words(t, "text", f, "form", words, bound).select("id", "form").collect()}
         assert got == {(1, "fund"), (2, "no")} | ({(1, "Of funds"), (1, "w7 w8 w9")} if words == 3 else set())
         assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("reach, bound", [(64, 100), (3, 100), (64, 2), (2, 2)])
+def test_containment_joins_only_beginnings_of_forms(spark, reach, bound):
+    """Long forms, characters beyond the first plane, few and many forms; stretches that begin no form aren't joined."""
+    texts = [(1, "가나다라마" * 40 + "끝"), (2, "x😀y😀z"), (3, "ab" * 30 + "c"), (4, ""), (5, None), (6, "none")]
+    forms = ["나다라마가나다라마", "다라마가나다라마끝", "😀y", "ababc", "abc" * 9, "ab" * 29 + "abc", "마끝", "no such"]
+    got = R.containment_any(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame([(f,) for f in forms], "form string"), "form", 12, reach, bound)
+    assert sorted(map(tuple, got.collect())) == sorted((i, f) for i, x in texts for f in forms if x and f in x)
+    some = spark.createDataFrame(texts, "key int, text string").where("length(text) > 1")
+    assert R._proposed(some, 2, 2, np.sort(R._stretch_hashes(R._points("😀yb"), 2))).count() == 1
