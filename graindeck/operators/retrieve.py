@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graindeck.functions import text as T
 from graindeck.operators.select import best_of
+from graindeck.session import parallelism
 
 # Tiers in order of strength; which role may match by which, and whether it is embedded.
 TIERS = ["exact", "normalized", "phrase", "substring"]
@@ -70,22 +71,26 @@ def match_pairs(pairs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "starts", F.when(whole, F.array(F.lit(0))).otherwise(T.occurrences(F.col("question_normal"), span))).withColumn("reach", F.when(whole, F.length("question_normal")).otherwise(F.col("overlap"))).drop("fragment")
 
 
-def candidate_pairs(questions: DataFrame, forms: DataFrame, settings: Settings = Settings(), bound: int = 10_000) -> DataFrame:
-    """Questions with every form that some tier could match, each pair once, for a vocabulary of any size.
+def candidate_pairs(questions: DataFrame, forms: DataFrame, settings: Settings = Settings(), bound: int = 10_000, fragments: bool = True, few: int = 100_000) -> DataFrame:
+    """Questions with every form that some tier could match, each pair once, for a vocabulary of any size. Without ``fragments`` only those with every form
+    that stands in the question whole.
 
     Whatever the tier, the question's normal form then holds a stretch of the form's as long as the least fragment that counts (the
     whole form where that is shorter, or where its role admits no fragments). So forms meet questions in an equi-join on their stretches of
     that length. The lengths that occur in the vocabulary, at most as many as its longest form has characters, are collected; more
-    than ``bound`` are refused. Forms and questions of which nothing is left meet on the empty stretch.
+    than ``bound`` are refused. Forms and questions of which nothing is left meet on the empty stretch. Forms of up to ``few`` stretches are
+    broadcast, more are joined; Spark takes what is made of a question for as small as the question, so no join may choose its side by itself.
     """
     n = F.length("normal")
     least = F.greatest(F.lit(settings.min_substring_chars), F.ceil(F.lit(settings.substring_ratio) * n)).cast("int")
-    size = F.when(allows(F.col("role"), "substring"), F.least(least, n)).otherwise(n)
+    size = F.when(allows(F.col("role"), "substring"), F.least(least, n)).otherwise(n) if fragments else n
     stretches = lambda c, k: F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(c, i, k))
     sized = forms.select("form_id", "role", "text", "normal", size.alias("__k"))
-    lengths = sorted(r[0] for r in sized.select("__k").distinct().limit(bound + 1).collect() if r[0] is not None)
+    kinds = [r for r in sized.groupBy("__k").agg(F.sum(F.length("normal") - F.col("__k") + 1).alias("n")).limit(bound + 1).collect() if r["__k"] is not None]
+    lengths = sorted(r["__k"] for r in kinds)
     if len(lengths) > bound:
         raise ValueError(f"forms of more than {bound} lengths")
+    how = "broadcast" if sum(r["n"] for r in kinds) <= few else "merge"
     keys = sized.select("form_id", "role", "text", F.col("__k"), F.explode(F.array_distinct(stretches("normal", F.col("__k")))).alias("__s"))
     none = F.array().cast("array<struct<k:int,s:string>>")
 
@@ -94,9 +99,9 @@ def candidate_pairs(questions: DataFrame, forms: DataFrame, settings: Settings =
         return F.when(here, F.transform(stretches("question_normal", F.lit(k)), lambda s: F.struct(F.lit(k).alias("k"), s.alias("s")))).otherwise(none)
 
     marks = F.array_distinct(F.flatten(F.array(none, *[marked(k) for k in lengths])))
-    asked = questions.select("question_id", F.inline(marks).alias("__k", "__s"))
-    pairs = asked.join(keys, ["__k", "__s"]).select("question_id", "form_id", "role", "text").distinct()
-    return pairs.join(questions, "question_id").join(forms, ["form_id", "role", "text"])
+    asked = questions.repartition(parallelism(questions.sparkSession), "question_id").select("question_id", F.inline(marks).alias("__k", "__s"))
+    pairs = asked.join(keys.hint(how), ["__k", "__s"]).select("question_id", "form_id", "role", "text").distinct()
+    return pairs.join(questions.hint("merge"), "question_id").join(forms.hint(how), ["form_id", "role", "text"])
 
 
 def downgrade_shadowed(matches: DataFrame, question: str = "question_id") -> DataFrame:

@@ -92,12 +92,14 @@ _PLANTED = f"SELECT question_id, form_id, semantic_id, role, text, normal, quest
 
 @register(_SHADOWED.format(_PLANTED) + " WHERE t.tier <> 'substring'")
 def i4_shadowed_or_free(t) -> DataFrame:
-    """A name and its first word again: that word also stands free of the name and stays a phrase, the others are shadowed."""
+    """A name and its first word again: that word also stands free of the name and stays a phrase, the others are shadowed. Tiers go by the wording, so
+    they are found once for a name and given to all parts that bear it."""
     name = F.col("p_name")
-    q = t("part").select(F.col("p_partkey").alias("question_id"), F.concat(name, F.lit(" and "), F.split(name, " ")[0]).alias("question"))
+    q = t("part").where(name.isNotNull()).select(name.alias("question_id"), F.concat(name, F.lit(" and "), F.split(name, " ")[0]).alias("question")).distinct()
     q = q.withColumn("question_normal", T.retrieval_normal(F.col("question")))
-    m = R.match_pairs(R.candidate_pairs(q, _word_forms(t))).where(F.col("tier") != "substring")
-    return R.downgrade_shadowed(m).select("question_id", "form_id", "tier")
+    m = R.match_pairs(R.candidate_pairs(q, _word_forms(t), fragments=False)).where(F.col("tier") != "substring")
+    found = R.downgrade_shadowed(m).select(F.col("question_id").alias("p_name"), "form_id", "tier")
+    return t("part").select(F.col("p_partkey").alias("question_id"), "p_name").join(found.hint("merge"), "p_name").drop("p_name")
 
 
 @register(f"SELECT question_id, semantic_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY k, -score, -length(normal), form_id) AS place FROM (SELECT *, CASE tier WHEN 'exact' THEN 1 WHEN 'normalized' THEN 2 WHEN 'phrase' THEN 3 ELSE 4 END AS k FROM ({_TIER})) "

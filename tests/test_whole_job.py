@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from graindeck.operators import evaluate as E
 from graindeck.operators import relate
+from graindeck.operators import retrieve as R
 
 NAMES = ["large widget", "red widget", "red wide", "Large Widget", "blue bolt"]
 
@@ -166,3 +167,19 @@ def test_question_ledger_of_repeated_names(spark, many_parts):
         got.setdefault(r.question_id, []).append((r.place, r.text, r.state, r.frame))
     want = lambda n: [(0, n, "form", 1), (1, "top", "direction", 1), (2, "5", "number", 1), (3, "zzz", "unknown", 1), (4, "highest,", "direction", 1), (5, n.split()[0], "form", 2)]
     assert {k: sorted(v) for k, v in got.items()} == {i: want(["red bolt", "old red rod", "gear"][i % 3]) for i in range(90)}
+
+
+@pytest.mark.parametrize("few, kind", [(100_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_candidates_of_whole_forms(spark, many_parts, few, kind):
+    """Without fragments exactly the forms that stand in a question whole are candidates, and no stretches of questions are broadcast."""
+    q = spark.read.parquet(f"{many_parts}/part.parquet").where("p_name IS NOT NULL").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"), F.regexp_replace("p_name", " ", "").alias("question_normal"))
+    f = spark.createDataFrame([(w, w, r, w, w) for w, r in (("red", "alias"), ("rodd", "label"), ("bolt", "id"), ("gear", "label"), ("dr", "definition"))], "form_id string, semantic_id string, role string, text string, normal string")
+    pairs = R.candidate_pairs(q, f, fragments=False, few=few)
+    assert "BuildLeft" not in _plan(pairs) and kind in _plan(pairs)
+    want = {0: {"red", "bolt"}, 1: {"red", "dr"}, 2: {"gear"}}
+    assert sorted((r.question_id, r.form_id) for r in pairs.collect()) == sorted((i, w) for i in range(90) for w in want[i % 3])
+    got = {}
+    for r in entry.queries()["i4_shadowed_or_free"](spark, many_parts).collect():
+        got.setdefault(r.question_id, []).append((r.form_id, r.tier))
+    tiers = {0: [("alias:bolt", "substring"), ("alias:red", "phrase"), ("label:red bolt", "phrase")], 1: [("alias:old", "phrase"), ("alias:red", "substring"), ("alias:rod", "substring"), ("label:old red rod", "phrase")], 2: [("alias:gear", "phrase"), ("label:gear", "phrase")]}
+    assert {k: sorted(v) for k, v in got.items()} == {i: tiers[i % 3] for i in range(90)}
